@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
 
-_FINGERPRINT = [
-    F.count("*").alias("n"),
-    F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"),
-]
+
+def _fingerprint(edges: DataFrame) -> tuple:
+    return tuple(
+        edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    )
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -57,10 +58,10 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
         base.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")),
         "cc-edges",
     )
-    seen = tuple(cur.agg(*_FINGERPRINT).first())
+    seen = _fingerprint(cur)
     for _ in range(max_rounds):
         cur = materialize(_small_star(_large_star(cur)), "cc-round")
-        now = tuple(cur.agg(*_FINGERPRINT).first())
+        now = _fingerprint(cur)
         if now == seen:
             break
         seen = now
