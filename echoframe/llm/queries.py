@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..plans.scratch import table
 from .bpe import encode_and_decode
+from .packing import pack_balanced, pack_best_fit
 from .sharding import assign_shards
 
 
@@ -11,12 +12,22 @@ def op1_byte_bpe(spark, sf_dir):
     return encode_and_decode(table(spark, sf_dir, "documents"))
 
 
+def op3_packed_matrix(spark, sf_dir):
+    return pack_best_fit(table(spark, sf_dir, "documents"), size=2048)
+
+
+def op7_balanced_packing(spark, sf_dir):
+    return pack_balanced(table(spark, sf_dir, "documents"), size=4096, end_id=2)
+
+
 def op10_jump_hash_shards(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_packed_matrix": op3_packed_matrix,
+    "op7_balanced_packing": op7_balanced_packing,
     "op10_jump_hash_shards": op10_jump_hash_shards,
 }
 
