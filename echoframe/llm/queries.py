@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..plans.scratch import table
 from .bpe import encode_and_decode
 from .packing import pack_balanced, pack_best_fit
+from .rules import JUDGE_SQL, judge
 from .sharding import assign_shards
 
 
@@ -20,6 +21,10 @@ def op7_balanced_packing(spark, sf_dir):
     return pack_balanced(table(spark, sf_dir, "documents"), size=4096, end_id=2)
 
 
+def op8_quality_rules(spark, sf_dir):
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op10_jump_hash_shards(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"), shards=8)
 
@@ -28,7 +33,10 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_packed_matrix": op3_packed_matrix,
     "op7_balanced_packing": op7_balanced_packing,
+    "op8_quality_rules": op8_quality_rules,
     "op10_jump_hash_shards": op10_jump_hash_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_quality_rules": JUDGE_SQL,
+}
