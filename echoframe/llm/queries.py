@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..plans.scratch import table
 from .bpe import encode_and_decode
 from .packing import pack_balanced, pack_best_fit
+from .quality import classify
 from .rules import JUDGE_SQL, judge
 from .sharding import assign_shards
 
@@ -25,6 +26,10 @@ def op8_quality_rules(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark, sf_dir):
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op10_jump_hash_shards(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"), shards=8)
 
@@ -34,6 +39,7 @@ QUERIES = {
     "op3_packed_matrix": op3_packed_matrix,
     "op7_balanced_packing": op7_balanced_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_jump_hash_shards": op10_jump_hash_shards,
 }
 
