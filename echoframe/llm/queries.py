@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..plans.scratch import table
 from .bpe import encode_and_decode
+from .jaccard import near_duplicates
 from .packing import pack_balanced, pack_best_fit
 from .quality import classify
 from .rules import JUDGE_SQL, judge
@@ -18,6 +19,10 @@ def op3_packed_matrix(spark, sf_dir):
     return pack_best_fit(table(spark, sf_dir, "documents"), size=2048)
 
 
+def op5_ngram_jaccard(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
 def op7_balanced_packing(spark, sf_dir):
     return pack_balanced(table(spark, sf_dir, "documents"), size=4096, end_id=2)
 
@@ -37,6 +42,7 @@ def op10_jump_hash_shards(spark, sf_dir):
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_packed_matrix": op3_packed_matrix,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_balanced_packing": op7_balanced_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
