@@ -9,6 +9,7 @@ from .packing import pack_balanced, pack_best_fit
 from .quality import classify
 from .rules import JUDGE_SQL, judge
 from .sharding import assign_shards
+from .suffix_tree import train_and_score
 
 
 def op1_byte_bpe(spark, sf_dir):
@@ -19,6 +20,10 @@ def op3_packed_matrix(spark, sf_dir):
     return pack_best_fit(table(spark, sf_dir, "documents"), size=2048)
 
 
+def op4_suffix_tree_score(spark, sf_dir):
+    return train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
 
@@ -42,6 +47,7 @@ def op10_jump_hash_shards(spark, sf_dir):
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_packed_matrix": op3_packed_matrix,
+    "op4_suffix_tree_score": op4_suffix_tree_score,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_balanced_packing": op7_balanced_packing,
     "op8_quality_rules": op8_quality_rules,
