@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..plans.scratch import table
 from .bpe import encode_and_decode
+from .html_template import extract_main_text
 from .jaccard import near_duplicates
 from .packing import pack_balanced, pack_best_fit
 from .quality import classify
@@ -28,6 +29,10 @@ def op5_ngram_jaccard(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
 
 
+def op6_html_template(spark, sf_dir):
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_balanced_packing(spark, sf_dir):
     return pack_balanced(table(spark, sf_dir, "documents"), size=4096, end_id=2)
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op3_packed_matrix": op3_packed_matrix,
     "op4_suffix_tree_score": op4_suffix_tree_score,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_html_template": op6_html_template,
     "op7_balanced_packing": op7_balanced_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
