@@ -6,6 +6,7 @@ from ..plans.scratch import table
 from .bpe import encode_and_decode
 from .html_template import extract_main_text
 from .jaccard import near_duplicates
+from .neighbours import nearest
 from .packing import pack_balanced, pack_best_fit
 from .quality import classify
 from .rules import JUDGE_SQL, judge
@@ -17,6 +18,10 @@ def op1_byte_bpe(spark, sf_dir):
     return encode_and_decode(table(spark, sf_dir, "documents"))
 
 
+def op2_forest_neighbours(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
 def op3_packed_matrix(spark, sf_dir):
     return pack_best_fit(table(spark, sf_dir, "documents"), size=2048)
 
@@ -51,6 +56,7 @@ def op10_jump_hash_shards(spark, sf_dir):
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_forest_neighbours": op2_forest_neighbours,
     "op3_packed_matrix": op3_packed_matrix,
     "op4_suffix_tree_score": op4_suffix_tree_score,
     "op5_ngram_jaccard": op5_ngram_jaccard,
