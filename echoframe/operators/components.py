@@ -25,7 +25,9 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # Written, so that the join reads both sides from plain shuffles, whose large
+    # partitions Spark can split: the centre of a star has many edges.
+    low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-low")
     return (
         both.join(low, "a")
         .where(F.col("b") > F.col("a"))
