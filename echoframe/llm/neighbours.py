@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..plans.scratch import materialize
 
 SAMPLE = 32_768  # rows that the forest is fitted on, at most about
-GROUP_ROWS = 8_192  # rows that a task scores at once, about
+GROUP_ROWS = 65_536  # rows that a task scores at once, about
 PROBES = 128  # queries that are searched by brute force to set the budget
 
 
