@@ -24,7 +24,7 @@ RULES: dict[str, str] = {
     "few_words": "n_words < 50",
     "repeated_words": "100 * n_repeat_words > 50 * n_words",
     "symbols": "10 * n_symbols > 3 * n_words",
-    "duplicate_lines": "n_lines >= 5 and 10 * n_dup_lines > 3 * n_lines",
+    "duplicate_lines": "n_lines >= 5 and 2 * n_dup_lines > n_lines",
     "word_length": "word_chars > 16 * n_words or word_chars < 2 * n_words",
     "upper_case": "2 * n_upper > word_chars",
     "exclamations": "2 * n_exclamations > n_words",
