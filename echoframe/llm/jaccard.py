@@ -282,4 +282,4 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options)
     smaller id; columns as before.  Rows with a null id stay."""
     classes = near_duplicates(df, key, text, **options)
     gone = materialize(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "ngram-gone")
-    return df.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    return df.join(gone, df[f"`{key}`"] == gone["_gone"], "left_anti")

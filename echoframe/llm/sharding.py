@@ -111,7 +111,7 @@ def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: int = 8)
 
     def place(batches):
         for b in batches:
-            ids = b.column(b.schema.get_field_index("_key"))
+            ids = b.column(b.num_columns - 1)
             mixed = spread(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             mixed[ids.is_null().to_numpy(zero_copy_only=False)] = np.uint64(0x6E756C6C)
             yield pa.RecordBatch.from_arrays(
