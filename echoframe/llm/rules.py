@@ -109,7 +109,7 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     so repeated rows give equal ledgers, and an empty table an empty one."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclamations", "failed"]
-    keep = [f"`{c}`" for c in df.columns if c.lower() not in {*made, "_body", "_words", "_lines", "_packed", "_wide"}]
+    keep = [f"`{c}`" for c in df.columns if c.lower() not in {*made, "_body", "_words", "_lines", "_packed", "_wide", "_mark"}]
     if text in made:
         raise ValueError(f"the text column must not be named {text}")
     split = df.select(
@@ -120,17 +120,20 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     )
     n = F.size("_words")
     packed, wide = _ordered_windows(n)
-    ordered = split.select("*", packed.alias("_packed"), wide.alias("_wide"))
+    # The number keeps a later filter from being moved below this step, where the
+    # sorted windows would be made anew for every one of them; it is never negative.
+    ordered = split.select("*", packed.alias("_packed"), wide.alias("_wide"), F.monotonically_increasing_id().alias("_mark"))
+    nothing = F.when(F.col("_mark") < 0, F.lit(1)).otherwise(F.lit(0))
     few = _repeats("_packed", lambda x: F.shiftright(x, 24), lambda x: x.bitwiseAND(F.lit(_LOW).cast("long")).cast("int"))
     many = _repeats("_wide", lambda x: x["h"], lambda x: x["i"])
     counted = ordered.select(
         *keep,
-        n.cast("long").alias("n_words"),
+        (n + nothing).cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.length("_body") - F.length(_removed(F.col("_body"), SYMBOLS))).cast("long").alias("n_symbols"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        (_covered(few) + _covered(many)).alias("n_repeat_words"),
+        (_covered(few) + _covered(many) + nothing).alias("n_repeat_words"),
         F.regexp_count("_body", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         (F.length("_body") - F.length(_removed(F.col("_body"), "!"))).cast("long").alias("n_exclamations"),
     )
