@@ -35,8 +35,11 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the stored tables under ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the stored tables under ``sf_dir``.  A table of fewer parts than there
+    are cores, such as a single small file, is dealt out over all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
