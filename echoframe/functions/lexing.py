@@ -103,17 +103,28 @@ def lexemes(df: DataFrame, text: str = "text", language: str = "language") -> Da
     return df.where(~F.coalesce(nests, F.lit(False))).withColumn("lexemes", native).unionByName(odd)
 
 
-def kind(lexeme: Column, language: Column) -> Column:
-    """I identifier, N number, S string, X syntax; null for space and comments."""
-    slashed = language.isin(*SLASHED) & (lexeme.startswith("//") | lexeme.startswith("/*"))
-    hashed = language.isin("python", "bash") & lexeme.startswith("#")
-    dashed = (language == "sql") & lexeme.startswith("--")
-    first = F.substring(lexeme, 1, 1)
+def _coded(lexeme: Column) -> Column:
+    """A lexeme beside the code point that it begins with."""
+    return F.struct(F.ascii(lexeme).alias("c"), lexeme.alias("raw"))
+
+
+def _is_token(t: Column) -> Column:
+    """False for white space and for what is a comment in the row's language."""
+    c, raw = t["c"], t["raw"]
+    space = (c == 32) | ((c >= 9) & (c <= 13) & (c != 11))
+    slashed = (c == 47) & F.col("_slashed") & (raw.startswith("//") | raw.startswith("/*"))
+    return ~(space | slashed | ((c == 35) & F.col("_hashed")) | ((c == 45) & F.col("_dashed") & raw.startswith("--")))
+
+
+def _kind(t: Column) -> Column:
+    """I identifier, N number, S string, X syntax."""
+    c = t["c"]
+    letter = ((c >= 97) & (c <= 122)) | ((c >= 65) & (c <= 90)) | (c == 95) | (c == 36)
     return (
-        F.when(first.isin(" ", "\t", "\n", "\f", "\r") | slashed | hashed | dashed, F.lit(None).cast("string"))
-        .when(first.rlike("[0-9]"), "N")
-        .when(first.isin("'", '"', "`"), "S")
-        .when(first.rlike(rf"[A-Za-z_$]|{LETTER}"), "I")
+        F.when(letter, "I")
+        .when((c >= 48) & (c <= 57), "N")
+        .when((c == 39) | (c == 34) | (c == 96), "S")
+        .when((c > 127) & t["raw"].rlike(f"^{LETTER}"), "I")
         .otherwise("X")
     )
 
@@ -122,24 +133,27 @@ def lex(df: DataFrame, text: str = "text", language: str = "language", positions
     """``df`` with ``tokens``, an array of (kind, raw) or, with ``positions``, of
     (kind, raw, start_byte, end_byte, start_line, end_line); lines count from 1
     and token spans are half open in bytes.  A null text gives a null array."""
-    split = lexemes(df, text, language)
+    name = F.col(language)
+    split = lexemes(df, text, language).withColumns({"_slashed": name.isin(*SLASHED), "_hashed": name.isin("python", "bash"), "_dashed": name == "sql"})
+    helpers = ["lexemes", "_slashed", "_hashed", "_dashed", "_ends", "_lines"]
     if not positions:
-        each = F.transform("lexemes", lambda x: F.struct(kind(x, F.col(language)).alias("kind"), x.alias("raw")))
-        return split.withColumn("tokens", F.filter(each, lambda t: t["kind"].isNotNull())).drop("lexemes")
+        kept = F.filter(F.transform("lexemes", _coded), _is_token)
+        return split.withColumn("tokens", F.transform(kept, lambda t: F.struct(_kind(t).alias("kind"), t["raw"].alias("raw")))).drop(*helpers)
     measured = split.withColumn("_ends", running(F.transform("lexemes", F.octet_length))).withColumn(
         "_lines", running(F.transform("lexemes", lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))))
     )
 
-    def token(x, i):
-        before = F.when(i > 0, F.get("_lines", i - 1)).otherwise(F.lit(0))
+    def placed(x, i):
+        first = i == 0
         return F.struct(
-            kind(x, F.col(language)).alias("kind"),
+            F.ascii(x).alias("c"),
             x.alias("raw"),
-            F.when(i > 0, F.get("_ends", i - 1)).otherwise(F.lit(0)).cast("long").alias("start_byte"),
+            F.when(first, F.lit(0)).otherwise(F.get("_ends", i - 1)).cast("long").alias("start_byte"),
             F.get("_ends", i).alias("end_byte"),
-            (before + 1).cast("int").alias("start_line"),
+            (F.when(first, F.lit(0)).otherwise(F.get("_lines", i - 1)) + 1).cast("int").alias("start_line"),
             (F.get("_lines", i) + 1).cast("int").alias("end_line"),
         )
 
-    tokens = F.filter(F.transform("lexemes", token), lambda t: t["kind"].isNotNull())
-    return measured.withColumn("tokens", tokens).drop("lexemes", "_ends", "_lines")
+    kept = F.filter(F.transform("lexemes", placed), _is_token)
+    names = ("raw", "start_byte", "end_byte", "start_line", "end_line")
+    return measured.withColumn("tokens", F.transform(kept, lambda t: F.struct(_kind(t).alias("kind"), *[t[n].alias(n) for n in names]))).drop(*helpers)

@@ -27,11 +27,13 @@ def exploded(lexed: DataFrame, *keys: str) -> DataFrame:
 def dictionary(tokens: DataFrame, rank: str = "rank") -> DataFrame:
     """(token, token_id): ids from 0 by first appearance over rows in the order of
     ``rank`` and ``pos``, a token before the placeholder it is renamed to."""
-    both = tokens.select(
-        rank, "pos",
-        F.inline(F.array(F.struct(F.col("raw").alias("token"), F.lit(0).alias("slot")), F.struct(F.col("renamed").alias("token"), F.lit(1).alias("slot")))),
-    )
-    first = both.groupBy("token").agg(F.min(F.struct(rank, "pos", "slot")).alias("at"))
+    # One grouped minimum over all tokens; a placeholder's first place is the first
+    # of the tokens renamed to it, so it follows from the distinct ones.
+    seen = tokens.groupBy("raw", "renamed").agg(F.min(F.struct(rank, "pos")).alias("at"))
+    both = seen.select(
+        F.inline(F.array(F.struct(F.col("raw").alias("token"), "at", F.lit(0).alias("slot")), F.struct(F.col("renamed").alias("token"), "at", F.lit(1).alias("slot"))))
+    )
+    first = both.groupBy("token").agg(F.min(F.struct(F.col(f"at.{rank}").alias(rank), F.col("at.pos").alias("pos"), "slot")).alias("at"))
     flat = first.select("token", F.col(f"at.{rank}").alias("a"), F.col("at.pos").alias("b"), F.col("at.slot").alias("c"))
     return numbered(flat, ["a", "b", "c"], "token_id").select("token", "token_id")
 
