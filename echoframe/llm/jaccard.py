@@ -115,7 +115,7 @@ def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, th
     held = shared[column]
     column, owner = number[column[held]], owner[held]
     common = np.zeros((n, n), np.float32)
-    width = max(1024, min(16384, (1 << 24) // max(1, n)))
+    width = max(1, min(16384, (1 << 24) // n, int(shared.sum())))
     for at in range(0, int(shared.sum()), width):  # columns are in order, so each slice is a range
         lo, hi = np.searchsorted(column, [at, at + width])
         m = np.zeros((n, width), np.float32)
