@@ -181,15 +181,29 @@ def _blocks(batches):
         yield now, held
 
 
-def _verified(sets: DataFrame, n: int, threshold: float) -> DataFrame:
-    """``sets`` (component, i, j, block, set_key, copies, text), sorted by the first
+def _with_grams(found: DataFrame, n: int) -> DataFrame:
+    """(component, blocks, block, set_key, copies, grams): the texts' n-gram sets as
+    bytes, made once, before a set is sent to its pairs of blocks."""
+
+    def run(batches):
+        for b in batches:
+            grams = [ngram_set(t, n).tobytes() for t in b.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(grams, pa.binary())], names)
+
+    names = ["component", "blocks", "block", "set_key", "copies", "grams"]
+    rows = found.select(*names[:5], "text")
+    return rows.mapInArrow(run, "component binary, blocks int, block int, set_key binary, copies long, grams binary")
+
+
+def _verified(sets: DataFrame, threshold: float) -> DataFrame:
+    """``sets`` (component, i, j, block, set_key, copies, grams), sorted by the first
     three; one row for each set and pair of blocks: its links and its root."""
 
     def run(batches):
         for (_, i, j), rows in _blocks(batches):
             rows = list({r[1]: r for r in rows}.values())  # a repeated row of the table is one set
             block = np.array([r[0] for r in rows])
-            near = links_within([ngram_set(r[3], n) for r in rows], block == i, block == j, threshold)
+            near = links_within([np.frombuffer(r[3], np.uint64) for r in rows], block == i, block == j, threshold)
             root, copies = _forest(near), np.array([r[2] for r in rows], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -246,12 +260,13 @@ def near_duplicates(
     found = placed.join(texts, placed.doc_id.eqNullSafe(texts.d) & (placed.text_hash == texts.h))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = (
-        found.select("component", "block", "set_key", "copies", "text", other)
-        .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_key", "copies", "text")
+        _with_grams(found, n)
+        .select("component", "block", "set_key", "copies", "grams", other)
+        .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_key", "copies", "grams")
         .repartition("component", "i", "j")
         .sortWithinPartitions("component", "i", "j")
     )
-    checked = materialize(_verified(dealt, n, threshold), "ngram-links")
+    checked = materialize(_verified(dealt, threshold), "ngram-links")
     links = checked.groupBy("set_key").agg(F.sum("n_near").alias("n_near"), F.sum("n_near_docs").alias("n_near_docs"))
     joined = connected_components(checked.where("set_key <> root"), "set_key", "root")
     classes = (
