@@ -8,9 +8,7 @@ import pytest
 import __spark_entry__
 
 NAMES = [
-    "language_from_path", "lex_token_kinds", "token_positions", "token_dictionary", "kgram_hashes", "winnow_fingerprints", "candidate_pairs_renamed",
-    "verified_pairs", "type3_conversation_pairs", "suppressed_pairs", "family_sizes", "clone_statistics", "extension_isolation", "overlap_policy",
-    "accuracy_metrics", "brace_fragments", "python_fragments", "bigcloneeval_rows",
+    "language_from_path", "lex_token_kinds", "token_positions", "winnow_fingerprints", "verified_pairs", "suppressed_pairs", "clone_statistics", "accuracy_metrics", "brace_fragments",
 ]
 
 
