@@ -128,14 +128,25 @@ def block_pairs(found: DataFrame, sources: DataFrame, width: int, min_lines: int
     """Clone pairs of the regions, with at least ``min_lines`` lines on both sides."""
     left = sources.select(F.col("src").alias("left_src"), F.col("tokens").alias("l_tokens"), F.col("path").alias("l_path"), F.col("id").alias("l_id"))
     right = sources.select(F.col("src").alias("right_src"), F.col("tokens").alias("r_tokens"), F.col("path").alias("r_path"), F.col("id").alias("r_id"))
-    both = found.join(left, "left_src").join(right, "right_src")
+    both = found
+    for s, table in (("left", left), ("right", right)):
+        # Only the region's own tokens and one on either side travel on.
+        start, t = F.col(f"{s}_start"), f"{s[0]}_tokens"
+        base = F.greatest(start - 1, F.lit(0)).alias(f"{s}_base")
+        near = both.join(table, f"{s}_src").select("*", base)
+        kept = F.slice(F.col(t), F.col(f"{s}_base") + 1, start - F.col(f"{s}_base") + F.col("length") + 1)
+        both = near.withColumns({t: kept, f"{s}_start": start - F.col(f"{s}_base")})
     side = lambda t, s: F.transform(F.slice(F.col(t), F.col(s) + 1, F.col("length")), lambda x: x["raw"])
     equal = both.where(side("l_tokens", "left_start") == side("r_tokens", "right_start"))
     spans = snapped(equal).withColumn("l_span", _span("l_tokens", "left_start")).withColumn("r_span", _span("r_tokens", "right_start"))
     lines = lambda s: F.col(f"{s}.end_line") - F.col(f"{s}.start_line") + 1
     kept = spans.where((lines("l_span") >= min_lines) & (lines("r_span") >= min_lines))
-    name = lambda s, start: F.format_string("%s#tokens:%d-%d", F.col(f"{s}_path"), F.col(start), F.col(start) + F.col("length"))
-    kept = kept.withColumn("l_id", name("l", "left_start")).withColumn("r_id", name("r", "right_start"))
+
+    def name(side):
+        start = F.col(f"{side}_base") + F.col(f"{side}_start")
+        return F.format_string("%s#tokens:%d-%d", F.col(f"{side[0]}_path"), start, start + F.col("length"))
+
+    kept = kept.withColumn("l_id", name("left")).withColumn("r_id", name("right"))
     shared = F.greatest(F.col("length") - width, F.lit(0)).cast("long") + 1
     return kept.select(
         stable_id("pair", F.array("l_id", "r_id", "l_path", "r_path")).alias("id"),
