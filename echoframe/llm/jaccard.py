@@ -143,7 +143,9 @@ def _forest(near: np.ndarray) -> np.ndarray:
     return root
 
 
-def _signatures(df: DataFrame, key: str, text: str, n: int, bands: int, rows: int) -> DataFrame:
+def _signatures(df: DataFrame, key: str, text: str, n: int, bands: int, rows: int, number: list[str]) -> DataFrame:
+    """``number``: the name of the column that numbers the rows, or nothing."""
+
     def run(batches):
         for b in batches:
             keys, counts, found = [], [], []
@@ -157,14 +159,15 @@ def _signatures(df: DataFrame, key: str, text: str, n: int, bands: int, rows: in
                     keys.append(None)
                     found.append(None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "set_key", "n_grams", "bands"],
+                [b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64())), *b.columns[3:]],
+                ["doc_id", "text_hash", "set_key", "n_grams", "bands", *number],
             )
 
     rows_in = df.select(
-        F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text")
+        F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"), *number
     )
-    return rows_in.mapInArrow(run, "doc_id long, text_hash long, set_key binary, n_grams long, bands array<long>")
+    schema = "doc_id long, text_hash long, set_key binary, n_grams long, bands array<long>"
+    return rows_in.mapInArrow(run, ", ".join([schema, *[f"{c} long" for c in number]]))
 
 
 def _blocks(batches):
@@ -232,10 +235,35 @@ def near_duplicates(
     is its own class.  Repeated rows are copies of each other.  Rows with a null
     id take part like any others; a class of such rows only has a null id.  An
     empty table gives an empty one; other columns are ignored."""
+    docs, classes = _classed(df, key, text, n, threshold, recall)
+    classes = classes.withColumn("first_id", F.col("of.doc_id"))
+    first = classes.groupBy("component").agg(F.min("first_id").alias("class_id"))
+    by_set = classes.join(first, "component").select(
+        "set_key",
+        "class_id",
+        (F.col("copies") - 1 + F.coalesce("n_near_docs", F.lit(0))).alias("n_links"),
+        F.coalesce("n_near", F.lit(0)).alias("n_near_texts"),
+    )
+    return docs.select("doc_id", "set_key", "n_grams").join(by_set, "set_key", "left").select(
+        "doc_id",
+        F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("n_near_texts", F.lit(0)).alias("n_near_texts"),
+        "n_grams",
+    )
+
+
+def _classed(
+    df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, number: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The rows' signatures, and the sets with their classes: ``set_key``, ``of`` (its
+    first row, by id and then by ``number``), ``copies``, ``component``, ``n_near``
+    and ``n_near_docs``."""
     small_batches(df.sparkSession)
     bands, rows = choose_bands(threshold, recall)
-    docs = materialize(_signatures(df, key, text, n, bands, rows), "ngram-signatures")
-    chosen = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")
+    numbers = [number] if number else []
+    docs = materialize(_signatures(df, key, text, n, bands, rows, numbers), "ngram-signatures")
+    chosen = F.struct(F.isnull("doc_id").alias("none"), "doc_id", *numbers, "text_hash")
     sets = materialize(
         docs.where("set_key is not null")
         .groupBy("set_key")
@@ -270,31 +298,22 @@ def near_duplicates(
     links = checked.groupBy("set_key").agg(F.sum("n_near").alias("n_near"), F.sum("n_near_docs").alias("n_near_docs"))
     joined = connected_components(checked.where("set_key <> root"), "set_key", "root")
     classes = (
-        sets.select("set_key", F.col("of.doc_id").alias("first_id"), "copies")
+        sets.select("set_key", "of", "copies")
         .join(joined.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
         .join(links, "set_key", "left")
         .withColumn("component", F.coalesce("component", "set_key"))
     )
-    classes = materialize(classes, "ngram-classes")
-    first = classes.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    by_set = classes.join(first, "component").select(
-        "set_key",
-        "class_id",
-        (F.col("copies") - 1 + F.coalesce("n_near_docs", F.lit(0))).alias("n_links"),
-        F.coalesce("n_near", F.lit(0)).alias("n_near_texts"),
-    )
-    return docs.select("doc_id", "set_key", "n_grams").join(by_set, "set_key", "left").select(
-        "doc_id",
-        F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("n_near_texts", F.lit(0)).alias("n_near_texts"),
-        "n_grams",
-    )
+    return docs, materialize(classes, "ngram-classes")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` without those documents that share a class with one of a
-    smaller id; columns as before.  Rows with a null id stay."""
-    classes = near_duplicates(df, key, text, **options)
-    gone = materialize(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "ngram-gone")
-    return df.join(gone, df[f"`{key}`"] == gone["_gone"], "left_anti")
+    """One row of each class of near-duplicates, columns as before: that of the
+    smallest id, null ids last, and of rows with that id any one.  Rows are told
+    apart by a number that is written with them, so an id may occur more than
+    once.  Texts without n-grams are their own class and stay."""
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "ngram-rows")
+    docs, classes = _classed(rows, key, text, number="_row", **options)
+    first = classes.groupBy("component").agg(F.min("of").alias("first"))
+    stays = classes.join(first, "component").select("set_key", F.col("first._row").alias("_stays"))
+    gone = docs.select("set_key", "_row").join(stays, "set_key").where("_row <> _stays").select("_row")
+    return rows.join(materialize(gone, "ngram-gone"), "_row", "left_anti").select(*df.columns)
