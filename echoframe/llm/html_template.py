@@ -35,7 +35,7 @@ LEAST_PAGES, LEAST_TOKENS = 4, 3
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|select|button|title|object|math)\b.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|svg|iframe|select|button|title)\b.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|<[a-zA-Z/][^<>]*\Z",
@@ -86,6 +86,8 @@ class Reader:
         self.count = 0
         self.paths: dict[tuple, int] = {(): 0}
         self.info: list[tuple[bool, bool]] = [(False, False)]  # by path: in the main part, in something aside
+        self.parts: list[frozenset[int]] = [frozenset()]  # by path: the main elements around it
+        self.votes: list[frozenset[int]] = [frozenset()]  # by path: the elements around it whose names say aside
 
     def role(self, path: int, name: str) -> int:
         known = self.roles[path]
@@ -102,11 +104,16 @@ class Reader:
         if new not in self.paths:
             main, aside = self.info[self.paths[path]]
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
-            inner_header = name == "header" and main  # an article's own header: its headings are kept
-            aside = aside or bool(hidden) or (name in _ASIDE and not inner_header)
-            aside = aside or found.get("role", "").lower() in _ASIDE_ROLES or (name not in ("html", "body") and bool(label and _ASIDE_NAMES.search(label)))
-            self.paths[new] = len(self.info)
-            self.info.append((main or name in _MAIN or found.get("role", "").lower() == "main", aside))
+            own = name in ("header", "figcaption") and main  # an article's own header and captions are kept
+            aside = aside or bool(hidden) or (name in _ASIDE and not own)
+            aside = aside or found.get("role", "").lower() in _ASIDE_ROLES
+            part = name in _MAIN or found.get("role", "").lower() == "main"
+            vote = not part and name not in ("html", "body") and bool(label and _ASIDE_NAMES.search(label))
+            around, number = self.paths[path], len(self.info)
+            self.paths[new] = number
+            self.info.append((main or part, aside))
+            self.parts.append(self.parts[around] | {number} if part else self.parts[around])
+            self.votes.append(self.votes[around] | {number} if vote else self.votes[around])
         return new
 
     def read(self, html: str) -> Page:
@@ -222,6 +229,30 @@ def nested(pages: list[Page], classes: list[np.ndarray], count: int) -> list[tup
     return out
 
 
+def named_aside(reader: Reader, nodes: list[Node]) -> set[int]:
+    """Paths of the page's ``nodes`` that are aside by the name of an element around
+    them.  A name is a weak vote: it does not count for an element that holds more
+    unlinked text than all that no name puts aside, if that is most of the page or
+    has a main element in it, unless there is a main element elsewhere."""
+    mass: dict[int, int] = defaultdict(int)
+    for n in nodes:
+        if not reader.info[n.path][1]:
+            mass[n.path] += 0 if n.linked else sum(map(len, n.words))
+    standing = set().union(*(reader.votes[p] for p in mass))
+    if not standing:
+        return set()
+    total = sum(mass.values())
+    for v in sorted(standing):  # outer elements before inner ones
+        under = [p for p in mass if v in reader.votes[p]]
+        free = [p for p in mass if not reader.votes[p] & standing]
+        held = sum(mass[p] for p in under)
+        elsewhere = any(mass[p] and reader.parts[p] - reader.parts[v] for p in free)
+        wraps = any(reader.parts[p] - reader.parts[v] for p in under)
+        if not elsewhere and held > sum(mass[p] for p in free) and (2 * held > total or wraps):
+            standing.discard(v)
+    return {p for p in mass if reader.votes[p] & standing}
+
+
 def main_texts(htmls: list[str]) -> list[str]:
     """The main text of each page, the pages being of one host."""
     reader = Reader()
@@ -268,7 +299,8 @@ def main_texts(htmls: list[str]) -> list[str]:
 
     out = []
     for own in placed:
-        free = [(n, s) for n, s in own if not reader.info[n.path][1]]
+        named = named_aside(reader, [n for n, _ in own])
+        free = [(n, s) for n, s in own if not reader.info[n.path][1] and n.path not in named]
         main = [(n, s) for n, s in free if reader.info[n.path][0]]
         if main:
             chosen = [n for n, _ in main]

@@ -1,0 +1,39 @@
+import pytest
+
+from echoframe.llm.html_template import main_texts
+
+BODY = "<h1>Head line</h1><p>The whole article is here and it is long enough to be most of it.</p>"
+TEXT = "Head line The whole article is here and it is long enough to be most of it."
+REST = "<nav><a href=/>Home</a></nav>{}<div class='related'><article><p>A card</p></article></div><div id='comments'><p>First</p></div><footer>End</footer>"
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<main class='site-main has-sidebar'>{}</main>",
+        "<div class='page no-sidebar'><article>{}</article></div>",
+        "<article class='post category-legal'>{}</article>",
+        "<div class='content related'><article>{}</article></div>",
+        "<article><div class='post author'>{}</div></article>",
+        "<div class='content legal'><div>{}</div></div>",
+    ],
+)
+def test_names_do_not_drop_the_article(around):
+    rest = REST if "<article" in around or "<main" in around else REST.replace("article>", "div>")
+    assert main_texts([f"<html><body>{rest.format(around.format(BODY))}</body></html>"]) == [TEXT]
+
+
+def test_wrapper_of_the_whole_page():
+    inner = REST.format(f"<article>{BODY}</article>")
+    assert main_texts([f"<body><div id='page' class='has-sidebar sidebar'>{inner}</div></body>"]) == [TEXT]
+
+
+def test_short_article_beside_long_comments():
+    comments = f"<div id='comments'><p>{'so much to say ' * 40}</p></div>"
+    assert main_texts([f"<body><div class='sidebar'><article>{BODY}</article></div>{comments}</body>"]) == [TEXT]
+    assert main_texts([f"<body><main><article>{BODY}</article>{comments}</main></body>"]) == [TEXT]
+
+
+def test_captions_math_and_objects_of_an_article_stay():
+    html = "<article><p>Text</p><figure><img><figcaption>A caption</figcaption></figure><math><mi>x</mi></math><object>shown instead</object></article>"
+    assert main_texts([html]) == ["Text A caption x shown instead"]
