@@ -199,24 +199,29 @@ def nearest(
     sizes[counted.column(0).to_numpy(), counted.column(1).to_numpy()] = counted.column(2).to_numpy()
 
     budget = _budget(placed, queries, forest, sizes, k, recall, n)
+    # So many vectors of one tree, which are all different, have k + 1 ids; a small table is searched whole.
+    most = light.groupBy("vec_id").count().agg(F.max("count")).first()[0]
+    enough = (k + 1) * most
+    enough = n if n <= 4 * enough else enough
     # Leaves of one branch are a group, so that a query's hits in it are one list.
     bits = max(0, min(depth, int(np.floor(np.log2(max(1, n / GROUP_ROWS))))))
     salts = max(1, int(np.ceil(n / (1 << bits) / GROUP_ROWS)))
-    plan = spark.sparkContext.broadcast((forest, sizes, budget))
+    plan = spark.sparkContext.broadcast((forest, sizes, budget, enough))
 
     def open_leaves(batches):
-        forest, sizes, budget = plan.value
+        forest, sizes, budget, enough = plan.value
         for b in batches:
             out = []
             ids, vectors = b.column(0).to_pylist(), b.column(1).to_pylist()
             if not ids:
                 continue
             for q, p in zip(range(len(ids)), forest.projections(np.array(vectors, float), True)):
-                reached, opened = 0, {}
+                reached, opened, in_tree = 0, {}, [0] * forest.trees
                 for _, t, leaf in forest.order(p):
                     opened.setdefault((t, leaf >> (depth - bits)), []).append(leaf)
                     reached += int(sizes[t, leaf])
-                    if reached >= budget:
+                    in_tree[t] += int(sizes[t, leaf])
+                    if reached >= budget and max(in_tree) >= enough:
                         break
                 for (t, g), leaves in opened.items():
                     for salt in range(salts):
