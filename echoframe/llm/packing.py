@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,27 +26,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import small_batches
-from .words import default_words, word_ids
+from .words import default_words, text_slices, word_ids
 
 #: Tokens that a task packs at once; a longer document makes a block of its own.
 BLOCK_TOKENS = 1 << 21
 
 
-def _blocks(batches, path: str, end_id: int) -> Iterator[tuple[list, list[bytes]]]:
-    """Keys and ids of the documents, with the end id behind each, block by block."""
-    end = np.array([end_id], "<u4").tobytes()
-    keys, ids, held = [], [], 0
+def _blocks(batches, path: str, end_id: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Keys, bounds and ids of the documents, with the end id behind each, block by
+    block.  Document ``i`` has the ids from ``bounds[i]`` to ``bounds[i + 1]``."""
+    words = word_ids(path)
+    keys: list[list] = []
+    sizes: list[np.ndarray] = []
+    ids: list[np.ndarray] = []
+    held = 0
+
+    def block():
+        return list(chain.from_iterable(keys)), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(ids)
+
     for b in batches:
-        for k, x in zip(b.column(0).to_pylist(), word_ids(path).encode(b.column(1).to_pylist())):
-            keys.append(k)
-            ids.append(x + end)
-            held += len(x) // 4 + 1
-            if held >= BLOCK_TOKENS:
-                yield keys, ids
-                keys, ids, held = [], [], 0
+        for at, n in text_slices(b.column(1)):
+            key, (found, bounds) = b.column(0).slice(at, n).to_pylist(), words.encode(b.column(1).slice(at, n))
+            found, bounds = np.insert(found, bounds[1:], end_id).astype("<u4"), bounds + np.arange(n + 1)
+            lo = 0
+            while lo < n:  # up to the document that fills the block
+                hi = min(n, int(np.searchsorted(bounds, bounds[lo] + BLOCK_TOKENS - held)))
+                hi = max(lo + 1, hi)
+                keys.append(key[lo:hi])
+                sizes.append(np.diff(bounds[lo : hi + 1]))
+                ids.append(found[bounds[lo] : bounds[hi]])
+                held += int(bounds[hi] - bounds[lo])
+                lo = hi
+                if held >= BLOCK_TOKENS:
+                    yield block()
+                    keys, sizes, ids, held = [], [], [], 0
     if keys:
-        yield keys, ids
+        yield block()
 
 
 def balanced_plan(lengths: list[int], size: int, linear: float = 1.0, quadratic: float | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -142,8 +158,7 @@ def best_fit_plan(lengths: list[int], size: int) -> list[tuple[int, int, int, in
 
 
 def _prepared(df: DataFrame, key: str, text: str) -> DataFrame:
-    small_batches(df.sparkSession)
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
 def pack_balanced(
@@ -165,22 +180,25 @@ def pack_balanced(
 
     def run(batches):
         first = TaskContext.get().partitionId() << 33
-        for keys, ids in _blocks(batches, path, end_id):
-            plan = balanced_plan([len(x) // 4 for x in ids], size, linear, quadratic)
-            cut = [ids[d][4 * s : 4 * (s + n)] for d, s, n, _, _ in plan]
+        for keys, bounds, ids in _blocks(batches, path, end_id):
+            lengths = np.diff(bounds)
+            plan = np.array(balanced_plan(lengths.tolist(), size, linear, quadratic), np.int64)
+            doc, start, length, sequence, offset = plan.T
+            begins = (bounds[doc] + start).tolist()
+            cut = [ids[at : at + n] for at, n in zip(begins, length.tolist())]
             columns = [
-                pa.array([keys[p[0]] for p in plan], pa.int64()),
-                pa.array([p[1] for p in plan], pa.int64()),
-                pa.array([p[2] for p in plan], pa.int64()),
+                pa.array([keys[d] for d in doc.tolist()], pa.int64()),
+                pa.array(start),
+                pa.array(length),
                 pa.array(map(zlib.crc32, cut), pa.int64()),
-                pa.array([len(ids[p[0]]) // 4 for p in plan], pa.int64()),
-                pa.array([first + p[3] for p in plan], pa.int64()),
-                pa.array([p[4] for p in plan], pa.int64()),
+                pa.array(lengths[doc]),
+                pa.array(first + sequence),
+                pa.array(offset),
             ]
-            first += max(p[3] for p in plan) + 1
-            yield pa.RecordBatch.from_arrays(
-                columns + [pa.array(cut, pa.binary())] * with_ids, names + ["ids"] * with_ids
-            )
+            first += int(sequence.max()) + 1
+            if with_ids:
+                columns.append(pa.array([x.tobytes() for x in cut], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * with_ids)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = ", ".join(f"{n} long" for n in names) + ", ids binary" * with_ids
@@ -197,7 +215,8 @@ def pack_best_fit(
     that stand before the piece), ``cu_seqlens`` (cumulative lengths of its
     segments from 0, the padding not among them), ``position_resets`` (where
     positions start again from 0: each segment's first place, and the padding's)
-    and ``ids``, a row of ``size`` little-endian unsigned 16-bit ids.
+    and ``ids``, a row of ``size`` little-endian unsigned ids, of 16 bits each if all
+    ids of the vocabulary, ``end_id`` and ``pad_id`` fit, else of 32.
 
     Documents longer than ``size`` are cut without loss.  A null or empty text
     is a document of the end id alone; null and repeated keys are allowed; an
@@ -206,14 +225,16 @@ def pack_best_fit(
 
     def run(batches):
         first = TaskContext.get().partitionId() << 33
-        for keys, ids in _blocks(batches, path, end_id):
-            plan = best_fit_plan([len(x) // 4 for x in ids], size)
+        kind = id_type(path, end_id, pad_id)
+        for keys, bounds, ids in _blocks(batches, path, end_id):
+            plan = best_fit_plan(np.diff(bounds).tolist(), size)
             plan.sort(key=lambda p: (p[3], p[4]))
             n_seq = plan[-1][3] + 1
-            matrix = np.full((n_seq, size), pad_id, "<u2")
+            matrix = np.full((n_seq, size), pad_id, kind)
             docs, starts, ends = [[] for _ in range(n_seq)], [[] for _ in range(n_seq)], [[0] for _ in range(n_seq)]
+            begins = bounds.tolist()
             for d, s, n, q, o in plan:
-                matrix[q, o : o + n] = np.frombuffer(ids[d], "<u4", n, 4 * s)
+                matrix[q, o : o + n] = ids[begins[d] + s : begins[d] + s + n]
                 docs[q].append(keys[d])
                 starts[q].append(s)
                 ends[q].append(o + n)
@@ -241,11 +262,22 @@ def pack_best_fit(
     )
 
 
+def id_type(path: str, *others: int) -> str:
+    """The kind of number that holds every id of the vocabulary and ``others``."""
+    if min(others, default=0) < 0:
+        raise ValueError("ids must not be negative")
+    return "<u2" if max(word_ids(path).largest, *others) < 1 << 16 else "<u4"
+
+
 def write_packed(df: DataFrame, path: str, **options) -> None:
-    """Pack the documents of ``df`` and write the matrix as Parquet under ``path``."""
+    """Pack the documents of ``df`` and write the matrix as Parquet under ``path``.
+
+    Nulls, repeated rows and other columns are as for ``pack_best_fit``; an empty
+    table writes an empty one."""
     pack_best_fit(df, **options).write.parquet(path)
 
 
 def read_matrix(rows, size: int) -> np.ndarray:
-    """The id matrix of some collected rows of a packed table."""
-    return np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), "<u2").reshape(-1, size)
+    """The id matrix of some collected rows of a packed table of one id width."""
+    held = [bytes(r["ids"]) for r in rows]
+    return np.frombuffer(b"".join(held), f"<u{len(held[0]) // size}" if held else "<u2").reshape(-1, size)

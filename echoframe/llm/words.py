@@ -1,21 +1,29 @@
 """Token ids of whole texts by a public word-level tokenizer, looked up by word.
 
 The tokenizer drops white space and never joins what white space parts, so the
-ids of a text are those of its words one after another.  Each worker remembers
-the ids of the words it met, within a bound, and asks the tokenizer for the
-others, a batch of texts at a time."""
+ids of a text are those of its words one after another.  Arrow splits a batch of
+texts and numbers its distinct words; only those are looked up, and their ids
+are then spread over the batch by place.  Each worker remembers the ids of words
+and of runs of letters, within a bound, and asks the tokenizer for the others."""
 
 from __future__ import annotations
 
 import os
-import re
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space to Python, but a symbol to the tokenizer, or unlike in the two.
-_UNLIKE = re.compile("[\x1c-\x1f\x85᠎​-‏⁠﻿]")
+_UNLIKE = "[\x1c-\x1f\x85᠎​-‏⁠﻿]"
 _LONG = 64
+_BATCH_BYTES = 1 << 23
+
+#: Words of these characters alone are taken apart here, as the tokenizer does it:
+#: they have no other normal form, and each has one lower-case form.
+_SIMPLE = r"^[!-~À-ÖØ-öø-ÿ]+$"
+#: The tokenizer's own parts of a word in lower case.
+_PARTS = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+)"
 
 
 def default_words() -> str:
@@ -24,36 +32,134 @@ def default_words() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def text_slices(texts: pa.Array, most: int = _BATCH_BYTES):
+    """(first, count) of slices of an array of texts that hold about ``most`` bytes
+    or one text."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    at = 0
+    while at < len(sizes):
+        before = int(sizes[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
+        yield at, end - at
+        at = end
+
+
+class _Recent:
+    """What was looked up lately, by two generations of at most ``most`` entries."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, keys: list[str]) -> list[bytes | None]:
+        young, old = self.young, self.old
+        found = list(map(young.get, keys))
+        if old:
+            for i in [i for i, x in enumerate(found) if x is None]:
+                if (x := old.get(keys[i])) is not None:
+                    found[i] = young[keys[i]] = x
+        return found
+
+    def add(self, keys: list[str], values: list[bytes]) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        self.young.update((k, v) for k, v in zip(keys, values) if len(k) <= _LONG)
+
+
 class WordIds:
-    """Ids as little-endian unsigned 32-bit integers."""
+    """Ids as unsigned 32-bit integers."""
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.remember, self.known = remember, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.largest = max(vocabulary.values(), default=0)
+        self.ends = np.zeros(self.largest + 1, bool)  # the tokens that end a run of letters
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words, self.runs = _Recent(remember), _Recent(remember)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = {i for i, t in enumerate(texts) if _UNLIKE.search(t)}
-        words = [() if i in odd else (t.lower() if t.isascii() else t).split() for i, t in enumerate(texts)]
-        now = set(chain.from_iterable(words))
-        new = list(now.difference(self.known))
-        if len(self.known) + len(new) > self.remember:
-            self.known = {w: self.known[w] for w in now if w in self.known}
-        self.known.update(zip(new, self._ids(new)))
-        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
-        for w in new:
-            if len(w) > _LONG:
-                del self.known[w]
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of single parts.  Runs of letters go to the tokenizer many at a time,
+        as one text: each ends with its only token that can end a word."""
+        out: dict[str, bytes] = {}
+        letters = [r for r in parts if r[:1].isalpha() and len(r) <= _LONG]
+        for lo in range(0, len(letters), 4096):
+            some = letters[lo : lo + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some):
+                out.update(zip(some, _cut(ids, stops)))
+        rest = [r for r in parts if r not in out]
+        out.update(zip(rest, self._whole(rest)))
+        return [out[r] for r in parts]
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words: of their parts, or of the whole word if it is odd."""
+        column = pa.array(words, pa.large_string())
+        simple = pc.match_substring_regex(column, _SIMPLE)
+        parted = pc.replace_substring_regex(pc.utf8_lower(column.filter(simple)), _PARTS, r"\1 ")
+        ids, bounds = _spread(pc.ascii_split_whitespace(parted), self.runs, self._of_parts)
+        easy = iter(_cut(ids, bounds[1:]))
+        odd = iter(self._whole(column.filter(pc.invert(simple)).to_pylist()))
+        return [next(easy if s else odd) for s in simple.to_pylist()]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (one more
+        bound than texts).  Null texts have none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, _UNLIKE)))
+        if not len(odd):
+            return _spread(pc.utf8_split_whitespace(texts), self.words, self._of_words)
+        plain = texts.to_pylist()
+        own = self._whole([plain[i] for i in odd])
         for i in odd:
-            out[i] = self._ids([texts[i]])[0]
-        return out
+            plain[i] = ""
+        ids, bounds = self.encode(pa.array(plain, pa.large_string()))
+        pieces = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        for i, x in zip(odd, own):
+            pieces[i] = np.frombuffer(x, "<u4")
+        return np.concatenate(pieces), np.cumsum([0, *map(len, pieces)])
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _cut(ids: np.ndarray, stops: np.ndarray) -> list[bytes]:
+    raw, at, out = ids.tobytes(), 0, []
+    for stop in (4 * stops).tolist():
+        out.append(raw[at:stop])
+        at = stop
+    return out
+
+
+def _spread(split: pa.Array, known: _Recent, ask) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of lists of strings, and where each list's begin.  Every distinct
+    string is looked up once; those that are not ``known`` are ``ask``ed for."""
+    coded = split.flatten().dictionary_encode()
+    kinds, place = _strings(coded.dictionary), np.asarray(coded.indices)
+    ids_of = known.get(kinds)
+    new = [i for i, x in enumerate(ids_of) if x is None]
+    if new:
+        asked = [kinds[i] for i in new]
+        found = ask(asked)
+        for i, x in zip(new, found):
+            ids_of[i] = x
+        known.add(asked, found)
+    sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) >> 2
+    held = np.frombuffer(b"".join(ids_of), "<u4")
+    first = np.cumsum(sizes) - sizes
+    size = sizes[place]
+    before = np.concatenate([[0], np.cumsum(size)])
+    ids = held[np.repeat(first[place] - before[:-1], size) + np.arange(before[-1])]
+    offsets = np.asarray(split.offsets, np.int64)
+    return ids, before[offsets - offsets[0]]
 
 
 _BY_PATH: dict[str, WordIds] = {}

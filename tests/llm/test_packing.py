@@ -2,11 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from echoframe.llm import packing
 from echoframe.llm.packing import CapacityTree, balanced_plan, best_fit_plan, pack_balanced, pack_best_fit, read_matrix, write_packed
 from echoframe.llm.words import WordIds, default_words
 
@@ -25,8 +27,9 @@ def test_word_ids(plain):
     texts += ["", " ", "it's they'll", "<|endoftext|> x", "a" * 5000] + [f"a{chr(c)}b" for c in range(0x3100)]
     ours = WordIds(default_words(), remember=500)
     for lo in range(0, len(texts), 300):
-        for t, got in zip(texts[lo : lo + 300], ours.encode(texts[lo : lo + 300])):
-            assert np.frombuffer(got, "<u4").tolist() == plain(t), repr(t)
+        ids, bounds = ours.encode(pa.array(texts[lo : lo + 300]))
+        for i, t in enumerate(texts[lo : lo + 300]):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == plain(t), repr(t)
 
 
 @settings(max_examples=150, deadline=None)
@@ -124,3 +127,50 @@ def test_tables(spark, plain, tmp_path):
             docs.setdefault(k, []).append((s, ids[a:b].tolist()))
     got = sorted(x for v in docs.values() for _, p in v for x in p)
     assert got == sorted(x for k, t, _ in ROWS for x in plain(t or "") + [2])
+
+
+def test_balanced_assignment_matches_a_plain_search():
+    """Longest first, each to the cheapest sequence with room, by sorting anew at every step."""
+    rng = random.Random(4)
+    for _ in range(40):
+        size = rng.choice([8, 16, 50, 64])
+        lengths = [rng.randrange(1, 120) for _ in range(rng.randrange(1, 25))]
+        total = sum(lengths)
+        rooms = [size] * (total // size) + [1 << i for i in range(12, -1, -1) if (total % size) >> i & 1]
+        load = [[0.0, r, 0] for r in rooms]  # cost, room, used
+        waiting = [(min(n - s, size), d, s) for d, n in enumerate(lengths) for s in range(0, n, size)]
+        want = []
+        while waiting:
+            waiting.sort(key=lambda x: (-x[0], x[1], x[2]))
+            n, d, s = waiting.pop(0)
+            fit = [i for i, x in enumerate(load) if x[1] >= n] or [i for i, x in enumerate(load) if x[1]]
+            at = min(fit, key=lambda i: (load[i][0], i))
+            take = min(n, load[at][1])
+            want.append((d, s, take, at, load[at][2]))
+            load[at] = [load[at][0] + take + take * take / size, load[at][1] - take, load[at][2] + take]
+            if take < n:
+                waiting.append((n - take, d, s + take))
+        assert balanced_plan(lengths, size) == want
+
+
+def test_blocks_end_at_documents(monkeypatch, plain):
+    """A document longer than a block makes one of its own; none is lost or cut."""
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", 50)
+    texts = ["a b c", "word " * 400, "", None, "x y", "z " * 60, "the end"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["k", "t"])
+    seen = []
+    for keys, bounds, ids in packing._blocks([batch], default_words(), 2):
+        assert len(keys) == len(bounds) - 1 and all(bounds[:-1] < 50) and bounds[-1] == len(ids)
+        seen += [(k, ids[a:b].tolist()) for k, a, b in zip(keys, bounds, bounds[1:])]
+    assert seen == [(i, [*plain(t or ""), 2]) for i, t in enumerate(texts)]
+
+
+def test_wide_ids_and_clashing_names(spark):
+    assert packing.id_type(default_words(), 2, 0) == "<u2" and packing.id_type(default_words(), 70_000, 0) == "<u4"
+    df = spark.createDataFrame([(1, "the cat", 5, 6, "x"), (2, None, 7, 8, "y")], "doc_id long, text string, start int, sequence_id int, ids string")
+    rows = pack_best_fit(df, size=16, end_id=70_000).collect()
+    matrix = read_matrix(rows, 16)
+    assert matrix.dtype == np.dtype("<u4") and (matrix == 70_000).sum() == 2
+    assert sum(r.length for r in pack_balanced(df, size=16).collect()) == sum(r.n_tokens for r in rows)
+    with pytest.raises(ValueError):
+        packing.id_type(default_words(), -1)
