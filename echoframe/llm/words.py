@@ -19,11 +19,11 @@ _UNLIKE = "[\x1c-\x1f\x85᠎​-‏⁠﻿]"
 _LONG = 64
 _BATCH_BYTES = 1 << 23
 
-#: Words of these characters alone are taken apart here, as the tokenizer does it:
-#: they have no other normal form, and each has one lower-case form.
-_SIMPLE = r"^[!-~À-ÖØ-öø-ÿ]+$"
-#: The tokenizer's own parts of a word in lower case.
-_PARTS = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+)"
+#: Texts and words of these characters alone are taken apart here, as the tokenizer
+#: does it: they have no other normal form, and each has one lower-case form.
+_SIMPLE = r"^[\t-\r -~À-ÖØ-öø-ÿ]*$"
+#: The tokenizer's own parts besides runs of letters, in lower case.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9ß-öø-ÿ]+"
 
 
 def default_words() -> str:
@@ -78,7 +78,7 @@ class WordIds:
         self.largest = max(vocabulary.values(), default=0)
         self.ends = np.zeros(self.largest + 1, bool)  # the tokens that end a run of letters
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words, self.runs = _Recent(remember), _Recent(remember)
+        self.words, self.parts = _Recent(remember), _Recent(remember)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -99,12 +99,15 @@ class WordIds:
         out.update(zip(rest, self._whole(rest)))
         return [out[r] for r in parts]
 
+    def _simple(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parted = pc.replace_substring_regex(pc.utf8_lower(texts), _PARTS, r" \0 ")
+        return _spread(pc.ascii_split_whitespace(parted), self.parts, self._of_parts)
+
     def _of_words(self, words: list[str]) -> list[bytes]:
         """Ids of single words: of their parts, or of the whole word if it is odd."""
         column = pa.array(words, pa.large_string())
         simple = pc.match_substring_regex(column, _SIMPLE)
-        parted = pc.replace_substring_regex(pc.utf8_lower(column.filter(simple)), _PARTS, r"\1 ")
-        ids, bounds = _spread(pc.ascii_split_whitespace(parted), self.runs, self._of_parts)
+        ids, bounds = self._simple(column.filter(simple))
         easy = iter(_cut(ids, bounds[1:]))
         odd = iter(self._whole(column.filter(pc.invert(simple)).to_pylist()))
         return [next(easy if s else odd) for s in simple.to_pylist()]
@@ -113,16 +116,21 @@ class WordIds:
         """The ids of all texts in a row, and where each text's begin (one more
         bound than texts).  Null texts have none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, _UNLIKE)))
-        if not len(odd):
-            return _spread(pc.utf8_split_whitespace(texts), self.words, self._of_words)
-        plain = texts.to_pylist()
-        own = self._whole([plain[i] for i in odd])
-        for i in odd:
-            plain[i] = ""
-        ids, bounds = self.encode(pa.array(plain, pa.large_string()))
-        pieces = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
-        for i, x in zip(odd, own):
+        simple = np.asarray(pc.match_substring_regex(texts, _SIMPLE))
+        if simple.all():
+            return self._simple(texts)
+        whole = np.asarray(pc.match_substring_regex(texts, _UNLIKE))
+        worded = ~simple & ~whole
+        found = [
+            (np.flatnonzero(simple), *self._simple(texts.filter(pa.array(simple)))),
+            (np.flatnonzero(worded), *_spread(pc.utf8_split_whitespace(texts.filter(pa.array(worded))), self.words, self._of_words)),
+        ]
+        pieces: list = [None] * len(texts)
+        for rows, ids, bounds in found:
+            for i, a, b in zip(rows.tolist(), bounds.tolist(), bounds[1:].tolist()):
+                pieces[i] = ids[a:b]
+        rows = np.flatnonzero(whole & ~simple)
+        for i, x in zip(rows.tolist(), self._whole(texts.take(pa.array(rows)).to_pylist())):
             pieces[i] = np.frombuffer(x, "<u4")
         return np.concatenate(pieces), np.cumsum([0, *map(len, pieces)])
 
