@@ -1,37 +1,54 @@
-"""Main text of web pages by template deduction over pages of one host.
+"""Main text of web pages by template deduction over all pages of a host.
 
 Pages of a host are made from a template.  A page is read as tokens in context:
-tags and words, each with the elements around it.  The tokens of pages that are
-looked at together have occurrence vectors, how often each occurs on each page;
-tokens with equal vectors form an equivalence class (Arasu and Garcia-Molina,
-"Extracting Structured Data from Web Pages", 2003).  A class is valid if it is
-large and frequent enough and its tokens come in one order on every page; valid
-classes nest by the gap of the outer class in which the inner one stands.  What
-stands in the gaps are the slots: text nodes that the template does not make.
-Slots are then judged over all pages at once by the elements around them and by
-their share of link text.
-
-Pages are dealt by ranges of (host, page), so that a host with a third of all
-pages spreads over many tasks, and are looked at in bounded runs of one host.
-A host of few pages has no valid class; its slots are its text nodes.
+opening and closing tags of containers and whole blocks of text, each with the
+elements around it.  Over the pages of a host every token has an occurrence
+vector, how often it is on each page; tokens with equal vectors form an
+equivalence class (Arasu and Garcia-Molina, "Extracting Structured Data from Web
+Pages", 2003).  A class is valid if it has enough tokens and pages, and on a
+page if its tags come there in the class's order.  Elements whose tags are in
+valid classes are the template's and nest by the document tree; what stands
+between is in slots.  Text that the template makes has no weight; what a slot
+weighs is the unlinked text that varies, on the mean over all pages of the host.
+The slot of a page is found from the root down: into the element that outweighs
+the others, until an element has varying text of its own.
+
+1. One pass counts.  Vectors are folded to one number per token with exclusive
+   or, so tasks hand on sums and no task sees a whole host.
+2. Classes, elements and weights are joins and grouped sums of that table.
+3. A second pass reads each page by its host's template; pages are not shuffled
+   for it while all templates are few enough to be broadcast.
+
+A host of few pages has no classes.  Its pages are read by the classes of the
+whole table, if there are any, or else by their own elements and their weights.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
 from html import unescape
 
-import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import small_batches
+from ..plans.scratch import materialize
+from .words import text_slices
 
-RUN_PAGES, RUN_CHARS = 96, 6_000_000
-LEAST_PAGES, LEAST_TOKENS = 4, 3
+#: A valid class has so many tokens, on so many pages and such a share of the host's.
+LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 3, 4, 0.05
+#: An element with such a share of the heaviest one's weight is main text too.
+BESIDE = 0.25
+#: An element with such a share of its weight outside of inner elements is not left for them.
+OWN = 0.05
+#: How much more the text in ``article`` and ``main`` weighs, and these elements among others.
+PREFERRED = 32
+#: Elements of all templates together that are broadcast, some tens of megabytes.
+MOST_BROADCAST = 200_000
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -41,324 +58,381 @@ _MARKUP = re.compile(
     r"|<[a-zA-Z/][^<>]*\Z",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_DIGITS = re.compile(r"\d+")
 
 # Elements of HTML by what they mean here.
-_ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "figcaption"}
+_ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head"}
 _MAIN = {"article", "main"}
-_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_HEADINGS = {"h1", "h2", "h3"}
 _CONTEXT = _ASIDE | _MAIN | {"html", "body", "section", "div", "ul", "ol", "table", "tbody", "tr", "td", "th", "dl", "blockquote", "figure", "details", "fieldset"}
-_INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "em", "font", "i", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_INLINE = {
+    "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp",
+    "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+}
 _ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-_ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification\w*|popup|modal|overlay"
-    r"|newsletter|subscri\w*|signup|sidebar\w*|side|rail|menu\w*|nav|navbar|navigation|breadcrumbs?|footer\w*|header|masthead|topbar|toolbar"
-    r"|share|sharing|social|related|recommend\w*|trending|comments?|commentlist|replies|reply|disqus|respond|discussion|login|search\w*"
-    r"|pagination|pager|widgets?|copyright|legal|disclaimer|alerts?|skip|byline|tags|author)(?:$|[\s_-])",
-    re.I,
-)
 
+ROOT = 0
+_EVERY = "*"  # in place of a host: the whole table
+_REMEMBER = 200_000
 
-@dataclass
-class Node:
-    """A text node: its words, and where it stands."""
 
-    words: list[str]
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+@dataclass(slots=True)
+class Place:
+    """An element in its context; elements of like names in like contexts are one."""
+
     path: int
-    start: int  # of its words among the page's tokens
-    block: int
-    linked: bool
+    around: tuple[int, ...]  # from the root to itself
+    name: str
+    main: bool  # is or is in a main element
+    aside: bool
+    opens: int = 0  # its tokens
+    closes: int = 0
+
+
+@dataclass(slots=True)
+class Block:
+    text: str
+    path: int
+    plain: int  # its weight: characters outside of links
     heading: bool
+    at: int  # among the page's tokens
+    token: int
 
 
 @dataclass
 class Page:
-    tokens: list[int] = field(default_factory=list)
-    nodes: list[Node] = field(default_factory=list)
+    tags: list[tuple[int, int, int]] = field(default_factory=list)  # token, place, position
+    blocks: list[Block] = field(default_factory=list)
+    places: dict[int, Place] = field(default_factory=dict)
 
 
 class Reader:
-    """Reads pages into tokens that are numbered alike on all pages of a run."""
+    """Reads pages; what it remembers of places is bounded."""
 
     def __init__(self):
-        self.roles: dict[int, dict[str, int]] = defaultdict(dict)
-        self.count = 0
-        self.paths: dict[tuple, int] = {(): 0}
-        self.info: list[tuple[bool, bool]] = [(False, False)]  # by path: in the main part, in something aside
-        self.parts: list[frozenset[int]] = [frozenset()]  # by path: the main elements around it
-        self.votes: list[frozenset[int]] = [frozenset()]  # by path: the elements around it whose names say aside
-
-    def role(self, path: int, name: str) -> int:
-        known = self.roles[path]
-        number = known.get(name)
-        if number is None:
-            number = known[name] = self.count
-            self.count += 1
-        return number
-
-    def enter(self, path: tuple, name: str, attributes: str) -> tuple:
-        found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-        label = " ".join(found.get(k, "") for k in ("class", "id")).strip()
-        new = (*path, (name, label, found.get("role", "")))
-        if new not in self.paths:
-            main, aside = self.info[self.paths[path]]
-            hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
-            own = name in ("header", "figcaption") and main  # an article's own header and captions are kept
-            aside = aside or bool(hidden) or (name in _ASIDE and not own)
-            aside = aside or found.get("role", "").lower() in _ASIDE_ROLES
-            part = name in _MAIN or found.get("role", "").lower() == "main"
-            vote = not part and name not in ("html", "body") and bool(label and _ASIDE_NAMES.search(label))
-            around, number = self.paths[path], len(self.info)
-            self.paths[new] = number
-            self.info.append((main or part, aside))
-            self.parts.append(self.parts[around] | {number} if part else self.parts[around])
-            self.votes.append(self.votes[around] | {number} if vote else self.votes[around])
-        return new
+        self.root = Place(ROOT, (ROOT,), "", False, False)
+        self.inner: dict[tuple, Place] = {}
+
+    def enter(self, outer: Place, name: str, attributes: str) -> Place:
+        key = (outer.path, name, attributes)
+        known = self.inner.get(key)
+        if known is not None:
+            return known
+        found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
+        role = found.get("role", "").lower()
+        label = _DIGITS.sub("#", f"{name} {found.get('class', '')} {found.get('id', '')} {role}")  # numbers in names differ from page to page
+        path = xxhash.xxh3_64_intdigest(label.encode(), outer.path & 0x7FFFFFFFFFFFFFFF) >> 2 or 1
+        part = name in _MAIN or role == "main"
+        own = name == "header" and outer.main  # an article's own header is kept
+        aside = outer.aside or (name in _ASIDE and not own) or role in _ASIDE_ROLES
+        made = Place(path, (*outer.around, path), name if not part else "main", outer.main or part, aside, path << 1, path << 1 | 1)
+        if len(self.inner) >= _REMEMBER:
+            self.inner.clear()
+        self.inner[key] = made
+        return made
 
     def read(self, html: str) -> Page:
-        page, path, number = Page(), (), 0
-        block, links, heading, at = 0, 0, 0, 0
-
-        def text(piece: str) -> None:
-            words = unescape(piece).split() if "&" in piece else piece.split()
-            if words:
-                page.nodes.append(Node(words, number, len(page.tokens), block, links > 0, heading > 0))
-                known = self.roles[number]
-                page.tokens.extend([known[w] if w in known else self.role(number, w) for w in words])
+        page, stack, at, links, heading, count = Page(), [self.root], 0, 0, 0, 0
+        places = page.places
+        places[ROOT] = self.root
+        pieces: list[str] = []
+        plain = 0
+
+        def end() -> None:
+            nonlocal plain, count
+            text = " ".join("".join(pieces).split())
+            pieces.clear()
+            if text:
+                place = stack[-1]
+                token = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), place.path) | 1 << 63
+                page.blocks.append(Block(text, place.path, plain * (PREFERRED if place.main else 1), heading > 0, count, token))
+                count += 1
+            plain = 0
+
+        def hold(piece: str) -> None:
+            nonlocal plain
+            piece = unescape(piece) if "&" in piece else piece
+            pieces.append(piece)
+            if not links:
+                plain += len(piece) - piece.count(" ")
 
         for m in _MARKUP.finditer(html):
             if m.start() > at:
-                text(html[at : m.start()])
+                hold(html[at : m.start()])
             at = m.end()
             name = m.group(3)
             if name is None:
+                if m.group(1):
+                    pieces.append(" ")
                 continue
             name, closing = name.lower(), m.group(2)
-            if name not in _INLINE:
-                block += 1
             if name == "a":
                 links = 0 if closing else 1
-            elif name in _HEADINGS:
+            if name in _INLINE:
+                continue
+            end()
+            if name in _HEADINGS:
                 heading = 0 if closing else 1
-            if name in _CONTEXT:
-                if closing:
-                    for i in range(len(path) - 1, -1, -1):
-                        if path[i][0] == name:
-                            path = path[:i]
-                            break
-                else:
-                    if name == "body" and path and path[-1][0] == "head":
-                        path = path[:-1]
-                    path = self.enter(path, name, m.group(4))
-                number = self.paths[path]
-            page.tokens.append(self.role(number, ("</" if closing else "<") + name))
+            if name not in _CONTEXT:
+                continue
+            if closing:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].name == name or (stack[i].name == "main" and name in _MAIN):
+                        page.tags.append((stack[i].closes, stack[i].path, count))
+                        count += 1
+                        del stack[i:]
+                        break
+            else:
+                if name == "body" and stack[-1].name == "head":
+                    stack.pop()
+                place = self.enter(stack[-1], name, m.group(4))
+                stack.append(place)
+                places[place.path] = place
+                page.tags.append((place.opens, place.path, count))
+                count += 1
         if at < len(html):
-            text(html[at:])
+            hold(html[at:])
+        end()
         return page
 
 
-def valid_classes(pages: list[Page], count: int) -> list[np.ndarray]:
-    """The valid equivalence classes, each as its tokens in their order."""
-    owner = np.repeat(np.arange(len(pages)), [len(p.tokens) for p in pages])
-    tokens = np.concatenate([np.array(p.tokens, np.int64) for p in pages]) if len(owner) else np.empty(0, np.int64)
-    key, times = np.unique(tokens * len(pages) + owner, return_counts=True)
-    token, page = key // len(pages), key % len(pages)
-    spread = np.bincount(token, minlength=count)
-    rng = np.random.default_rng(5)
-    salt = rng.integers(1, 1 << 62, len(pages), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        vector = np.zeros(count, np.uint64)
-        np.add.at(vector, token, salt[page] * times.astype(np.uint64))
-    frequent = np.flatnonzero(spread >= max(LEAST_PAGES, 0.5 * len(pages)))
-    groups = defaultdict(list)
-    for t in frequent:
-        groups[int(vector[t])].append(int(t))
-    out = []
-    for members in groups.values():
-        if len(members) < LEAST_TOKENS:
-            continue
-        mine = np.zeros(count, bool)
-        mine[members] = True
-        order = None
-        for p in pages:
-            seen = [t for t in p.tokens if mine[t]]
-            if not seen:
-                continue
-            cycle = seen[: len(members)]
-            if order is None:
-                order = cycle
-            if len(set(cycle)) != len(members) or seen != order * (len(seen) // len(members)) or cycle != order:
-                order = None
-                break
-        if order is not None:
-            out.append(np.array(order))
-    return out
+def weights(page: Page) -> dict[int, tuple[float, float, float]]:
+    """Of every element of one page: the weight of all in it, what is outside of
+    inner elements, and how much of that is headings."""
+    held, own, heads = defaultdict(float), defaultdict(float), defaultdict(float)
+    for b in page.blocks:
+        if not page.places[b.path].aside:
+            own[b.path] += b.plain
+            heads[b.path] += b.plain * b.heading
+            for p in page.places[b.path].around:
+                held[p] += b.plain
+    return {p: (held[p], own[p], heads[p]) for p in page.places}
+
 
+@dataclass
+class Template:
+    """Elements with their class and weights, and the tags of each class in order."""
+
+    elements: dict[int, tuple[int, tuple[float, float, float]]]
+    classes: dict[int, list[int]]
+
+    @staticmethod
+    def of(text: str | None) -> "Template | None":
+        if not text:
+            return None
+        held = json.loads(text)
+        return Template(
+            {e["path"]: (e["class"], (e["held"], e["own"], e["heads"])) for e in held["elements"]}, {c["class"]: c["tags"] for c in held["classes"]}
+        )
 
-def nested(pages: list[Page], classes: list[np.ndarray], count: int) -> list[tuple[int, int]]:
-    """For each class the class around it and the gap of that class, (-1, 0) for
-    none.  Class B is in a gap of class A if on every page all tokens of B stand
-    between the same two neighbours of A; of several, the smallest span counts."""
-    rank = {}
-    for c, members in enumerate(classes):
-        for i, t in enumerate(members):
-            rank[int(t)] = (c, i)
-    gap_of: dict[tuple[int, int], int | None] = {}
-    for p in pages:
-        last: dict[int, int] = {}
-        for t in p.tokens:
-            if t in rank:
-                c, i = rank[t]
-                for outer, gap in last.items():
-                    if outer != c:
-                        if gap_of.setdefault((c, outer), gap) != gap:
-                            gap_of[c, outer] = None
-                for outer in range(len(classes)):
-                    if outer != c and outer not in last:
-                        gap_of[c, outer] = None
-                last[c] = i
-    out = []
-    for c in range(len(classes)):
-        around = [(len(classes[o]), o) for o in range(len(classes)) if gap_of.get((c, o)) is not None and gap_of.get((c, o)) < len(classes[o]) - 1]
-        if around:
-            o = min(around)[1]
-            out.append((o, gap_of[c, o]))
+    def on(self, page: Page) -> dict[int, tuple[float, float, float]]:
+        """The weights of the elements of this page that valid classes make."""
+        class_of = {t: c for c, tags in self.classes.items() for t in tags}
+        seen: dict[int, list[int]] = defaultdict(list)
+        for t, _, _ in page.tags:
+            if t in class_of:
+                seen[class_of[t]].append(t)
+        good = {c for c, tags in seen.items() if tags == self.classes[c] * (len(tags) // len(self.classes[c]))}
+        return {p: e[1] for p in page.places if (e := self.elements.get(p)) and (p == ROOT or e[0] in good)}
+
+
+def main_elements(places: dict[int, Place], weight: dict[int, tuple[float, float, float]]) -> list[int]:
+    """The elements that hold the main text, given the weights of some elements."""
+    inside = defaultdict(list)
+    for p in weight:
+        if p != ROOT and not places[p].aside:
+            inside[next((a for a in reversed(places[p].around[:-1]) if a in weight), ROOT)].append(p)
+    now = ROOT
+    while inside[now]:
+        kids = inside[now]
+        held, own, heads = weight.get(now, (0.0, 0.0, 0.0))
+        if heads > 0 or own > OWN * held or (places[now].name == "main" and not any(places[k].name == "main" for k in kids)):
+            break
+        score = {k: weight[k][0] * (PREFERRED if places[k].name == "main" else 1) for k in kids}
+        best = max(score.values())
+        if best <= 0:
+            kept = [k for k in kids if places[k].name == "main"]
         else:
-            out.append((-1, 0))
+            kept = [k for k in kids if score[k] >= BESIDE * best]
+        if len(kept) != 1:
+            return kept or [now]
+        now = kept[0]
+    return [now]
+
+
+def main_text(page: Page, templates: list[Template | None]) -> str:
+    """The page's main text by the first template that makes an element of it; if
+    nothing varies, as with copies of one page, a template says nothing."""
+    for t in templates:
+        weight = t.on(page) if t else {}
+        if len(weight) > 1 and weight[ROOT][0] > 0:
+            break
+    else:
+        weight = weights(page)
+    main = set(main_elements(page.places, weight))
+    inside = {p for p, place in page.places.items() if not place.aside and not main.isdisjoint(place.around)}
+    return " ".join(b.text for b in page.blocks if b.path in inside)
+
+
+def count_page(page: Page, salt: int) -> list[tuple]:
+    """Rows of one page: (kind, token, path, vector, times, plain, heads, salt, at,
+    around), of which kind 0 are tags, 1 blocks and 2 elements."""
+    times: dict[int, list] = {}
+    for t, p, at in page.tags:
+        row = times.setdefault(t, [0, t, p, 0, 0, 0, at])
+        row[3] += 1
+    for b in page.blocks:
+        row = times.setdefault(b.token, [1, b.token, b.path, 0, 0, 0, b.at])
+        row[3] += 1
+        if not page.places[b.path].aside:
+            row[4] += b.plain
+            row[5] += b.plain * b.heading
+    out = [(k, t, p, xxhash.xxh3_64_intdigest(n.to_bytes(8, "big"), salt), n, plain, heads, salt, at, None) for k, t, p, n, plain, heads, at in times.values()]
+    for p, (_, own, heads) in weights(page).items():
+        out.append((2, p, p, 0, 1, int(own), int(heads), 0, 0, page.places[p].around))
     return out
 
 
-def named_aside(reader: Reader, nodes: list[Node]) -> set[int]:
-    """Paths of the page's ``nodes`` that are aside by the name of an element around
-    them.  A name is a weak vote: it does not count for an element that holds more
-    unlinked text than all that no name puts aside, if that is most of the page or
-    has a main element in it, unless there is a main element elsewhere."""
-    mass: dict[int, int] = defaultdict(int)
-    for n in nodes:
-        if not reader.info[n.path][1]:
-            mass[n.path] += 0 if n.linked else sum(map(len, n.words))
-    standing = set().union(*(reader.votes[p] for p in mass))
-    if not standing:
-        return set()
-    total = sum(mass.values())
-    for v in sorted(standing):  # outer elements before inner ones
-        under = [p for p in mass if v in reader.votes[p]]
-        free = [p for p in mass if not reader.votes[p] & standing]
-        held = sum(mass[p] for p in under)
-        elsewhere = any(mass[p] and reader.parts[p] - reader.parts[v] for p in free)
-        wraps = any(reader.parts[p] - reader.parts[v] for p in under)
-        if not elsewhere and held > sum(mass[p] for p in free) and (2 * held > total or wraps):
-            standing.discard(v)
-    return {p for p in mass if reader.votes[p] & standing}
-
-
-def main_texts(htmls: list[str]) -> list[str]:
-    """The main text of each page, the pages being of one host."""
-    reader = Reader()
-    pages = [reader.read(h) for h in htmls]
-    # Equal pages are one witness: copies of one article do not make it a template.
-    witness = list({tuple(p.tokens): p for p in pages}.values())
-    classes = valid_classes(witness, reader.count) if len(witness) >= LEAST_PAGES else []
-    if len(classes) > 40:
-        classes = sorted(classes, key=len, reverse=True)[:40]
-    around = nested(witness, classes, reader.count)
-    made, everywhere = np.zeros(reader.count, bool), np.zeros(reader.count, bool)
-    spread = np.bincount([t for p in witness for t in set(p.tokens)], minlength=reader.count) if classes else everywhere
-    rank = {}
-    for c, members in enumerate(classes):
-        made[members] = True
-        everywhere[members] = len(witness) >= 8 and spread[members[0]] >= 0.95 * len(witness)
-        for i, t in enumerate(members):
-            rank[int(t)] = (c, i)
-
-    # Slots: by the innermost gap and the elements around the node.
-    mass: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0])
-    placed: list[list[tuple[Node, tuple]]] = []
-    for p in pages:
-        own, gap, at, tokens = [], (-1, 0), 0, p.tokens
-        for node in p.nodes:
-            if rank:
-                for t in tokens[at : node.start]:
-                    if t in rank:
-                        gap = rank[t]
-                        c, i = gap
-                        while i == len(classes[c]) - 1 and around[c][0] >= 0:  # behind its last token the outer gap goes on
-                            c, i = gap = around[c]
-            at = node.start + len(node.words)
-            # The template's own words go; from an article only those that all pages have.
-            template = everywhere if reader.info[node.path][0] else made
-            if rank and all(template[t] for t in tokens[node.start : at]):
-                continue
-            slot = (*gap, node.path)
-            own.append((node, slot))
-            chars = sum(map(len, node.words))
-            mass[slot][0] += chars
-            mass[slot][1] += chars * node.linked
-        placed.append(own)
-
-    out = []
-    for own in placed:
-        named = named_aside(reader, [n for n, _ in own])
-        free = [(n, s) for n, s in own if not reader.info[n.path][1] and n.path not in named]
-        main = [(n, s) for n, s in free if reader.info[n.path][0]]
-        if main:
-            chosen = [n for n, _ in main]
-        else:  # no element says where the article is: slots of running text
-            chosen = [n for n, s in free if mass[s][1] <= 0.5 * mass[s][0]]
-        blocks: list[str] = []
-        last = None
-        for n in chosen:
-            if n.block == last:
-                blocks[-1] += " " + " ".join(n.words)
-            else:
-                blocks.append(" ".join(n.words))
-            last = n.block
-        out.append(" ".join(blocks))
-    return out
+_COUNTS = "host string, kind int, token long, path long, vector long, n long, times long, plain long, heads long, salt long, at int, around array<long>"
+
+
+def _merged(rows: DataFrame, *keys: str) -> DataFrame:
+    """Counts of one key as one row; ``first`` is its place on the page of smallest salt."""
+    return rows.groupBy(*keys).agg(
+        F.min("path").alias("path"), F.bit_xor("vector").alias("vector"), F.sum("n").alias("n"), F.sum("times").alias("times"), F.sum("plain").alias("plain"),
+        F.sum("heads").alias("heads"), F.min("first").alias("first"), F.max("around").alias("around"),
+    )
+
+
+def token_counts(rows: DataFrame) -> DataFrame:
+    """One row per host and token, from ``rows`` (page_id, url, html, host)."""
+
+    def flush(held: dict):
+        keys, values = list(held), list(held.values())
+        for lo in range(0, len(keys), 1 << 16):
+            k, v = keys[lo : lo + (1 << 16)], values[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([x[0] for x in k], pa.string()), pa.array([x[1] for x in k], pa.int32()), pa.array([_signed(x[2]) for x in k], pa.int64()),
+                    pa.array([x[0] for x in v], pa.int64()), pa.array([_signed(x[1]) for x in v], pa.int64()),
+                    *(pa.array([x[i] for x in v], pa.int64()) for i in (2, 3, 4, 5)), pa.array([_signed(x[6]) for x in v], pa.int64()),
+                    pa.array([x[7] for x in v], pa.int32()), pa.array([x[8] for x in v], pa.list_(pa.int64())),
+                ],
+                ["host", "kind", "token", "path", "vector", "n", "times", "plain", "heads", "salt", "at", "around"],
+            )
+
+    def run(batches):
+        reader, held = Reader(), {}
+        for b in batches:
+            for page_id, url, html, host in _pages(b):
+                salt = xxhash.xxh3_64_intdigest(html.encode("utf-8", "surrogatepass"), xxhash.xxh3_64_intdigest(f"{page_id} {url}".encode("utf-8", "surrogatepass")))
+                for kind, token, path, vector, n, plain, heads, salt_, at, around in count_page(reader.read(html), salt):
+                    row = held.get((host, kind, token))
+                    if row is None:
+                        held[host, kind, token] = [path, vector, 1, n, plain, heads, salt_, at, around]
+                    else:
+                        row[1] ^= vector
+                        row[2] += 1
+                        row[3] += n
+                        row[4] += plain
+                        row[5] += heads
+                        if _signed(salt_) < _signed(row[6]):
+                            row[6:8] = salt_, at
+            if len(held) > 1 << 18:
+                yield from flush(held)
+                held = {}
+        yield from flush(held)
+
+    parts = rows.mapInArrow(run, _COUNTS)
+    return _merged(parts.withColumn("first", F.struct("salt", "at")), "host", "kind", "token")
+
+
+def _pages(batch):
+    for at, n in text_slices(batch.column(2)):
+        yield from zip(*[batch.column(i).slice(at, n).to_pylist() for i in range(4)])
+
+
+def templates(counts: DataFrame) -> DataFrame:
+    """(host, template as JSON) of every host that has valid classes, and of the
+    whole table under the host ``*``.  A host's tokens that reach the least share of
+    its pages are at most one over the share times those of a page, so one row
+    holds what is grouped by host here."""
+    every = _merged(counts, "kind", "token").withColumn("host", F.lit(_EVERY))
+    both = materialize(counts.unionByName(every.select(*counts.columns)), "html-tokens")
+    pages = both.where((F.col("kind") == 2) & (F.col("token") == ROOT)).select("host", F.col("n").alias("pages"))
+    enough = F.greatest(F.lit(float(LEAST_PAGES)), F.col("pages") * LEAST_SHARE)
+    frequent = both.where((F.col("kind") < 2) & (F.col("n") >= LEAST_PAGES)).join(pages, "host").where(F.col("n") >= enough)
+    member = F.struct("first", "kind", "token", "path", "plain", "heads")
+    classes = frequent.groupBy("host", "vector", "n", "times").agg(F.sort_array(F.collect_list(member)).alias("members"))
+    classes = materialize(classes.where(F.size("members") >= LEAST_TOKENS), "html-classes")
+    number = F.xxhash64("vector", "n", "times").alias("class")
+    made = classes.select("host", number, F.explode("members").alias("m")).select("host", "class", "m.kind", "m.token", "m.path", "m.plain", "m.heads")
+
+    # What the template itself says has no weight.
+    said = made.where("kind = 1").groupBy("host", "path").agg(F.sum("plain").alias("less"), F.sum("heads").alias("less_heads"))
+    spots = both.where("kind = 2").select("host", "path", "n", "plain", "heads", "around").join(said, ["host", "path"], "left")
+    spots = spots.select(
+        "host", "path", "n", "around", (F.col("plain") - F.coalesce("less", F.lit(0))).alias("plain"), (F.col("heads") - F.coalesce("less_heads", F.lit(0))).alias("heads")
+    )
+    spots = materialize(spots, "html-spots")
+    elements = made.where("kind = 0").groupBy("host", "path").agg(F.min("class").alias("class"))
+    elements = materialize(elements.unionByName(classes.select("host", F.lit(ROOT).cast("long").alias("path"), F.lit(0).cast("long").alias("class")).distinct()), "html-elements")
+    up = spots.select("host", F.col("path").alias("spot"), "plain", "heads", F.posexplode("around").alias("deep", "path")).join(elements, ["host", "path"])
+    held = up.groupBy("host", "path").agg(F.sum("plain").alias("held"))
+    nearest = up.groupBy("host", "spot").agg(F.max_by("path", "deep").alias("path"), F.min("plain").alias("plain"), F.min("heads").alias("heads"))
+    own = nearest.groupBy("host", "path").agg(F.sum("plain").alias("own"), F.sum("heads").alias("heads"))
+    weighed = (
+        elements.join(held, ["host", "path"]).join(own, ["host", "path"], "left").join(spots.select("host", "path", "n"), ["host", "path"])
+        .select("host", "path", "class", *[(F.coalesce(c, F.lit(0)) / F.col("n")).alias(c) for c in ("held", "own", "heads")])
+    )
+    by_host = weighed.groupBy("host").agg(F.collect_list(F.struct("path", "class", "held", "own", "heads")).alias("elements"))
+    tags = classes.select("host", number, F.transform(F.filter("members", lambda m: m["kind"] == 0), lambda m: m["token"]).alias("tags")).where(F.size("tags") > 0)
+    tags = tags.groupBy("host").agg(F.collect_list(F.struct("class", "tags")).alias("classes"))
+    out = by_host.join(tags, "host")
+    return out.select("host", F.to_json(F.struct("elements", "classes")).alias("template"), F.size("elements").alias("size"))
 
 
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: ``page_id``, ``url``, ``text`` and ``n_chars`` (code points).
 
+    Templates come from all pages of a host, so a page's text depends on its own
+    host's pages (for a host of few pages, on all pages) and not on how they are
+    dealt.  Inside the elements that hold the main text nothing is dropped but
+    elements that are a menu, header, footer, sidebar, notice or form by kind or
+    role, and scripts, styles and controls.
+
     A null or empty page has an empty text.  Pages with a null or odd url share
     one nameless host.  Null and repeated ids are allowed: every row gives a row.
     An empty table gives an empty table; other columns are ignored."""
-    small_batches(pages.sparkSession)
-    rows = (
-        pages.select(
-            F.col(key).cast("long").alias("page_id"),
-            F.col(url).alias("url"),
-            F.coalesce(F.col(html), F.lit("")).alias("html"),
-            F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\w+://([^/?#]*)", 1)).alias("host"),
-        )
-        .repartitionByRange("host", "page_id")
-        .sortWithinPartitions("host", "page_id")
-    )
-
-    def done(held):
-        texts = main_texts([r[2] for r in held])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in held], pa.int64()),
-                pa.array([r[1] for r in held], pa.string()),
-                pa.array(texts, pa.string()),
-                pa.array(map(len, texts), pa.int64()),
-            ],
-            ["page_id", "url", "text", "n_chars"],
-        )
+    name = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"^\w+://([^/?#]*)", 1))
+    rows = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"), name.alias("host"))
+    made = materialize(templates(token_counts(rows)), "html-templates")
+    total = made.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    every = made.where(F.col("host") == _EVERY).first()
+    every = every.template if every else None
+    hosts = made.where(F.col("host") != _EVERY).select("host", "template")
+    read = rows.join(F.broadcast(hosts) if total <= MOST_BROADCAST else hosts, "host", "left").select("page_id", "url", "html", "template")
 
     def run(batches):
-        held, now, size = [], None, 0
+        reader, common, known = Reader(), Template.of(every), {}
         for b in batches:
-            for row in zip(*[b.column(i).to_pylist() for i in range(4)]):
-                if held and (row[3] != now or len(held) >= RUN_PAGES or size >= RUN_CHARS):
-                    yield done(held)
-                    held, size = [], 0
-                now = row[3]
-                held.append(row)
-                size += len(row[2])
-        if held:
-            yield done(held)
-
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            ids, urls, texts = [], [], []
+            for page_id, link, page, template in _pages(b):
+                if template not in known:
+                    if len(known) >= 1000:
+                        known.clear()
+                    known[template] = Template.of(template)
+                ids.append(page_id)
+                urls.append(link)
+                texts.append(main_text(reader.read(page), [known[template], common]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                ["page_id", "url", "text", "n_chars"],
+            )
+
+    return read.mapInArrow(run, "page_id long, url string, text string, n_chars long")
