@@ -8,8 +8,9 @@ equivalence class (Arasu and Garcia-Molina, "Extracting Structured Data from Web
 Pages", 2003).  A class is valid if it has enough tokens and pages, and on a
 page if its tags come there in the class's order.  Elements whose tags are in
 valid classes are the template's and nest by the document tree; what stands
-between is in slots.  Text that the template makes has no weight; what a slot
-weighs is the unlinked text that varies, on the mean over all pages of the host.
+between is in slots.  Text that the template makes has no weight, but for what
+articles share; what a slot weighs is the other unlinked text, on the mean over
+all pages of the host.
 The slot of a page is found from the root down: into the element that outweighs
 the others, until an element has varying text of its own.
 
@@ -289,7 +290,7 @@ def count_page(page: Page, salt: int) -> list[tuple]:
     for b in page.blocks:
         row = times.setdefault(b.token, [1, b.token, b.path, 0, 0, 0, b.at])
         row[3] += 1
-        if not page.places[b.path].aside:
+        if not (page.places[b.path].aside or page.places[b.path].main):  # what articles share is their own
             row[4] += b.plain
             row[5] += b.plain * b.heading
     out = [(k, t, p, xxhash.xxh3_64_intdigest(n.to_bytes(8, "big"), salt), n, plain, heads, salt, at, None) for k, t, p, n, plain, heads, at in times.values()]
