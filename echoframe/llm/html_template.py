@@ -242,24 +242,26 @@ class Template:
         return {p: e[1] for p in page.places if (e := self.elements.get(p)) and (p == ROOT or e[0] in good)}
 
 
-def main_elements(places: dict[int, Place], weight: dict[int, tuple[float, float, float]]) -> list[int]:
-    """The elements that hold the main text, given the weights of some elements."""
+def main_elements(page: Page, weight: dict[int, tuple[float, float, float]]) -> list[int]:
+    """The elements that hold the page's main text, given the weights of some."""
+    places = page.places
     inside = defaultdict(list)
     for p in weight:
         if p != ROOT and not places[p].aside:
             inside[next((a for a in reversed(places[p].around[:-1]) if a in weight), ROOT)].append(p)
+    here = defaultdict(int)  # weight on this page outside of inner elements
+    for b in page.blocks:
+        if not places[b.path].aside:
+            here[next((a for a in reversed(places[b.path].around) if a in weight), ROOT)] += b.plain
     now = ROOT
     while inside[now]:
         kids = inside[now]
         held, own, heads = weight.get(now, (0.0, 0.0, 0.0))
-        if heads > 0 or own > OWN * held or (places[now].name == "main" and not any(places[k].name == "main" for k in kids)):
+        if here[now] and (heads > 0 or own > OWN * held) or (places[now].name == "main" and not any(places[k].name == "main" for k in kids)):
             break
         score = {k: weight[k][0] * (PREFERRED if places[k].name == "main" else 1) for k in kids}
         best = max(score.values())
-        if best <= 0:
-            kept = [k for k in kids if places[k].name == "main"]
-        else:
-            kept = [k for k in kids if score[k] >= BESIDE * best]
+        kept = [k for k in kids if score[k] >= BESIDE * best and best > 0]
         if len(kept) != 1:
             return kept or [now]
         now = kept[0]
@@ -275,7 +277,7 @@ def main_text(page: Page, templates: list[Template | None]) -> str:
             break
     else:
         weight = weights(page)
-    main = set(main_elements(page.places, weight))
+    main = set(main_elements(page, weight))
     inside = {p for p, place in page.places.items() if not place.aside and not main.isdisjoint(place.around)}
     return " ".join(b.text for b in page.blocks if b.path in inside)
 
