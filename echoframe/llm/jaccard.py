@@ -2,14 +2,17 @@
 
 1. Every text becomes the set of its n-gram hashes; texts with equal sets are one
    *set* from there on, with a count of its copies.
-2. MinHash values are cut in bands; sets that share a band are candidates.  Band
-   and row counts follow from the threshold and the recall wanted.  A bucket
-   yields a star, not its pairs, so a bucket of any size yields one row a member.
-3. The candidates' connected components are verified on full n-gram sets, every
-   pair in a component, in blocks of bounded size: a large component is dealt
-   over many tasks as pairs of blocks.  Links are counted in the tasks; of a
-   block's links only a spanning forest leaves it.
-4. Connected components of those links are the classes.
+2. MinHash values are cut in bands; sets that share a band share a bucket.  Band
+   and row counts follow from the threshold and the recall wanted.
+3. Within buckets, sketches (a byte of each MinHash value) tell chance meetings from
+   near sets: every member is held against the bucket's first, and the few that
+   are unlike it against all others, in blocks.  So a bucket yields a forest, not
+   its pairs, and unlike sets do not chain buckets together.
+4. The connected components of that are verified on full n-gram sets, in pairs of
+   blocks of bounded numbers and bytes, dealt over the tasks.  Sets whose sizes
+   rule a link out do not meet.  Links are counted in the tasks; of a block's
+   links only a spanning forest leaves it.
+5. Connected components of those links are the classes.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..plans.scratch import materialize, small_batches
+from ..plans.scratch import materialize
+from .words import text_slices
 
-BLOCK = 400  # sets on either side of a pair of blocks, about
+BLOCK, BLOCK_BYTES = 128, 1 << 25  # on either side of a pair of blocks of n-gram sets, about
+BUCKET = 1024  # sketches on either side of a pair of blocks, about
 _WORDS: dict[bytes, int] = {}
 
 
@@ -79,8 +84,9 @@ def ngram_set(text: str, n: int) -> np.ndarray:
     return np.unique(mixed)
 
 
-def minhash_bands(grams: np.ndarray, bands: int, rows: int, seed: int = 1) -> np.ndarray:
-    """One 64-bit hash for each band of the set's MinHash values."""
+def minhash_bands(grams: np.ndarray, bands: int, rows: int, seed: int = 1) -> tuple[np.ndarray, bytes]:
+    """One 64-bit hash for each band of the set's MinHash values, and the values' low
+    bytes."""
     rng = np.random.default_rng(seed)
     k = bands * rows
     mul = (rng.integers(0, 1 << 31, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
@@ -97,7 +103,18 @@ def minhash_bands(grams: np.ndarray, bands: int, rows: int, seed: int = 1) -> np
         for r in low.reshape(bands, rows).T.astype(np.uint64):
             h = (h ^ r) * np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(31)
-    return h.astype(np.int64)
+    return h.astype(np.int64), low.astype(np.uint8).tobytes()
+
+
+def least_agreement(hashes: int, threshold: float, miss: float = 1e-6) -> int:
+    """The number of equal MinHash values that a pair at the threshold falls short of
+    with a probability of at most ``miss``."""
+    below = 0.0
+    for k in range(hashes + 1):
+        below += math.comb(hashes, k) * threshold**k * (1 - threshold) ** (hashes - k)
+        if below > miss:
+            return k
+    return hashes
 
 
 def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
@@ -147,71 +164,146 @@ def _signatures(df: DataFrame, key: str, text: str, n: int, bands: int, rows: in
     """``number``: the name of the column that numbers the rows, or nothing."""
 
     def run(batches):
-        for b in batches:
-            keys, counts, found = [], [], []
-            for t in b.column(2).to_pylist():
-                grams = ngram_set(t, n)
-                counts.append(len(grams))
-                if len(grams):
-                    keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                    found.append(minhash_bands(grams, bands, rows))
-                else:
-                    keys.append(None)
-                    found.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64())), *b.columns[3:]],
-                ["doc_id", "text_hash", "set_key", "n_grams", "bands", *number],
-            )
-
+        for whole in batches:
+            for at, some in text_slices(whole.column(2)):
+                b = whole.slice(at, some)
+                keys, counts, found, sketches = [], [], [], []
+                for t in b.column(2).to_pylist():
+                    grams = ngram_set(t, n)
+                    counts.append(len(grams))
+                    if len(grams):
+                        keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
+                        band, sketch = minhash_bands(grams, bands, rows)
+                        found.append(band)
+                        sketches.append(sketch)
+                    else:
+                        keys.append(None)
+                        found.append(None)
+                        sketches.append(None)
+                made = [pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, *b.columns[3:]], names)
+
+    names = ["doc_id", "text_hash", "set_key", "n_grams", "bands", "sketch", *number]
     rows_in = df.select(
-        F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"), *number
+        F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), *number
     )
-    schema = "doc_id long, text_hash long, set_key binary, n_grams long, bands array<long>"
+    schema = "doc_id long, text_hash long, set_key binary, n_grams long, bands array<long>, sketch binary"
     return rows_in.mapInArrow(run, ", ".join([schema, *[f"{c} long" for c in number]]))
 
 
-def _blocks(batches):
-    """Runs of rows with equal (component, i, j) in a sorted partition."""
+def _runs(batches, width: int):
+    """Runs of rows that agree in their first ``width`` columns, of a sorted partition."""
     held, now = [], None
     for b in batches:
         for row in zip(*[b.column(i).to_pylist() for i in range(b.num_columns)]):
-            if row[:3] != now and held:
+            if row[:width] != now and held:
                 yield now, held
                 held = []
-            now = row[:3]
-            held.append(row[3:])
+            now = row[:width]
+            held.append(row[width:])
     if held:
         yield now, held
 
 
-def _with_grams(found: DataFrame, n: int) -> DataFrame:
-    """(component, blocks, block, set_key, copies, grams): the texts' n-gram sets as
-    bytes, made once, before a set is sent to its pairs of blocks."""
+def _sketched(sets: DataFrame, least: int) -> DataFrame:
+    """Edges (set_key, root) between sets of one bucket whose sketches agree in
+    ``least`` places or more; not all such pairs, but paths between all."""
+    member = sets.select("set_key", "sketch", F.explode("bands").alias("band"))
+    bucket = member.groupBy("band").agg(F.min("set_key").alias("root"), F.count("*").alias("n")).where("n > 1")
+    first = member.select("band", F.col("set_key").alias("root"), F.col("sketch").alias("root_sketch"))
+    bucket = materialize(bucket.join(first, ["band", "root"]), "ngram-buckets")
 
-    def run(batches):
+    def against_first(batches):
         for b in batches:
-            grams = [ngram_set(t, n).tobytes() for t in b.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(grams, pa.binary())], names)
+            like = [int((x == y).sum()) >= least for x, y in zip(_bytes(b.column(2)), _bytes(b.column(4)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(5), pa.array(like, pa.bool_())], ["band", "set_key", "root", "n", "like"])
+
+    star = member.join(bucket, "band").where("set_key <> root").select("band", "set_key", "sketch", "root", "root_sketch", "n")
+    star = materialize(star.mapInArrow(against_first, "band long, set_key binary, root binary, n long, like boolean"), "ngram-stars")
+
+    # Members that are unlike the first meet all others of their bucket, in blocks.
+    rest = materialize(star.where("not like").select("band", "set_key", "n"), "ngram-rest")
+    blocks = lambda n: F.ceil(n / BUCKET).cast("int")
+    sizes = materialize(rest.groupBy("band").agg(blocks(F.count("*")).alias("asking"), blocks(F.max("n")).alias("answering")), "ngram-rest-sizes")
+    place = lambda n: F.pmod(F.xxhash64("set_key"), F.col(n)).cast("int")
+    every = member.join(sizes, "band").join(rest.select("band", "set_key", F.lit(True).alias("asks")), ["band", "set_key"], "left")
+    # i is the block of those that ask, j that of those that answer; who asks is in both.
+    ask = every.where("asks").select("band", "set_key", "sketch", F.lit(True).alias("asks"), place("asking").alias("i"), F.explode(F.sequence(F.lit(0), F.col("answering") - 1)).alias("j"))
+    answer = every.select("band", "set_key", "sketch", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), place("answering").alias("j"))
+    dealt = ask.unionByName(answer).select("band", "i", "j", "set_key", "asks", "sketch").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def among(batches):
+        for _, rows in _runs(batches, 3):
+            asks = [r for r in rows if r[1]]
+            keys, x = [r[0] for r in rows], np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+            root = np.arange(len(keys))
+            number = {k: i for i, k in reversed(list(enumerate(keys)))}  # a set that asks and answers is one
+            for k, _, sketch in asks:
+                like = (x == np.frombuffer(sketch, np.uint8)).sum(axis=1) >= least
+                mine = np.unique(root[[number[keys[i]] for i in np.flatnonzero(like)] + [number[k]]])
+                root[np.isin(root, mine)] = mine[0]
+            joined = [(keys[i], keys[root[i]]) for i in set(number.values()) if root[i] != i]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in joined], pa.binary()) for i in (0, 1)], ["set_key", "root"])
+
+    more = dealt.mapInArrow(among, "set_key binary, root binary")
+    return star.where("like").select("set_key", "root").unionByName(more).distinct()
+
+
+def _bytes(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint8) for x in column.to_pylist()]
 
-    names = ["component", "blocks", "block", "set_key", "copies", "grams"]
-    rows = found.select(*names[:5], "text")
-    return rows.mapInArrow(run, "component binary, blocks int, block int, set_key binary, copies long, grams binary")
+
+def _with_grams(found: DataFrame, n: int) -> DataFrame:
+    """``found`` with the texts' n-gram sets as bytes in place of the texts, made once,
+    before a set is sent to its pairs of blocks.  Repeated rows are one set; a task
+    hands each on once."""
+
+    def run(batches):
+        seen: set[bytes] = set()
+        for whole in batches:
+            for at, some in text_slices(whole.column(whole.num_columns - 1)):
+                b = whole.slice(at, some)
+                keys = b.column(0).to_pylist()
+                fresh = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+                b = b.take(pa.array(fresh, pa.int32()))
+                grams = [ngram_set(t, n).tobytes() for t in b.column(b.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(grams, pa.binary())], names)
+
+    names = ["set_key", "copies", "component", "size_class", "block", "blocks", "blocks_above", "blocks_below", "grams"]
+    schema = "set_key binary, copies long, component binary, size_class int, block int, blocks int, blocks_above int, blocks_below int, grams binary"
+    return found.select(*names[:-1], "text").mapInArrow(run, schema)
+
+
+def _dealt(sets: DataFrame) -> DataFrame:
+    """Sets sent to all pairs of blocks that they are in.  A block is of one component
+    and one class of sizes; blocks meet within their class and the next."""
+    here = F.col("size_class")
+    own = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(here.alias("low"), F.least("block", o).alias("i"), here.alias("high"), F.greatest("block", o).alias("j"))
+    )
+    none = F.array().cast("array<struct<low:int,i:int,high:int,j:int>>")
+    above = F.when(F.col("blocks_above") > 0, F.transform(F.sequence(F.lit(0), F.col("blocks_above") - 1), lambda o: F.struct(here.alias("low"), F.col("block").alias("i"), (here + 1).alias("high"), o.alias("j"))))
+    below = F.when(F.col("blocks_below") > 0, F.transform(F.sequence(F.lit(0), F.col("blocks_below") - 1), lambda o: F.struct((here - 1).alias("low"), o.alias("i"), here.alias("high"), F.col("block").alias("j"))))
+    pairs = F.explode(F.concat(own, F.coalesce(above, none), F.coalesce(below, none))).alias("p")
+    out = sets.select("component", "size_class", "block", "set_key", "copies", "grams", pairs)
+    key = ["component", "low", "i", "high", "j"]
+    return out.select("component", "p.low", "p.i", "p.high", "p.j", "size_class", "block", "set_key", "copies", "grams").repartition(*key).sortWithinPartitions(*key)
 
 
 def _verified(sets: DataFrame, threshold: float) -> DataFrame:
-    """``sets`` (component, i, j, block, set_key, copies, grams), sorted by the first
-    three; one row for each set and pair of blocks: its links and its root."""
+    """One row for each set and pair of blocks: its links across and its root."""
 
     def run(batches):
-        for (_, i, j), rows in _blocks(batches):
-            rows = list({r[1]: r for r in rows}.values())  # a repeated row of the table is one set
-            block = np.array([r[0] for r in rows])
-            near = links_within([np.frombuffer(r[3], np.uint64) for r in rows], block == i, block == j, threshold)
-            root, copies = _forest(near), np.array([r[2] for r in rows], np.int64)
+        for (_, low, i, high, j), rows in _runs(batches, 5):
+            rows = list({r[2]: r for r in rows}.values())  # a repeated row of the table is one set
+            block = [(r[0], r[1]) for r in rows]
+            left, right = (np.array([b == side for b in block]) for side in ((low, i), (high, j)))
+            near = links_within([np.frombuffer(r[4], np.uint64) for r in rows], left, right, threshold)
+            root, copies = _forest(near), np.array([r[3] for r in rows], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r[1] for r in rows], pa.binary()),
-                    pa.array([rows[k][1] for k in root], pa.binary()),
+                    pa.array([r[2] for r in rows], pa.binary()),
+                    pa.array([rows[k][2] for k in root], pa.binary()),
                     pa.array(near.sum(axis=1), pa.int64()),
                     pa.array(near @ copies, pa.int64()),
                 ],
@@ -259,7 +351,6 @@ def _classed(
     """The rows' signatures, and the sets with their classes: ``set_key``, ``of`` (its
     first row, by id and then by ``number``), ``copies``, ``component``, ``n_near``
     and ``n_near_docs``."""
-    small_batches(df.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     numbers = [number] if number else []
     docs = materialize(_signatures(df, key, text, n, bands, rows, numbers), "ngram-signatures")
@@ -267,33 +358,33 @@ def _classed(
     sets = materialize(
         docs.where("set_key is not null")
         .groupBy("set_key")
-        .agg(F.min(chosen).alias("of"), F.count("*").alias("copies"), F.first("bands").alias("bands")),
+        .agg(F.min(chosen).alias("of"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"), F.min("sketch").alias("sketch")),
         "ngram-sets",
     )
-    member = sets.select("set_key", F.explode("bands").alias("band"))
-    bucket = member.groupBy("band").agg(F.min("set_key").alias("root"), F.max("set_key").alias("top")).where("root <> top")
-    star = member.join(bucket, "band").where("set_key <> root").select("set_key", "root").distinct()
-    candidates = materialize(connected_components(star, "set_key", "root"), "ngram-candidates")
-
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = (
-        candidates.join(sizes, "component")
-        .join(sets.select(F.col("set_key").alias("node"), "of", "copies"), "node")
-        .select(
-            "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("set_key"), "copies",
-            F.col("of.doc_id").alias("doc_id"), F.col("of.text_hash").alias("text_hash"),
-        )
+    edges = _sketched(sets, least_agreement(bands * rows, threshold))
+    candidates = materialize(connected_components(edges, "set_key", "root"), "ngram-candidates")
+
+    # Sets whose sizes differ by more than a class can not reach the threshold.
+    step = max(-math.log(threshold) * (1 + 1e-9), 1e-6)
+    placed = candidates.join(sets.select(F.col("set_key").alias("node"), "of", "copies", "n_grams"), "node").withColumn(
+        "size_class", F.floor(F.log("n_grams") / step).cast("int")
+    )
+    placed = materialize(placed, "ngram-placed")
+    sizes = placed.groupBy("component", "size_class").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_grams") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")
     )
-    texts = df.select(F.col(key).cast("long").alias("d"), F.xxhash64(F.col(text)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sizes = materialize(sizes, "ngram-blocks")
+    near = lambda by, name: sizes.select("component", (F.col("size_class") + by).alias("size_class"), F.col("blocks").alias(name))
+    at = ["component", "size_class"]
+    around = sizes.join(near(-1, "blocks_above"), at, "left").join(near(1, "blocks_below"), at, "left").fillna(0)
+    placed = placed.join(around, at).select(
+        *at, "blocks", "blocks_above", "blocks_below", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("set_key"), "copies",
+        F.col("of.doc_id").alias("doc_id"), F.col("of.text_hash").alias("text_hash"),
+    )
+    source, body = F.col(f"`{key}`").cast("long"), F.col(f"`{text}`")
+    texts = df.select(source.alias("d"), F.xxhash64(body).alias("h"), F.coalesce(body, F.lit("")).alias("text"))
     found = placed.join(texts, placed.doc_id.eqNullSafe(texts.d) & (placed.text_hash == texts.h))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = (
-        _with_grams(found, n)
-        .select("component", "block", "set_key", "copies", "grams", other)
-        .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_key", "copies", "grams")
-        .repartition("component", "i", "j")
-        .sortWithinPartitions("component", "i", "j")
-    )
+    dealt = _dealt(_with_grams(found, n))
     checked = materialize(_verified(dealt, threshold), "ngram-links")
     links = checked.groupBy("set_key").agg(F.sum("n_near").alias("n_near"), F.sum("n_near_docs").alias("n_near_docs"))
     joined = connected_components(checked.where("set_key <> root"), "set_key", "root")

@@ -62,6 +62,7 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     import echoframe.llm.jaccard as J
 
     monkeypatch.setattr(J, "BLOCK", 7)
+    monkeypatch.setattr(J, "BUCKET", 5)
     rng = random.Random(1)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -82,3 +83,49 @@ def test_empty_and_parameters(spark):
     a = ngram_set("a b c d e f", 5)
     near = links_within([a, a[:1], np.array([5], np.uint64)], np.ones(3, bool), np.ones(3, bool), 0.5)
     assert near.tolist() == [[False, True, False], [True, False, False], [False, False, False]]
+
+
+def test_unlike_sets_of_a_bucket(spark, monkeypatch):
+    """One bucket for all sets: its first is unlike most, and paths join just the like ones."""
+    import echoframe.llm.jaccard as J
+
+    monkeypatch.setattr(J, "BUCKET", 6)
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for group in range(9):
+        base = rng.integers(0, 256, 60)
+        for i in range(7):
+            sketch = base.copy()
+            sketch[rng.integers(0, 60, 6)] = rng.integers(0, 256, 6)
+            key = bytes(rng.integers(0, 256, 16).tolist())
+            want[key] = group
+            rows.append((bytearray(key), bytearray(sketch.astype(np.uint8).tobytes()), [5, 100 + group, 200 + len(rows)]))
+    sets = spark.createDataFrame(rows, "set_key binary, sketch binary, bands array<long>").repartition(3)
+    root = {k: k for k in want}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in J._sketched(sets, 40).collect():
+        a, b = bytes(r.set_key), bytes(r.root)
+        assert want[a] == want[b]
+        root[find(a)] = find(b)
+    assert len({find(k) for k in want}) == 9
+
+
+def test_least_agreement():
+    import echoframe.llm.jaccard as J
+
+    rng = np.random.default_rng(1)
+    assert (rng.binomial(120, 0.8, 200_000) < J.least_agreement(120, 0.8)).mean() <= 1e-5
+    assert 55 < J.least_agreement(120, 0.8) < 80 and J.least_agreement(8, 1.0) == 8
+
+
+def test_sizes_that_rule_a_link_out(spark):
+    """Sets inside each other, each a little larger: links reach over size classes."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[: 60 + 5 * i])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted([tuple(r) for r in near_duplicates(df).collect()], key=str) == brute(rows)
