@@ -31,7 +31,7 @@ from ..plans.scratch import materialize
 from .words import text_slices
 
 BLOCK, BLOCK_BYTES = 128, 1 << 25  # on either side of a pair of blocks of n-gram sets, about
-BUCKET = 1024  # sketches on either side of a pair of blocks, about
+BUCKET = 256  # sketches on either side of a pair of blocks, about
 _WORDS: dict[bytes, int] = {}
 
 
@@ -208,25 +208,28 @@ def _runs(batches, width: int):
 def _sketched(sets: DataFrame, least: int) -> DataFrame:
     """Edges (set_key, root) between sets of one bucket whose sketches agree in
     ``least`` places or more; not all such pairs, but paths between all."""
-    member = sets.select("set_key", "sketch", F.explode("bands").alias("band"))
+    # Sketches stay behind until few rows are left that need them.
+    member, sketches = sets.select("set_key", F.explode("bands").alias("band")), sets.select("set_key", "sketch")
     bucket = member.groupBy("band").agg(F.min("set_key").alias("root"), F.count("*").alias("n")).where("n > 1")
-    first = member.select("band", F.col("set_key").alias("root"), F.col("sketch").alias("root_sketch"))
-    bucket = materialize(bucket.join(first, ["band", "root"]), "ngram-buckets")
+    bucket = materialize(bucket, "ngram-buckets")
+    star = materialize(member.join(bucket, "band").where("set_key <> root"), "ngram-stars")
 
     def against_first(batches):
         for b in batches:
-            like = [int((x == y).sum()) >= least for x, y in zip(_bytes(b.column(2)), _bytes(b.column(4)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(5), pa.array(like, pa.bool_())], ["band", "set_key", "root", "n", "like"])
+            like = [int((x == y).sum()) >= least for x, y in zip(_bytes(b.column(2)), _bytes(b.column(3)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(like, pa.bool_())], ["set_key", "root", "like"])
 
-    star = member.join(bucket, "band").where("set_key <> root").select("band", "set_key", "sketch", "root", "root_sketch", "n")
-    star = materialize(star.mapInArrow(against_first, "band long, set_key binary, root binary, n long, like boolean"), "ngram-stars")
+    pairs = star.select("set_key", "root").distinct().join(sketches, "set_key").join(sketches.select(F.col("set_key").alias("root"), F.col("sketch").alias("root_sketch")), "root")
+    pairs = pairs.select("set_key", "root", "sketch", "root_sketch").mapInArrow(against_first, "set_key binary, root binary, like boolean")
+    pairs = materialize(pairs, "ngram-star-pairs")
 
     # Members that are unlike the first meet all others of their bucket, in blocks.
-    rest = materialize(star.where("not like").select("band", "set_key", "n"), "ngram-rest")
+    rest = star.join(pairs.where("not like").select("set_key", "root"), ["set_key", "root"]).select("band", "set_key", "n")
+    rest = materialize(rest, "ngram-rest")
     blocks = lambda n: F.ceil(n / BUCKET).cast("int")
     sizes = materialize(rest.groupBy("band").agg(blocks(F.count("*")).alias("asking"), blocks(F.max("n")).alias("answering")), "ngram-rest-sizes")
     place = lambda n: F.pmod(F.xxhash64("set_key"), F.col(n)).cast("int")
-    every = member.join(sizes, "band").join(rest.select("band", "set_key", F.lit(True).alias("asks")), ["band", "set_key"], "left")
+    every = member.join(sizes, "band").join(rest.select("band", "set_key", F.lit(True).alias("asks")), ["band", "set_key"], "left").join(sketches, "set_key")
     # i is the block of those that ask, j that of those that answer; who asks is in both.
     ask = every.where("asks").select("band", "set_key", "sketch", F.lit(True).alias("asks"), place("asking").alias("i"), F.explode(F.sequence(F.lit(0), F.col("answering") - 1)).alias("j"))
     answer = every.select("band", "set_key", "sketch", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), place("answering").alias("j"))
@@ -246,7 +249,7 @@ def _sketched(sets: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in joined], pa.binary()) for i in (0, 1)], ["set_key", "root"])
 
     more = dealt.mapInArrow(among, "set_key binary, root binary")
-    return star.where("like").select("set_key", "root").unionByName(more).distinct()
+    return pairs.where("like").select("set_key", "root").unionByName(more).distinct()
 
 
 def _bytes(column) -> list[np.ndarray]:
