@@ -13,6 +13,7 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: White space to Python, but a symbol to the tokenizer, or unlike in the two.
 _UNLIKE = "[\x1c-\x1f\x85᠎​-‏⁠﻿]"
@@ -44,6 +45,43 @@ def text_slices(texts: pa.Array, most: int = _BATCH_BYTES):
         at = end
 
 
+_HASHES: dict[bytes, int] = {}
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes; a bounded number is remembered in each worker."""
+    known, h = _HASHES, xxhash.xxh3_64_intdigest
+    if len(known) > 500_000:
+        known.clear()
+    found = list(map(known.get, words))
+    for i in [i for i, x in enumerate(found) if x is None]:
+        found[i] = h(words[i])
+        if len(words[i]) <= _LONG:
+            known[words[i]] = found[i]
+    return np.array(found, np.uint64)
+
+
+def hashed_words(texts: pa.Array, case: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, words being what ASCII white space
+    parts, and where each text's begin (one more bound than texts); with
+    ``case`` "lower", of the words with A to Z in lower case.  Null texts have none."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if case == "lower" else texts)
+    coded = split.flatten().dictionary_encode()
+    kinds = coded.dictionary
+    if len(kinds) == 0:
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    hashes = _hashes(kinds.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+    place = np.asarray(coded.indices)
+    offsets = np.asarray(split.offsets, np.int64)
+    bounds = offsets - offsets[0]
+    none = pc.index(kinds, "").as_py()  # before white space at a text's beginning, and behind it
+    if none < 0:
+        return hashes[place], bounds
+    word = place != none
+    return hashes[place[word]], np.concatenate([[0], np.cumsum(word)])[bounds]
+
+
 class _Recent:
     """What was looked up lately, by two generations of at most ``most`` entries."""
 
