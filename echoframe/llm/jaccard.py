@@ -22,17 +22,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..plans.scratch import materialize
-from .words import text_slices
+from .words import hashed_words, text_slices
 
 BLOCK, BLOCK_BYTES = 128, 1 << 25  # on either side of a pair of blocks of n-gram sets, about
 BUCKET = 256  # sketches on either side of a pair of blocks, about
-_WORDS: dict[bytes, int] = {}
 
 
 def choose_bands(threshold: float, recall: float, most_hashes: int = 160) -> tuple[int, int]:
@@ -49,30 +47,12 @@ def choose_bands(threshold: float, recall: float, most_hashes: int = 160) -> tup
     return best
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; a bounded number is remembered in each worker."""
-    known, h = _WORDS, xxhash.xxh3_64_intdigest
-    if len(known) > 500_000:
-        known.clear()
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        x = known.get(w)
-        if x is None:
-            x = h(w)
-            if len(w) <= 64:
-                known[w] = x
-        out[i] = x
-    return out
-
-
-def ngram_set(text: str, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word n-grams.  Words are what
-    ASCII white space parts.  A text of fewer than ``n`` words has one n-gram, all
-    its words; a text without words has none."""
-    words = text.encode().split()
-    if not words:
+def grams_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the n-grams of a text of words with hashes
+    ``h``.  A text of fewer than ``n`` words has one n-gram, all its words; a text
+    without words has none."""
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = word_hashes(words)
     k = min(n, len(h))
     with np.errstate(over="ignore"):
         mixed = np.zeros(len(h) - k + 1, np.uint64)
@@ -84,6 +64,16 @@ def ngram_set(text: str, n: int) -> np.ndarray:
     return np.unique(mixed)
 
 
+def ngram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """The n-gram sets of texts, whose words are what ASCII white space parts."""
+    h, bounds = hashed_words(texts, None)
+    return [grams_of(h[a:b], n) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+
+
+def ngram_set(text: str, n: int) -> np.ndarray:
+    return ngram_sets(pa.array([text], pa.string()), n)[0]
+
+
 def minhash_bands(grams: np.ndarray, bands: int, rows: int, seed: int = 1) -> tuple[np.ndarray, bytes]:
     """One 64-bit hash for each band of the set's MinHash values, and the values' low
     bytes."""
@@ -168,8 +158,7 @@ def _signatures(df: DataFrame, key: str, text: str, n: int, bands: int, rows: in
             for at, some in text_slices(whole.column(2)):
                 b = whole.slice(at, some)
                 keys, counts, found, sketches = [], [], [], []
-                for t in b.column(2).to_pylist():
-                    grams = ngram_set(t, n)
+                for grams in ngram_sets(b.column(2), n):
                     counts.append(len(grams))
                     if len(grams):
                         keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
@@ -269,7 +258,7 @@ def _with_grams(found: DataFrame, n: int) -> DataFrame:
                 keys = b.column(0).to_pylist()
                 fresh = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
                 b = b.take(pa.array(fresh, pa.int32()))
-                grams = [ngram_set(t, n).tobytes() for t in b.column(b.num_columns - 1).to_pylist()]
+                grams = [x.tobytes() for x in ngram_sets(b.column(b.num_columns - 1), n)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(grams, pa.binary())], names)
 
     names = ["set_key", "copies", "component", "size_class", "block", "blocks", "blocks_above", "blocks_below", "grams"]

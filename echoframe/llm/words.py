@@ -48,7 +48,7 @@ def text_slices(texts: pa.Array, most: int = _BATCH_BYTES):
 _HASHES: dict[bytes, int] = {}
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes; a bounded number is remembered in each worker."""
     known, h = _HASHES, xxhash.xxh3_64_intdigest
     if len(known) > 500_000:
@@ -71,7 +71,7 @@ def hashed_words(texts: pa.Array, case: str | None) -> tuple[np.ndarray, np.ndar
     kinds = coded.dictionary
     if len(kinds) == 0:
         return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    hashes = _hashes(kinds.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+    hashes = word_hashes(kinds.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
     place = np.asarray(coded.indices)
     offsets = np.asarray(split.offsets, np.int64)
     bounds = offsets - offsets[0]
