@@ -61,31 +61,48 @@ def _window_hash(i: Column) -> Column:
     return F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
 
 
-def _ordered_windows(n: Column) -> tuple[Column, Column]:
-    """The three-word windows in the order of their hashes, of which one column
-    is empty: as plain longs, 40 bits of the hash and the position in the low 24
-    bits, or, for texts of more than 2**24 words, full hashes beside positions."""
-    places = F.sequence(F.lit(0), n - 3)
-    packed = F.transform(places, lambda i: F.shiftleft(_window_hash(i), 24).bitwiseOR(i.cast("long")))
-    wide = F.transform(places, lambda i: F.struct(_window_hash(i).alias("h"), i.alias("i")))
-    none_packed, none_wide = F.array().cast("array<bigint>"), F.array().cast("array<struct<h:bigint,i:int>>")
-    return (
-        F.when((n >= 3) & (n < _LOW), F.sort_array(packed)).otherwise(none_packed),
-        F.when(n >= _LOW, F.sort_array(wide)).otherwise(none_wide),
-    )
+def _places(n: Column) -> Column:
+    return F.sequence(F.lit(0), n - 3)
+
+
+def _packed_windows(n: Column) -> Column:
+    """The three-word windows in the order of their hashes, as plain longs: 40 bits
+    of the hash and the position in the low 24; nothing for longer texts."""
+    packed = F.transform(_places(n), lambda i: F.shiftleft(_window_hash(i), 24).bitwiseOR(i.cast("long")))
+    return F.when((n >= 3) & (n < _LOW), F.sort_array(packed)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _at(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(_LOW).cast("long")).cast("int")
+
+
+def _same_words(i: Column, j: Column) -> Column:
+    words = [F.get("_words", i + k) == F.get("_words", j + k) for k in range(3)]
+    return words[0] & words[1] & words[2]
+
+
+def _same_key(x: Column, y: Column) -> Column:
+    return F.shiftright(x, 24) == F.shiftright(y, 24)
+
+
+def _clash(ordered: str) -> Column:
+    """Whether different windows share their 40 bits: then repeats may not be neighbours."""
+    places = F.sequence(F.lit(1), F.size(ordered) - 1)
+    apart = lambda j: _same_key(F.get(ordered, j), F.get(ordered, j - 1)) & ~_same_words(_at(F.get(ordered, j)), _at(F.get(ordered, j - 1)))
+    return F.when(F.size(ordered) > 1, F.exists(places, apart)).otherwise(F.lit(False))
 
 
-def _repeats(ordered: str, key, at) -> Column:
-    """Positions, ascending, of the windows whose words equal those of a
-    neighbour in the order; ``ordered`` must be a column of the table, or every
-    step would sort anew."""
+def _spelled_windows(n: Column, wanted: Column) -> Column:
+    """The windows in the order of their words, of the rows ``wanted``."""
+    spelled = F.transform(_places(n), lambda i: F.struct(F.concat_ws(" ", *[F.get("_words", i + k) for k in range(3)]).alias("w"), i.alias("i")))
+    return F.when(wanted & (n >= 3), F.sort_array(spelled)).otherwise(F.array().cast("array<struct<w:string,i:int>>"))
 
-    def same(x, y):
-        i, j = at(x), at(y)
-        words = [F.get("_words", i + k) == F.get("_words", j + k) for k in range(3)]
-        return F.coalesce((key(x) == key(y)) & words[0] & words[1] & words[2], F.lit(False))
 
-    found = F.filter(ordered, lambda x, j: same(x, F.get(ordered, j - 1)) | same(x, F.get(ordered, j + 1)))
+def _repeats(ordered: str, same, at) -> Column:
+    """Positions, ascending, of the windows that are the ``same`` as a neighbour in the
+    order; ``ordered`` must be a column of the table, or every step would sort anew."""
+    like = lambda x, y: F.coalesce(same(x, y), F.lit(False))
+    found = F.filter(ordered, lambda x, j: like(x, F.get(ordered, j - 1)) | like(x, F.get(ordered, j + 1)))
     return F.sort_array(F.transform(found, at))
 
 
@@ -109,7 +126,7 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     so repeated rows give equal ledgers, and an empty table an empty one."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclamations", "failed"]
-    keep = [f"`{c}`" for c in df.columns if c.lower() not in {*made, "_body", "_words", "_lines", "_packed", "_wide", "_mark"}]
+    keep = [f"`{c}`" for c in df.columns if c.lower() not in {*made, "_body", "_words", "_lines", "_packed", "_clash", "_spelled", "_mark"}]
     if text in made:
         raise ValueError(f"the text column must not be named {text}")
     split = df.select(
@@ -119,13 +136,15 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
         F.filter(F.split(body, "\n"), lambda x: F.length(_removed(x, " \t\r\f\v")) > 0).alias("_lines"),
     )
     n = F.size("_words")
-    packed, wide = _ordered_windows(n)
     # The number keeps a later filter from being moved below this step, where the
     # sorted windows would be made anew for every one of them; it is never negative.
-    ordered = split.select("*", packed.alias("_packed"), wide.alias("_wide"), F.monotonically_increasing_id().alias("_mark"))
+    ordered = split.select("*", _packed_windows(n).alias("_packed"), F.monotonically_increasing_id().alias("_mark"))
+    ordered = ordered.withColumn("_clash", _clash("_packed") | (n >= _LOW))
+    ordered = ordered.withColumn("_spelled", _spelled_windows(n, F.col("_clash")))
     nothing = F.when(F.col("_mark") < 0, F.lit(1)).otherwise(F.lit(0))
-    few = _repeats("_packed", lambda x: F.shiftright(x, 24), lambda x: x.bitwiseAND(F.lit(_LOW).cast("long")).cast("int"))
-    many = _repeats("_wide", lambda x: x["h"], lambda x: x["i"])
+    few = _repeats("_packed", lambda x, y: _same_key(x, y) & _same_words(_at(x), _at(y)), _at)
+    many = _repeats("_spelled", lambda x, y: x["w"] == y["w"], lambda x: x["i"])
+    repeated = F.when(F.col("_clash"), _covered(many)).otherwise(_covered(few))
     counted = ordered.select(
         *keep,
         (n + nothing).cast("long").alias("n_words"),
@@ -133,7 +152,7 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
         (F.length("_body") - F.length(_removed(F.col("_body"), SYMBOLS))).cast("long").alias("n_symbols"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        (_covered(few) + _covered(many) + nothing).alias("n_repeat_words"),
+        (repeated + nothing).alias("n_repeat_words"),
         F.regexp_count("_body", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         (F.length("_body") - F.length(_removed(F.col("_body"), "!"))).cast("long").alias("n_exclamations"),
     )
@@ -189,7 +208,9 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", policy: Policy
 
 
 def keep_good(df: DataFrame, text: str = "text", policy: Policy = STRICT) -> DataFrame:
-    """The rows of ``df`` that pass the policy, with the columns of ``df``."""
+    """The rows of ``df`` that pass the policy, with the columns of ``df``.  Null and
+    empty texts fail, as they have no words; nulls elsewhere, repeated rows and columns
+    named like measurements stay as they are; an empty table gives an empty one."""
     carried = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("rule_text"))
     kept = ledger(carried, "rule_text").where(passes(BASE) & passes(policy))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in df.columns])

@@ -45,3 +45,17 @@ def test_policy_and_ablations(spark):
     assert table["few_words"].n_docs == 5 and table["few_words"].n_rejected == 4
     assert table["exclamations"].n_failed == 1 and table["exclamations"].n_only == (1 if table["upper_case"].n_failed == 0 else 0)
     assert BASE.mask == 3
+
+
+def test_windows_of_one_hash(spark, monkeypatch):
+    """Repeats are found though many different windows have one hash."""
+    from pyspark.sql import functions as F
+
+    import echoframe.llm.rules as R
+
+    plain = R._window_hash
+    monkeypatch.setattr(R, "_window_hash", lambda i: F.pmod(plain(i), F.lit(3)))
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(60))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_repeat_words for r in judge(df).collect()} == {i: brute(t)[4] for i, t in enumerate(texts)}
