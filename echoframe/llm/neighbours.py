@@ -31,6 +31,7 @@ from ..plans.scratch import materialize
 
 SAMPLE = 32_768  # rows that the forest is fitted on, at most about
 GROUP_ROWS = 65_536  # rows that a task scores at once, about
+GROUP_QUERIES = 65_536  # queries that a task answers at once, about
 PROBES = 128  # queries that are searched by brute force to set the budget
 
 
@@ -206,6 +207,8 @@ def nearest(
     # Leaves of one branch are a group, so that a query's hits in it are one list.
     bits = max(0, min(depth, int(np.floor(np.log2(max(1, n / GROUP_ROWS))))))
     salts = max(1, int(np.ceil(n / (1 << bits) / GROUP_ROWS)))
+    # Rows of a group are sent to each block of queries, so neither side of a task grows with the table.
+    blocks = max(1, int(np.ceil(n / query_every / GROUP_QUERIES)))
     plan = spark.sparkContext.broadcast((forest, sizes, budget, enough))
 
     def open_leaves(batches):
@@ -225,17 +228,18 @@ def nearest(
                         break
                 for (t, g), leaves in opened.items():
                     for salt in range(salts):
-                        out.append((ids[q], vectors[q], t, g, salt, leaves))
+                        out.append((ids[q], vectors[q], t, g, salt, ids[q] // query_every % blocks, leaves))
             for lo in range(0, len(out), 4096):
                 c = list(zip(*out[lo : lo + 4096]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[0], pa.int64()), pa.array(c[1], pa.list_(pa.float64())), *(pa.array(x, pa.int32()) for x in c[2:5]), pa.array(c[5], pa.list_(pa.int32()))],
-                    ["query_id", "v", "t", "g", "salt", "leaves"],
+                    [pa.array(c[0], pa.int64()), pa.array(c[1], pa.list_(pa.float64())), *(pa.array(x, pa.int32()) for x in c[2:6]), pa.array(c[6], pa.list_(pa.int32()))],
+                    ["query_id", "v", "t", "g", "salt", "block", "leaves"],
                 )
 
-    asked = queries.mapInArrow(open_leaves, "query_id long, v array<double>, t int, g int, salt int, leaves array<int>")
+    asked = queries.mapInArrow(open_leaves, "query_id long, v array<double>, t int, g int, salt int, block int, leaves array<int>")
     held_rows = placed.select("v", "ids", F.posexplode("leaves").alias("t", "leaf")).select(
-        "v", "ids", "t", "leaf", F.shiftright("leaf", depth - bits).alias("g"), F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int").alias("salt")
+        "v", "ids", "t", "leaf", F.shiftright("leaf", depth - bits).alias("g"), F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int").alias("salt"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
     )
 
     def score(key_, ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
@@ -256,7 +260,7 @@ def nearest(
             found.append((q, *_best(mine, s, members, q, k)))
         return pd.DataFrame(found, columns=["query_id", "ids", "scores"])
 
-    hits = asked.groupBy("t", "g", "salt").cogroup(held_rows.groupBy("t", "g", "salt")).applyInPandas(
+    hits = asked.groupBy("t", "g", "salt", "block").cogroup(held_rows.groupBy("t", "g", "salt", "block")).applyInPandas(
         score, "query_id long, ids array<long>, scores array<double>"
     )
     each = hits.select("query_id", F.inline(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score"))))
