@@ -23,7 +23,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import small_batches
 
 _SPACED = re.compile(r" \s")
 _LONG = 64  # bytes; longer pieces are not remembered
@@ -263,7 +262,6 @@ def encode_column(df: DataFrame, text: str, out: str, path: str | None = None, p
     """``df`` with an array of token ids in column ``out`` (which is replaced if
     it exists); a null text has no tokens."""
     path, pattern = (path or default_vocabulary()[0]), (pattern or default_vocabulary()[1])
-    small_batches(df.sparkSession)
 
     @F.pandas_udf("array<int>")
     def ids(texts):
@@ -284,7 +282,6 @@ def encode_and_decode(
     of no bytes.  A null key stays null, repeated rows each give a row, an empty
     table gives an empty one, and other columns are ignored."""
     path, pattern = (path or default_vocabulary()[0]), (pattern or default_vocabulary()[1])
-    small_batches(df.sparkSession)
     sha = hashlib.sha256
 
     def run(batches):

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize, small_batches
+from ..plans.scratch import materialize
+from .words import text_slices
 
 #: Labelled rows that are used for learning, at most about so many.
 MAX_LABELLED = 200_000
@@ -108,8 +109,9 @@ def remainder(key: Column, by: int) -> Column:
 
 
 def _normal_sums(rows: DataFrame, mean, scale, weights, phase) -> tuple[np.ndarray, np.ndarray]:
-    """X'X and X'y, summed within partitions, then within sixteen groups of
-    partitions; the driver gets sixteen sums at most."""
+    """X'X and X'y, summed within partitions.  The rows are the labelled ones, of which
+    there is a stated bound, so sixteen partitions hold them however many there are
+    documents, and the driver adds sixteen sums at most."""
     width = len(phase) + N_STATS + 1
 
     def partial(batches):
@@ -121,18 +123,9 @@ def _normal_sums(rows: DataFrame, mean, scale, weights, phase) -> tuple[np.ndarr
                 a += f.T @ f
                 b += f.T @ batch.column(1).to_numpy(zero_copy_only=False).astype(float)
         if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(abs(a).sum() * 1e3) % 16], pa.int32()), pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())],
-                ["slot", "a", "b"],
-            )
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = sum(np.frombuffer(x) for x in pdf.a)
-        b = sum(np.frombuffer(x) for x in pdf.b)
-        return pd.DataFrame({"a": [a.tobytes()], "b": [b.tobytes()]})
-
-    parts = rows.select("x", "y").mapInArrow(partial, "slot int, a binary, b binary")
-    sums = parts.groupBy("slot").applyInPandas(add, "a binary, b binary").collect()
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], ["a", "b"])
+
+    sums = rows.select("x", "y").coalesce(16).mapInArrow(partial, "a binary, b binary").collect()
     a = sum((np.frombuffer(bytes(r.a)) for r in sums), np.zeros(width * width)).reshape(width, width)
     return a, sum((np.frombuffer(bytes(r.b)) for r in sums), np.zeros(width))
 
@@ -148,9 +141,8 @@ def fit(
     Null keys and labels are not used.  Of more than ``max_labelled`` labelled
     keys about that many are taken, chosen by a hash of the key.  Without usable
     rows, or with one class only, there is no model and the result is None."""
-    small_batches(docs.sparkSession)
     known = (
-        labels.select(F.col(key).cast("long").alias("k"), F.col(label).cast("double").alias("v"))
+        labels.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(label).cast("double").alias("v"))
         .where(F.col("k").isNotNull() & F.col("v").isNotNull() & (remainder(F.col("k"), 5) != 0))
         .groupBy("k")
         .agg((F.avg("v") >= 0.5).cast("double").alias("y"))
@@ -160,12 +152,14 @@ def fit(
     if n > max_labelled:
         known = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
     # At most about max_labelled rows of two numbers: a few megabytes.
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(known), "k")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).join(F.broadcast(known), "k")
 
     def measure(batches):
-        for b in batches:
-            x = [statistics(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64())), b.column(2)], ["k", "x", "y"])
+        for whole in batches:
+            for at, some in text_slices(whole.column(1)):
+                b = whole.slice(at, some)
+                x = [statistics(t) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64())), b.column(2)], ["k", "x", "y"])
 
     rows = materialize(rows.select("k", "t", "y").mapInArrow(measure, "k long, x array<double>, y double"), "quality-stats")
     fold = remainder(F.col("k"), 5)
@@ -223,15 +217,20 @@ def classify(
     held out); an empty table gives an empty table; other columns are ignored."""
     model = fit(docs, labels, key, text, **options)
     return docs.select(
-        F.col(key).cast("long").alias("doc_id"),
-        F.coalesce(remainder(F.col(key).cast("long"), 5) == 0, F.lit(False)).alias("held_out"),
-        score_column(model, F.col(text)).alias("score"),
+        F.col(f"`{key}`").cast("long").alias("doc_id"),
+        F.coalesce(remainder(F.col(f"`{key}`").cast("long"), 5) == 0, F.lit(False)).alias("held_out"),
+        score_column(model, F.col(f"`{text}`")).alias("score"),
     ).select("doc_id", F.col("held_out") & F.col("doc_id").isNotNull(), "score", (F.col("score") >= threshold).cast("int").alias("predicted")).toDF(
         "doc_id", "held_out", "score", "predicted"
     )
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.3, **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, columns as before."""
+    """The rows of ``docs`` that the classifier does not reject, columns as before.
+
+    Rows are judged one by one, so null and repeated keys are allowed and repeated
+    rows share their fate; a null text is scored as an empty one.  Without usable
+    labels there is no model, every score is one half, and at a threshold of at most
+    that all rows stay.  An empty table gives an empty table."""
     model = fit(docs, labels, key, text, **options)
     return docs.where(score_column(model, F.col(f"`{text}`")) >= threshold)

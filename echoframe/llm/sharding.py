@@ -59,9 +59,9 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shards
     share a shard; repeated keys share theirs, each row with its own slot.  An
     empty table gives an empty table.  Other columns of the input are ignored,
     whatever their names."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     light = df.select(
-        F.col(key).cast("long").alias("doc_id"),
+        F.col(f"`{key}`").cast("long").alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
     )
@@ -107,7 +107,11 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shards
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: int = 8) -> None:
     """Write the rows of ``df`` in folders ``shard=0`` .. below ``path``.  Each task
-    writes its own rows, so no shard passes through one task."""
+    writes its own rows, so no shard passes through one task.
+
+    Rows with a null key share a shard, as do those of a repeated key; nulls
+    elsewhere are written as they are.  A column that is named like the folders'
+    is left out.  An empty table writes no rows."""
 
     def place(batches):
         for b in batches:
@@ -118,7 +122,8 @@ def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: int = 8)
                 [*b.columns[:-1], pa.array(jump_hash(mixed, shards))], [*b.schema.names[:-1], "shard"]
             )
 
-    rest = [c for c in df.columns if c.lower() != "shard"]
-    keyed = df.select(*[f"`{c}`" for c in rest], F.col(key).cast("long").alias("_key"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in rest)
-    keyed.mapInArrow(place, f"{schema}, shard int").write.partitionBy("shard").parquet(path)
+    rest = [f for f in df.schema if f.name.lower() != "shard"]
+    keyed = df.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(rest)], F.col(f"`{key}`").cast("long").alias("_key"))
+    schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rest)] + ["shard int"])
+    out = keyed.mapInArrow(place, schema).toDF(*[f.name for f in rest], "shard")
+    out.write.partitionBy("shard").parquet(path)

@@ -46,3 +46,22 @@ def test_stages(spark, sf):
             assert s == at
             at += n
         assert at == v[0][2]
+
+
+def test_odd_rows_in_every_stage(spark, tmp_path):
+    """Nulls, repeated rows, long texts, clashing columns and an empty table."""
+    import corpus_pipeline as P
+
+    words = " ".join(f"word{i}" for i in range(70))
+    rows = [(1, words, "en", "a", 9), (1, words, "en", "a", 9), (None, words, None, None, None), (2, None, "en", None, 1), (None, None, None, None, None), (3, "", "de", "b", 2)]
+    rows += [(4, " ".join(f"long{i}" for i in range(60_000)), "en", "c", 3), (5, words + " more", "en", "c", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_words long"
+    for name, some in (("full", rows), ("none", [])):
+        sf = str(tmp_path / name)
+        spark.createDataFrame(some, schema).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, 0, 0), (2, None, None)][: len(some)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        out = P.run(spark, sf).collect()
+        assert ({r.doc_id for r in out} == {1, 4}) if some else not out
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for stage, step in P.STAGES[:-1]:
+            assert step(spark, docs, sf).columns == docs.columns, stage

@@ -37,3 +37,29 @@ def test_written_shards(spark, tmp_path):
     assert back.count() == 100
     want = {r.doc_id: r.shard for r in assign_shards(df, shards=4).collect()}
     assert {r.doc_id: r.shard for r in back.collect()} == want
+
+
+def one_jump(key, shards):
+    """The hash of one key by whole numbers, as its authors define it."""
+    at, ahead = -1, 0
+    while ahead < shards:
+        at = ahead
+        key = (key * 2862933555777941757 + 1) % (1 << 64)
+        ahead = int((at + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return at
+
+
+def test_jump_hash_against_single_keys():
+    keys = spread(np.concatenate([np.arange(300), np.array([-1, -(2**63), 2**63 - 1])]))
+    for n in (1, 2, 7, 8, 9, 100, 5000):
+        assert jump_hash(keys, n).tolist() == [one_jump(int(k), n) for k in keys]
+
+
+def test_long_texts_and_null_keys(spark, tmp_path):
+    rows = [(None, "é" * 300_000, "a"), (None, None, None), (3, "x" * 1_000_000, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `odd.name` string")
+    assert sorted(r["size"] for r in assign_shards(df, shards=3).collect()) == [1, 600_001, 1_000_001]
+    write_shards(df, str(tmp_path / "odd"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    assert back.count() == 3 and len({r.shard for r in back.collect() if r.doc_id is None}) == 1
+    write_shards(df.limit(0), str(tmp_path / "none"), shards=3)
