@@ -2,7 +2,13 @@
 cost-balanced packing, each stage written as Parquet before the next reads it.
 
 Every stage takes ``(spark, docs, sf_dir)``.  All but the last return the columns
-of ``documents``."""
+of ``documents``.
+
+Nulls in any column are allowed: a null text has no words and goes at the rules
+stage, a null id is a document like any other.  Repeated rows are one group of
+copies, of which one stays.  Texts of any length are read whole.  Columns beyond
+those of ``documents`` are carried along, whatever their names, and an empty table
+gives an empty result."""
 
 from __future__ import annotations
 
@@ -12,7 +18,7 @@ from echoframe.llm.jaccard import keep_one
 from echoframe.llm.packing import pack_balanced
 from echoframe.llm.quality import keep_quality
 from echoframe.llm.rules import keep_good
-from echoframe.plans.scratch import materialize, table
+from echoframe.plans.scratch import settled, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents`` in order."""
+    """Apply the stages to ``documents`` in order.  Of what a stage writes on its way,
+    only its result stays."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return docs
