@@ -32,20 +32,20 @@ class CloneConfig:
 
     def validate(self) -> "CloneConfig":
         if self.mode not in MODES:
-            raise InvalidConfig("mode", f"must be one of {', '.join(MODES)}")
+            raise InvalidConfig("mode", f"is none of {', '.join(MODES)}")
         for name in ("k_gram", "winnowing_window"):
             if getattr(self, name) < 1:
-                raise InvalidConfig(name, "must be greater than zero")
+                raise InvalidConfig(name, "is below 1")
         if self.min_tokens < self.k_gram + self.winnowing_window - 1:
-            raise InvalidConfig("min_tokens", "must cover one winnowing window")
+            raise InvalidConfig("min_tokens", "has no room for a window of k-grams")
         for name in ("min_similarity", "candidate_similarity"):
             if not 0 <= getattr(self, name) <= 1000:
-                raise InvalidConfig(name, "must be between 0 and 1000")
+                raise InvalidConfig(name, "is no share of 1000")
         if self.candidate_similarity > self.min_similarity:
-            raise InvalidConfig("candidate_similarity", "must not exceed min_similarity")
+            raise InvalidConfig("candidate_similarity", "lies above min_similarity")
         for name in ("min_shared_fingerprints", "max_bucket_size", "max_fragments", "max_tokens_per_fragment", "max_candidates"):
             if getattr(self, name) < 1:
-                raise InvalidConfig(name, "must be greater than zero")
+                raise InvalidConfig(name, "is below 1")
         return self
 
     @property
@@ -67,13 +67,13 @@ class RepositoryOptions:
 
     def validate(self) -> "RepositoryOptions":
         if self.max_file_bytes < 1:
-            raise InvalidConfig("max_file_bytes", "must be greater than zero")
+            raise InvalidConfig("max_file_bytes", "is below 1")
         if self.min_fragment_lines < 1:
-            raise InvalidConfig("min_fragment_lines", "must be greater than zero")
+            raise InvalidConfig("min_fragment_lines", "is below 1")
         if self.max_fragment_lines < self.min_fragment_lines:
-            raise InvalidConfig("max_fragment_lines", "must not be below min_fragment_lines")
+            raise InvalidConfig("max_fragment_lines", "lies below min_fragment_lines")
         if not self.extensions:
-            raise InvalidConfig("extensions", "must not be empty")
+            raise InvalidConfig("extensions", "names no extension")
         return self
 
 
@@ -91,7 +91,7 @@ def options_from_json(options: dict) -> tuple[CloneConfig, RepositoryOptions]:
         known[kind] = {_camel(f.name): f for f in fields(kind)}
     unknown = set(options) - set(known[CloneConfig]) - set(known[RepositoryOptions])
     if unknown:
-        raise InvalidConfig(sorted(unknown)[0], "unknown field")
+        raise InvalidConfig(sorted(unknown)[0], "is not known")
     for kind, names in known.items():
         values = {}
         for name, f in names.items():
@@ -100,10 +100,10 @@ def options_from_json(options: dict) -> tuple[CloneConfig, RepositoryOptions]:
             value, default = options[name], f.default
             if isinstance(default, tuple):
                 if not isinstance(value, (list, tuple)) or not all(isinstance(v, str) for v in value):
-                    raise InvalidConfig(f.name, "must be a list of strings")
+                    raise InvalidConfig(f.name, "takes a list of strings")
                 value = RepositoryOptions().with_extensions(value).extensions
             elif type(value) is not type(default) or (type(value) is int and value < 0):
-                raise InvalidConfig(f.name, "has a value of the wrong kind")
+                raise InvalidConfig(f.name, "has a value of another kind")
             values[f.name] = value
         parts.append(kind(**values).validate())
     return parts[0], parts[1]

@@ -72,7 +72,7 @@ def language_named(name: str) -> str:
     for language in LANGUAGES:
         if key == language or key in ALIASES.get(language, ()):
             return language
-    raise InvalidFragment(name, "unsupported language")
+    raise InvalidFragment(name, "no language has this name")
 
 
 def is_keyword(token: Column, language: Column) -> Column:

@@ -20,7 +20,7 @@ from ..functions.ids import stable_id
 from ..functions.languages import extension
 from ..functions.lexing import lex
 from ..plans.scratch import materialize
-from .ordering import numbered
+from .ordering import numbered, place_of, row_of, spot
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -67,10 +67,14 @@ def windows(sources: DataFrame, width: int) -> DataFrame:
 def window_hits(found: DataFrame) -> DataFrame:
     """Windows with an earlier equal one: (src, pos, left_src, left_pos).  The
     first window of every key is found with a grouped minimum, which combines
-    before it shuffles, and only keys that occur again are joined."""
-    first = found.groupBy("domain", "a", "b").agg(F.min(F.struct("src", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = found.join(first, ["domain", "a", "b"]).where(F.struct("src", "pos") != F.col("first"))
-    return hits.select("src", "pos", F.col("first.src").alias("left_src"), F.col("first.pos").alias("left_pos"))
+    before it shuffles, and only keys that occur again are joined; both are written,
+    so windows are keyed once and the join can split a common key."""
+    found = materialize(found, "windows")
+    here = spot(F.col("src"), F.col("pos"))
+    first = found.groupBy("domain", "a", "b").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = materialize(first, "first-windows")
+    hits = found.join(first, ["domain", "a", "b"]).where(here != F.col("first"))
+    return hits.select("src", "pos", row_of(F.col("first")).alias("left_src"), place_of(F.col("first")).cast("int").alias("left_pos"))
 
 
 def regions(hits: DataFrame, width: int, overlapping: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import materialize, settled
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -62,7 +62,7 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     )
     seen = _fingerprint(cur)
     for _ in range(max_rounds):
-        cur = materialize(_small_star(_large_star(cur)), "cc-round")
+        cur = settled(edges.sparkSession, lambda before=cur: _small_star(_large_star(before)), "cc-round")
         now = _fingerprint(cur)
         if now == seen:
             break

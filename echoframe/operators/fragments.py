@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,45 +36,53 @@ def text_lines(text: str) -> list[str]:
 
 def indented_functions(lines: list[str], least: int, most: int) -> list[tuple[int, int]]:
     """Python functions: from ``def`` to the last line that is indented deeper,
-    blank lines aside; nested ones too."""
-    depth = [len(x.encode()) - len(x.lstrip().encode()) if x.strip() else None for x in lines]
+    blank lines aside; nested ones too.  A line's block ends before the next line
+    of no deeper indentation, which one pass from the end finds for all lines."""
+    filled = [i for i, x in enumerate(lines) if x.strip()]
+    indent = [len(lines[i].encode()) - len(lines[i].lstrip().encode()) for i in filled]
+    after, open_ = [len(filled)] * len(filled), []
+    for at in reversed(range(len(filled))):
+        while open_ and indent[open_[-1]] > indent[at]:
+            open_.pop()
+        after[at] = open_[-1] if open_ else len(filled)
+        open_.append(at)
     out = []
-    for i, line in enumerate(lines):
-        if not line.lstrip().startswith(("def ", "async def ")):
-            continue
-        end = i
-        for j in range(i + 1, len(lines)):
-            if depth[j] is None:
-                continue
-            if depth[j] <= depth[i]:
-                break
-            end = j
-            if end - i + 1 >= most:
-                break
-        if end - i + 1 >= least:
-            out.append((i, end))
+    for at, first in enumerate(filled):
+        if lines[first].lstrip().startswith(("def ", "async def ")):
+            long = max(at + 1, bisect_left(filled, first + most - 1))  # the first line that makes it too long
+            last = filled[long if long < after[at] else after[at] - 1]
+            if last - first + 1 >= least:
+                out.append((first, last))
     return out
 
 
 def braced_functions(lines: list[str], least: int, most: int) -> list[tuple[int, int]]:
     """Blocks in braces, at most one level deep, whose first line looks like a
-    function's."""
-    out, depth, begin, outside = [], 0, None, 0
-    for i, line in enumerate(lines):
-        clean = without_noise(line)
-        grown = clean.count("{") - clean.count("}")
-        if begin is None and depth <= 1 and grown > 0:
-            head = clean.lstrip()
-            if not head.startswith(NOT_CALLABLE) and ("(" in head or any(w in head for w in CALLABLE)):
-                begin, outside = i, depth
-        depth += grown
-        if begin is not None and (depth <= outside or i - begin + 1 >= most):
-            if i - begin + 1 >= least:
-                out.append((begin, i))
-            begin = None
+    function's.  The depth of braces is a running sum over lines; a block ends on
+    the first line behind which the sum is back at what it was before the block."""
+    clean = [without_noise(x) for x in lines]
+    depth = [0, *accumulate(x.count("{") - x.count("}") for x in clean)]  # before each line, and behind the last
+    heads = [i for i, x in enumerate(clean) if depth[i] <= 1 and depth[i + 1] > depth[i] and _looks_callable(x.lstrip())]
+    shallow = {d: [i for i in range(len(lines)) if depth[i + 1] <= d] for d in {depth[i] for i in heads}}
+    out, free = [], 0
+    for first in heads:
+        if first < free:
+            continue
+        closing = shallow[depth[first]]
+        at = bisect_left(closing, first)
+        last = min(closing[at] if at < len(closing) else len(lines), first + most - 1)
+        if last >= len(lines):
+            break  # open to the end, and so is nothing behind it
+        free = last + 1
+        if free - first >= least:
+            out.append((first, last))
     return out
 
 
+def _looks_callable(head: str) -> bool:
+    return not head.startswith(NOT_CALLABLE) and ("(" in head or any(w in head for w in CALLABLE))
+
+
 def ranges(language: str, text: str, least: int, most: int) -> list[tuple[int, int]]:
     """First and last lines, from 0, of the fragments of one file."""
     found = []

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import permille
+from ..plans.scratch import materialize
 
 
 def buckets(fps: DataFrame) -> DataFrame:
@@ -15,8 +16,10 @@ def buckets(fps: DataFrame) -> DataFrame:
 
 def live(fps: DataFrame, max_bucket: int) -> DataFrame:
     """``fps`` without the fingerprints that more than ``max_bucket`` fragments
-    have.  This bounds what one fingerprint can join."""
-    return fps.join(buckets(fps).where(F.col("n") > max_bucket).select("fp"), "fp", "left_anti")
+    have.  This bounds what one fingerprint can join.  The list of those is written,
+    so that the join reads both sides plainly and a very common one can be split."""
+    hot = materialize(buckets(fps).where(F.col("n") > max_bucket).select("fp"), "hot-fingerprints")
+    return fps.join(hot, "fp", "left_anti")
 
 
 def effective_sizes(kept: DataFrame) -> DataFrame:

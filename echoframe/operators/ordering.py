@@ -9,6 +9,24 @@ from pyspark.sql import functions as F
 from ..plans.scratch import materialize
 
 
+PLACE_BITS = 27
+
+
+def spot(row, place):
+    """A row's number and a place in it as one long that orders like the two; minima
+    of it are grouped by hash, where those of a struct would be sorted.  Places have
+    27 bits, rows 35."""
+    return F.shiftleft(row.cast("long"), PLACE_BITS).bitwiseOR(place.cast("long"))
+
+
+def row_of(spots):
+    return F.shiftright(spots, PLACE_BITS)
+
+
+def place_of(spots):
+    return spots.bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long"))
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with ``name``, 0 to n - 1 in ascending ``order``; ties are numbered
     in any order.  Rows are dealt by ranges of the order and numbered within their

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import is_keyword
 from ..plans.scratch import materialize
-from .ordering import numbered
+from .ordering import numbered, spot
 
+#: Tokens of a dictionary that is sent to all workers, sixteen bytes each.
+HELD_WORDS = 2_000_000
 IDENTIFIER, STRING = "\0identifier", "\0string"
 
 
@@ -29,28 +33,44 @@ def dictionary(tokens: DataFrame, rank: str = "rank") -> DataFrame:
     ``rank`` and ``pos``, a token before the placeholder it is renamed to."""
     # One grouped minimum over all tokens; a placeholder's first place is the first
     # of the tokens renamed to it, so it follows from the distinct ones.
-    seen = tokens.groupBy("raw", "renamed").agg(F.min(F.struct(rank, "pos")).alias("at"))
+    seen = tokens.groupBy("raw", "renamed").agg(F.min(spot(F.col(rank), F.col("pos"))).alias("at"))
     both = seen.select(
-        F.inline(F.array(F.struct(F.col("raw").alias("token"), "at", F.lit(0).alias("slot")), F.struct(F.col("renamed").alias("token"), "at", F.lit(1).alias("slot"))))
+        F.inline(F.array(F.struct(F.col("raw").alias("token"), (F.col("at") * 2).alias("at")), F.struct(F.col("renamed").alias("token"), (F.col("at") * 2 + 1).alias("at"))))
     )
-    first = both.groupBy("token").agg(F.min(F.struct(F.col(f"at.{rank}").alias(rank), F.col("at.pos").alias("pos"), "slot")).alias("at"))
-    flat = first.select("token", F.col(f"at.{rank}").alias("a"), F.col("at.pos").alias("b"), F.col("at.slot").alias("c"))
-    return numbered(flat, ["a", "b", "c"], "token_id").select("token", "token_id")
+    first = both.groupBy("token").agg(F.min("at").alias("at"))
+    return numbered(first, ["at"], "token_id").select("token", "token_id")
 
 
-def encoded(tokens: DataFrame, words: DataFrame, rank: str = "rank") -> DataFrame:
-    """(rank, strict, renamed): id arrays of every token stream.
-
-    Only the raw token needs a join: of the renamed one there are two other
-    values, looked up once."""
+def encoded(lexed: DataFrame, words: DataFrame, rank: str = "rank") -> DataFrame:
+    """(rank, strict, renamed): id arrays of every row of ``lexed`` (rank, language,
+    tokens).  A dictionary of at most ``HELD_WORDS`` tokens goes to the workers as two
+    arrays of numbers, and no token is shuffled; a larger one is joined."""
     held = {r.token: r.token_id for r in words.where(F.col("token").isin(IDENTIFIER, STRING)).collect()}
-    ids = tokens.join(words.select(F.col("token").alias("raw"), "token_id"), "raw")
-    alias = (
-        F.when(F.col("renamed") == IDENTIFIER, F.lit(held.get(IDENTIFIER)))
-        .when(F.col("renamed") == STRING, F.lit(held.get(STRING)))
-        .otherwise(F.col("token_id"))
-        .cast("long")
-    )
-    rows = ids.select(rank, F.struct("pos", "token_id", alias.alias("renamed_id")).alias("t"))
+
+    def alias(name, own):
+        found = F.when(name == IDENTIFIER, F.lit(held.get(IDENTIFIER))).when(name == STRING, F.lit(held.get(STRING)))
+        return found.otherwise(own).cast("long")
+
+    sized = words.agg(F.count("*").alias("n"), F.countDistinct(F.xxhash64("token")).alias("kinds")).first()
+    if sized.n <= HELD_WORDS and sized.kinds == sized.n:
+        table = words.select(F.xxhash64("token").alias("h"), "token_id").toArrow()
+        hashes, numbers = table.column(0).to_numpy(), table.column(1).to_numpy()
+        order = np.argsort(hashes)
+        shared = lexed.sparkSession.sparkContext.broadcast((hashes[order], numbers[order]))
+
+        @F.pandas_udf("array<long>")
+        def numbered_tokens(rows: pd.Series) -> pd.Series:
+            at, ids = shared.value
+            sizes = rows.map(len).to_numpy(np.int64)
+            flat = ids[np.searchsorted(at, np.concatenate(rows.to_list()))] if sizes.sum() else np.empty(0, np.int64)
+            return pd.Series(np.split(flat, np.cumsum(sizes)[:-1]), index=rows.index)
+
+        ids = lexed.select(rank, "language", "tokens", numbered_tokens(F.transform("tokens", lambda t: F.xxhash64(t["raw"]))).alias("strict"))
+        return ids.select(
+            rank, "strict", F.zip_with("tokens", "strict", lambda t, own: alias(renamed(t["kind"], t["raw"], F.col("language")), own)).alias("renamed")
+        )
+    # Only the raw token needs a join: of the renamed one there are two other values.
+    ids = exploded(lexed, rank).join(words.select(F.col("token").alias("raw"), "token_id"), "raw")
+    rows = ids.select(rank, F.struct("pos", "token_id", alias(F.col("renamed"), F.col("token_id")).alias("renamed_id")).alias("t"))
     streams = rows.groupBy(rank).agg(F.sort_array(F.collect_list("t")).alias("ts"))
     return streams.select(rank, F.col("ts.token_id").alias("strict"), F.col("ts.renamed_id").alias("renamed"))

@@ -5,10 +5,10 @@ it needs."""
 
 from __future__ import annotations
 
-from .functions.languages import ALIASES, COMMON_KEYWORDS, EXTENSIONS  # noqa: F401
+from .functions.languages import COMMON_KEYWORDS
 from .functions.lexing import OPERATORS
 from .operators.fingerprints import BASE
-from .queries import NAMES
+from .queries import BRACED, BRACED_LINE, INDENTED, INDENTED_LINE, NAMES, QUERY
 
 
 def _list(words) -> str:
@@ -74,7 +74,7 @@ DOCS, RENAMED = steps(), steps(stream="renamed", mode="renamed")
 PRINT = "printf('%016x', {}::UBIGINT)"
 
 
-def block_steps(texts: str = "documents") -> list[tuple[str, str]]:
+def block_steps(texts: str = "documents", lines: int = 3) -> list[tuple[str, str]]:
     """Blocks: lexemes with positions, windows, first windows, runs, lines."""
     return [
         *steps(texts)[:2],
@@ -92,15 +92,15 @@ def block_steps(texts: str = "documents") -> list[tuple[str, str]]:
         ("offs", "SELECT r.*, o, a.b AND c.b AS starts, a.z AND c.z AS ends FROM (SELECT *, unnest(range(0, length)) AS o FROM regions) r JOIN edges a ON a.src = left_src AND a.pos = left_start + o JOIN edges c ON c.src = right_src AND c.pos = right_start + o"),
         ("lined", "SELECT left_src, right_src, left_start, right_start, length, min(o) FILTER (starts) AS h, max(o) FILTER (ends) AS t FROM offs GROUP BY ALL"),
         ("snap", "SELECT left_src, right_src, left_start + d AS left_start, right_start + d AS right_start, n AS length FROM (SELECT *, CASE WHEN coalesce(h <= t, false) THEN h ELSE 0 END AS d, CASE WHEN coalesce(h <= t, false) THEN t - h + 1 ELSE length END AS n FROM lined)"),
-        ("block", """SELECT 'type1' AS kind, 1000::BIGINT AS similarity, a.path AS left_path, a.start_byte AS left_start_byte, b.end_byte AS left_end_byte, a.start_line AS left_start_line,
+        ("block", f"""SELECT 'type1' AS kind, 1000::BIGINT AS similarity, a.path AS left_path, a.start_byte AS left_start_byte, b.end_byte AS left_end_byte, a.start_line AS left_start_line,
             b.end_line AS left_end_line, c.path AS right_path, c.start_byte AS right_start_byte, d.end_byte AS right_end_byte, c.start_line AS right_start_line, d.end_line AS right_end_line,
             length::BIGINT AS compared_tokens FROM snap JOIN edges a ON a.src = left_src AND a.pos = left_start JOIN edges b ON b.src = left_src AND b.pos = left_start + length - 1
             JOIN edges c ON c.src = right_src AND c.pos = right_start JOIN edges d ON d.src = right_src AND d.pos = right_start + length - 1
-            WHERE b.end_line - a.start_line >= 2 AND d.end_line - c.start_line >= 2"""),
+            WHERE b.end_line - a.start_line >= {lines - 1} AND d.end_line - c.start_line >= {lines - 1}"""),
     ]
 
 
-BLOCKS, PAGE_BLOCKS = block_steps(), block_steps("pages")
+BLOCKS, PAGE_BLOCKS = block_steps(), block_steps("pages", 1)
 _LINES = "greatest(1, len(text) - len(replace(text, chr(10), '')) + CASE WHEN text = '' OR suffix(text, chr(10)) THEN 0 ELSE 1 END)::BIGINT"
 
 
@@ -144,29 +144,94 @@ def _recursive(parts, last, query):
     return chain(parts, last, query).replace("WITH ", "WITH RECURSIVE ", 1).replace("walk AS MATERIALIZED", "walk AS")
 
 
-_NEXT = """WITH d AS (SELECT doc_id AS n, source || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS text FROM documents),
-s AS (SELECT *, greatest(1, len(text) - len(replace(text, chr(10), '')) + CASE WHEN text = '' OR suffix(text, chr(10)) THEN 0 ELSE 1 END) AS lines FROM d),
-o AS (SELECT a.n, a.path AS p, b.path AS q, a.text = b.text AS expected, CASE WHEN a.n % 3 = 0 THEN 'type1' END AS kind,
-  left(string_split(a.text, chr(10))[1], 3) = left(string_split(b.text, chr(10))[1], 3) AS reported, least(2, a.lines) AS la, least(2, b.lines) AS lb FROM s a JOIN s b ON b.n = a.n + 1),
-f AS (SELECT *, reported AND la * 1000 >= 2 * 700 AND lb * 1000 >= 2 * 700 AS detected FROM o),
-c AS (SELECT scope, count(*) FILTER (expected AND detected) AS tp, count(*) FILTER (NOT expected AND detected) AS fp, count(*) FILTER (expected AND NOT detected) AS fn,
-  count(*) FILTER (NOT expected AND NOT detected) AS tn FROM (SELECT 'overall' AS scope, * FROM f UNION ALL SELECT kind, * FROM f WHERE kind IS NOT NULL) GROUP BY scope)
-"""
+_GATE = [
+    *DOCS,
+    ("own", "SELECT id::BIGINT AS n, id, path, text, min(id::BIGINT) OVER (PARTITION BY text) AS f FROM texts"),
+    ("label", """SELECT a.id AS one, b.id AS two, a.text = b.text AS expected, 'type1' AS kind FROM own a JOIN own b ON b.n = a.f AND a.n <> a.f
+        UNION ALL SELECT a.id, b.id, a.text = b.text, NULL FROM own a JOIN own b ON b.n = a.n + 1"""),
+    ("judged", "SELECT expected, kind, EXISTS (SELECT 1 FROM clones c WHERE (c.left_id = one AND c.right_id = two) OR (c.left_id = two AND c.right_id = one)) AS detected FROM label"),
+    ("counted", """SELECT scope, count(*) FILTER (expected AND detected) AS tp, count(*) FILTER (NOT expected AND detected) AS fp, count(*) FILTER (expected AND NOT detected) AS fn,
+        count(*) FILTER (NOT expected AND NOT detected) AS tn FROM (SELECT 'overall' AS scope, * FROM judged UNION ALL SELECT kind, * FROM judged WHERE kind IS NOT NULL) GROUP BY scope"""),
+]
 
 _CLONE_COLUMNS = "left_id, right_id, kind, shared, jaccard, containment, similarity, edit_distance, compared_tokens"
 _NAMED = f"SELECT doc_id, 'p/' || ([{_list(NAMES)}])[doc_id % {len(NAMES)} + 1] AS path FROM documents"
 
 
-def _spans(rows, ext):
-    """Fixed spans, the same for every document."""
-    values = ", ".join(f"({n}, {a}, {b}, {c}, {d})" for n, (a, b, c, d) in enumerate(rows))
-    return f"""SELECT doc_id || '{ext}#fragment:' || n AS id, doc_id || '{ext}' AS path, a::BIGINT AS start_byte, b::BIGINT AS end_byte, c::BIGINT AS start_line, d::BIGINT AS end_line
-FROM documents, (VALUES {values}) v(n, a, b, c, d)"""
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _code(text: str, line: str) -> str:
+    made = f"replace(replace({_quote(text)}, '@B', repeat({_quote(line)}, n % 9)), '@C', CASE WHEN n % 5 = 0 THEN '' ELSE '}}' END)"
+    return f"""SELECT n, replace(replace({made}, '@N', n::VARCHAR), '@T', t) AS text
+  FROM (SELECT doc_id AS n, translate(substring(coalesce(text, ''), 1, 50), chr(10) || chr(13) || chr(92), '   ') AS t FROM documents)"""
+
+
+def _code_lines(text: str, line: str, ext: str, clean: str) -> str:
+    """Lines of generated code, from 0, with the byte behind each; a last line end opens no line."""
+    return f"""WITH RECURSIVE code AS MATERIALIZED ({_code(text, line)}),
+split AS MATERIALIZED (SELECT n, n || '{ext}' AS path, i - 1 AS i, x[i] AS s FROM (SELECT n, x, unnest(range(1, len(x) + CASE WHEN x[len(x)] = '' THEN 0 ELSE 1 END)) AS i FROM (SELECT n, string_split(text, chr(10)) AS x FROM code))),
+line AS MATERIALIZED (SELECT *, sum(strlen(s) + 1) OVER (PARTITION BY n ORDER BY i) AS e, count(*) OVER (PARTITION BY n) AS lines, {clean} AS c FROM split)"""
+
+
+#: What a line of code loses: comments and quoted text, an open quote up to the line's end.
+_LOST = "//.*|#.*|" + "|".join(rf"{q}(?:[^{q}\\]|\\.)*(?:{q}|\\?$)" for q in ("'", '"', "`"))
+_CONTROL = "^(if[ (]|for[ (]|while[ (]|switch[ (]|match |catch[ (]|else|try )"
+_FRAGMENT_COLUMNS = """SELECT path || '#fragment:' || (row_number() OVER (PARTITION BY f.n ORDER BY a) - 1) AS id, path, (x.e - strlen(x.s) - 1)::BIGINT AS start_byte, y.e::BIGINT AS end_byte,
+  a + 1 AS start_line, z + 1 AS end_line FROM found f JOIN line x ON x.n = f.n AND x.i = a JOIN (SELECT n, i, e FROM line) y ON y.n = f.n AND y.i = z WHERE z > a"""
+_BRACES = _code_lines(BRACED, BRACED_LINE, ".rs", f"regexp_replace(s, {_quote(_LOST)}, '', 'g')") + f""",
+deep AS MATERIALIZED (SELECT n, i, lines, c, sum(len(c) - len(replace(c, '{{', '')) - len(c) + len(replace(c, '}}', ''))) OVER (PARTITION BY n ORDER BY i) AS d FROM line),
+step AS MATERIALIZED (SELECT *, coalesce(lag(d) OVER (PARTITION BY n ORDER BY i), 0) AS p FROM deep),
+head AS MATERIALIZED (SELECT n, i, p, lines FROM step WHERE p <= 1 AND d > p AND NOT regexp_matches(ltrim(c), '{_CONTROL}') AND (contains(c, '(') OR contains(c, 'fn ') OR contains(c, 'func ') OR contains(c, 'function '))),
+span AS MATERIALIZED (SELECT h.n, h.i AS a, least(coalesce(min(s.i), h.lines), h.i + 8) AS z, h.lines FROM head h LEFT JOIN step s ON s.n = h.n AND s.i >= h.i AND s.d <= h.p GROUP BY h.n, h.i, h.lines),
+pick AS (SELECT n, a, z, lines FROM span WHERE (n, a) IN (SELECT (n, min(a)) FROM span GROUP BY n)
+  UNION ALL SELECT s.n, s.a, s.z, s.lines FROM (SELECT p.n, p.z, min(s.a) AS a FROM pick p JOIN span s ON s.n = p.n AND s.a > p.z WHERE p.z < p.lines GROUP BY p.n, p.z) q JOIN span s ON s.n = q.n AND s.a = q.a),
+found AS (SELECT n, a, z FROM pick WHERE z < lines AND z - a >= 2)
+""" + _FRAGMENT_COLUMNS
+_INDENTS = _code_lines(INDENTED, INDENTED_LINE, ".py", "strlen(s) - strlen(ltrim(s))") + """,
+full_ AS MATERIALIZED (SELECT n, i, c, s, lines FROM line WHERE trim(s) <> ''),
+def_ AS MATERIALIZED (SELECT d.n, d.i, coalesce(min(f.i), max(d.lines)) AS stop FROM full_ d LEFT JOIN full_ f ON f.n = d.n AND f.i > d.i AND f.c <= d.c WHERE regexp_matches(ltrim(d.s), '^(async )?def ') GROUP BY d.n, d.i),
+found AS (SELECT d.n, d.i AS a, coalesce(min(f.i) FILTER (f.i - d.i >= 8), max(f.i), d.i) AS z FROM def_ d LEFT JOIN full_ f ON f.n = d.n AND f.i > d.i AND f.i < d.stop GROUP BY d.n, d.i HAVING coalesce(min(f.i) FILTER (f.i - d.i >= 8), max(f.i), d.i) - d.i >= 2)
+""" + _FRAGMENT_COLUMNS
+
+#: By language: how its comments and strings go in RE2's terms, and its own keywords.
+_SLASHES = r"//[^\n]*\n?|/\*(?:[^*]|\*+[^*/])*(?:\*+/|\z)"
+_TRIPLES = "|".join(rf"{q}{{3}}(?:[^{q}\\]|\\.|{q}{{1,2}}[^{q}\\])*{q}{{3}}" for q in ("'", '"'))
+_CODE = [
+    ("rust", BRACED, BRACED_LINE, _SLASHES, "", "^//|^/[*]", "fn let mut impl trait pub crate super where".split()),
+    ("typescript", BRACED, BRACED_LINE, _SLASHES, "", "^//|^/[*]", []),
+    ("python", INDENTED, INDENTED_LINE, r"#[^\n]*\n?", _TRIPLES, "^#", "def lambda elif except with as pass raise in is".split()),
+    ("sql", QUERY, "", r"--[^\n]*\n?", "", "^--", []),
+]
+
+
+def _code_tokens() -> str:
+    """The lexer's alternatives in order, with the language's comments before names."""
+    space, plain = _pattern().removeprefix("(?s)").split("|", 1)
+    parts = []
+    for language, text, line, comment, triples, lost, words in _CODE:
+        pattern = "(?s)" + "|".join([space, comment, *([triples] if triples else []), plain])
+        known = f"raw IN ({_list([*COMMON_KEYWORDS, *words])})"
+        if language == "sql":
+            known += " OR lower(raw) IN ('select', 'insert', 'update', 'delete', 'from', 'where', 'join', 'group', 'order', 'having', 'create', 'alter', 'drop')"
+        parts.append(
+            f"""SELECT '{language}' AS language, n AS id, kind, CASE WHEN kind = 'I' AND NOT ({known}) THEN '~identifier' WHEN kind = 'S' THEN '~string' ELSE raw END AS token
+  FROM (SELECT *, {KIND.format(x="raw")} AS kind FROM (SELECT n, unnest(regexp_extract_all(text, {_quote(pattern)})) AS raw FROM ({_code(text, line)})) WHERE NOT regexp_matches(raw, '{SPACE}') AND NOT regexp_matches(raw, '{lost}'))"""
+        )
+    return "SELECT language, kind, token, count(*) AS n, count(DISTINCT id) AS n_docs FROM (" + " UNION ALL ".join(parts) + ") GROUP BY ALL"
+
+
+#: Extensions by language, written out once more.
+_EXTENSIONS = (
+    "rs:rust go:go c:c h:c cc:cpp cpp:cpp cxx:cpp hh:cpp hpp:cpp hxx:cpp sh:bash bash:bash zsh:bash sql:sql psql:sql js:javascript jsx:javascript mjs:javascript cjs:javascript "
+    "ts:typescript tsx:typescript mts:typescript cts:typescript py:python pyi:python java:java cs:csharp html:markup htm:markup xml:markup vue:markup svelte:markup md:markup mdx:markup"
+).split()
 
 
 ORACLE_SQL = {
     "language_from_path": f"""WITH d AS ({_NAMED}), e AS (SELECT *, lower(regexp_extract(path, '[^/]\\.([^./]*)$', 1)) AS extension FROM d)
-SELECT doc_id, path, extension, CASE {" ".join(f"WHEN extension IN ({_list(v)}) THEN '{k}'" for k, v in EXTENSIONS.items())} ELSE 'text' END AS language FROM e""",
+SELECT doc_id, path, extension, CASE extension {" ".join("WHEN '{}' THEN '{}'".format(*x.split(":")) for x in _EXTENSIONS)} ELSE 'text' END AS language FROM e""",
     "lex_token_counts": chain(DOCS, "toks", "SELECT id, len(raws)::BIGINT AS n_tokens, len(raws) < 24 AS is_small FROM toks"),
     "lex_token_kinds": chain(DOCS, "tok", "SELECT kind, count(*) AS n, sum(strlen(raw))::BIGINT AS n_bytes FROM tok GROUP BY kind"),
     "token_positions": chain(block_steps("turns"), "pt", "SELECT id, pos, start_byte, end_byte, start_line, end_line FROM pt"),
@@ -200,11 +265,16 @@ SELECT doc_id, path, extension, CASE {" ".join(f"WHEN extension IN ({_list(v)})
     "overlap_policy": chain(BLOCKS, "regions", """SELECT 'dropped' AS policy, count(*) AS n, coalesce(sum(length), 0)::BIGINT AS n_tokens FROM regions WHERE left_src = right_src
 UNION ALL SELECT 'kept', count(*), coalesce(sum(length), 0)::BIGINT FROM every WHERE left_src = right_src"""),
     "extension_isolation": chain(BLOCKS, "wins", """SELECT domain, count(*) AS n_hits FROM (SELECT string_split(path, '/')[1] AS domain, row_number() OVER (PARTITION BY string_split(path, '/')[1], k ORDER BY src, pos) AS r FROM wins) WHERE r > 1 GROUP BY domain"""),
-    "accuracy_counts": _NEXT + "SELECT * FROM c",
-    "accuracy_metrics": _NEXT + """, m AS (SELECT scope, CASE WHEN tp + fp = 0 THEN 1000 ELSE tp * 1000 // (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1000 ELSE tp * 1000 // (tp + fn) END AS recall FROM c)
-SELECT scope, precision::BIGINT AS precision, recall::BIGINT AS recall, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall // (precision + recall) END::BIGINT AS f1 FROM m""",
-    "brace_fragments": _spans([(0, 68, 1, 4), (101, 162, 9, 12)], ".rs"),
-    "python_fragments": _spans([(9, 60, 2, 5), (61, 167, 7, 11), (86, 146, 8, 10)], ".py"),
+    "accuracy_counts": chain(_GATE, "counted", "SELECT * FROM counted"),
+    "accuracy_metrics": chain(_GATE, "counted", """SELECT scope, precision::BIGINT AS precision, recall::BIGINT AS recall, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall // (precision + recall) END::BIGINT AS f1
+FROM (SELECT scope, CASE WHEN tp + fp = 0 THEN 1000 ELSE tp * 1000 // (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1000 ELSE tp * 1000 // (tp + fn) END AS recall FROM counted)"""),
+    "brace_fragments": _BRACES,
+    "python_fragments": _INDENTS,
+    "code_tokens": _code_tokens(),
+    "near_miss_statistics": chain(_near("documents"), "near", """SELECT 0::BIGINT AS source_files, 0::BIGINT AS source_tokens, (SELECT count(*) FROM texts) AS input_fragments, (SELECT count(*) FROM streams) AS analyzed_fragments,
+  (SELECT count(*) FROM texts) - (SELECT count(*) FROM streams) AS skipped_small_fragments, (SELECT sum(len(strict))::BIGINT FROM streams) AS tokens, (SELECT count(*) FROM fps) AS fingerprints,
+  (SELECT count(*) FROM cand) AS candidate_pairs, 0::BIGINT AS exact_block_candidates, (SELECT count(*) FROM clones) + (SELECT count(*) FROM near WHERE edit_distance <= compared_tokens * 200 // 1000) AS verified_pairs,
+  (SELECT count(*) FROM buckets WHERE n > 128) AS suppressed_buckets, 0::BIGINT AS suppressed_exact_buckets"""),
     "bigcloneeval_rows": chain(_FLAT, "frag", """SELECT 'selected' AS left_category, string_split(left_path, '/')[3] AS left_file, left_start_line AS left_start, left_end_line AS left_end,
   'selected' AS right_category, string_split(right_path, '/')[3] AS right_file, right_start_line AS right_start, right_end_line AS right_end FROM frag"""),
 }

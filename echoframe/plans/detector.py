@@ -53,10 +53,10 @@ def validate_fragments(fragments: DataFrame, config: CloneConfig) -> int:
     """Check all fragments before anything is computed; returns how many there are."""
     s = F.col("span")
     reason = (
-        F.when(F.coalesce(F.trim("id"), F.lit("")) == "", "id must not be blank")
-        .when(F.coalesce(F.trim("path"), F.lit("")) == "", "path must not be blank")
-        .when(s.isNull() | (s["start_byte"] > s["end_byte"]), "byte span is reversed")
-        .when((s["start_line"] < 1) | (s["start_line"] > s["end_line"]), "line span is invalid")
+        F.when(F.coalesce(F.trim("id"), F.lit("")) == "", "it has no id")
+        .when(F.coalesce(F.trim("path"), F.lit("")) == "", "it has no path")
+        .when(s.isNull() | (s["start_byte"] > s["end_byte"]), "its bytes end before they begin")
+        .when((s["start_line"] < 1) | (s["start_line"] > s["end_line"]), "its lines do not count up from 1")
     )
     seen = fragments.agg(F.count("*").alias("n"), F.min(F.when(reason.isNotNull(), F.struct("id", reason.alias("reason")))).alias("bad")).first()
     if seen.n > config.max_fragments:
@@ -93,7 +93,7 @@ def prepare(fragments: DataFrame, config: CloneConfig) -> Prepared:
     rows = tokens.exploded(lexed, "rank")
     words = materialize(tokens.dictionary(rows), "dictionary")
     large = lexed.where(F.size("tokens") >= config.min_tokens)
-    streams = materialize(tokens.encoded(tokens.exploded(large, "rank"), words), "streams")
+    streams = materialize(tokens.encoded(large, words), "streams")
     fps = materialize(fingerprints.fingerprint_rows(streams, config.stream, config.k_gram, config.winnowing_window), "fingerprints")
     return Prepared(lexed, words, streams, fps)
 
@@ -191,5 +191,5 @@ def detect_repository(spark: SparkSession, root: str, config: CloneConfig | None
     files = materialize(scan(spark, root, options), "scan")
     bad = files.where(~F.is_valid_utf8(F.col("content"))).agg(F.min("path")).first()[0]
     if bad is not None:
-        raise RepositoryError(f"{bad} is not valid UTF-8")
+        raise RepositoryError(f"{bad} holds bytes that are not UTF-8")
     return detect_files(files.select("path", F.col("content").cast("string").alias("text")), config, options)

@@ -93,9 +93,9 @@ def sarif_results(pairs: DataFrame) -> DataFrame:
 
     number = F.substring("kind", 5, 1).cast("int")
     percent = F.format_string("%d.%d", F.expr("similarity div 10"), F.expr("similarity % 10"))
-    message = F.concat(F.initcap("kind"), F.lit(" clone with "), percent, F.lit("% similarity; related location contains the paired region"))
+    message = F.concat(F.lit("These lines are repeated elsewhere: "), percent, F.lit(" % alike, kind "), number.cast("string"))
     text = lambda c: F.struct(c.alias("text"))
-    related = F.struct(F.lit(1).alias("id"), text(F.lit("paired clone")).alias("message"), place("right").alias("physicalLocation"))
+    related = F.struct(F.lit(1).alias("id"), text(F.lit("the same lines again")).alias("message"), place("right").alias("physicalLocation"))
     e = F.col("evidence")
     body = F.struct(
         F.concat(F.lit("CLONE.TYPE"), number).alias("ruleId"),
@@ -112,7 +112,7 @@ def sarif_results(pairs: DataFrame) -> DataFrame:
 
 
 def to_sarif(report: CloneReport) -> str:
-    names = [("ExactClone", "Exact token clone"), ("RenamedClone", "Identifier-renamed clone"), ("NearMissClone", "Near-miss structural clone")]
+    names = [("SameTokens", "Equal token for token"), ("OtherNames", "Equal but for names and strings"), ("FewEdits", "Equal but for a few tokens")]
     rules = [{"id": f"CLONE.TYPE{i}", "name": n, "shortDescription": {"text": t}} for i, (n, t) in enumerate(names, 1)]
     driver = json.dumps({"driver": {"name": "echoframe", "semanticVersion": "0.1.0", "rules": rules}}, separators=(",", ":"))
     head = '{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":'

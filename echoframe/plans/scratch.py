@@ -8,19 +8,25 @@ tasks it ran, and nothing lives on a single machine's disk.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+_OPEN = threading.local()  # lists of what was written by calls that are still running
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, as in
-    tests on one machine, a temporary folder that is made once."""
+    """The folder named by ``spark.checkpoint.dir``.  Where that is unset, a session
+    on one machine, as in tests, takes a temporary folder that is made once; on a
+    cluster no folder of one machine would do, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = tempfile.mkdtemp(prefix="echoframe-")
     return _FALLBACK["dir"]
@@ -31,23 +37,38 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    for written in getattr(_OPEN, "calls", []):
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, made: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``made`` returns, written; what was written on the way to it is
+    removed.  Tables that were there before stay."""
+    if not hasattr(_OPEN, "calls"):
+        _OPEN.calls = []
+    _OPEN.calls.append([])
+    try:
+        out = made()
+    finally:
+        written = _OPEN.calls.pop()
+    out = materialize(out, name)
+    for path in written:
+        for calls in _OPEN.calls:
+            calls.remove(path)
+        remove(spark, path)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a table that was written here."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the stored tables under ``sf_dir``.  A table of fewer parts than there
     are cores, such as a single small file, is dealt out over all of them."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches that carry whole texts to Python workers.
-
-    The setting counts rows, so a value left at Spark's default of 10,000 could
-    put hundreds of megabytes of long texts in one batch.  A value that the
-    user has set to something else is kept."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(rows))

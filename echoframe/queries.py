@@ -22,7 +22,9 @@ from .plans.accuracy import confusion, detected, metrics
 from .plans.scratch import materialize, table
 from .schema import ORACLE
 
-EXACT, RENAMED, NEAR = CloneConfig(mode="exact"), CloneConfig(mode="renamed"), CloneConfig()
+#: Limits above any table: a query over a whole table must not fail for its size.
+WHOLE = dict(max_fragments=10**12, max_tokens_per_fragment=(1 << 27) - 1, max_candidates=10**15)
+EXACT, RENAMED, NEAR = (CloneConfig(mode=mode, **WHOLE) for mode in ("exact", "renamed", "nearMiss"))
 MIN_LINES = 3
 
 
@@ -163,9 +165,9 @@ def _flat(pairs):
     return pairs.select("kind", F.col("similarity").cast("long").alias("similarity"), *side("left"), *side("right"), F.col("evidence.compared_tokens").alias("compared_tokens"))
 
 
-def _block_pairs(files, spark, sf):
+def _block_pairs(files, spark, sf, lines=MIN_LINES):
     sources, hits = _blocks(files, spark, sf)
-    return blocks.block_pairs(blocks.regions(hits, 24), sources, 24, MIN_LINES)
+    return blocks.block_pairs(blocks.regions(hits, 24), sources, 24, lines)
 
 
 def block_pairs_snapped(spark, sf):
@@ -173,7 +175,8 @@ def block_pairs_snapped(spark, sf):
 
 
 def page_block_pairs(spark, sf):
-    return _flat(_block_pairs(pages, spark, sf))
+    """Pages have few lines, so blocks within one line count."""
+    return _flat(_block_pairs(pages, spark, sf, lines=1))
 
 
 # Pairs of both kinds, families, statistics
@@ -231,46 +234,113 @@ def extension_isolation(spark, sf):
 
 
 def _oracle(spark, sf):
-    """Labels made of the documents: each with the one of the next id, lines 1 to 2,
-    expected to be a clone if the texts are equal."""
-    d = documents(spark, sf).select(F.col("id").cast("long").alias("n"), "path", "text")
-    e = d.select((F.col("n") - 1).alias("n"), F.col("path").alias("p2"), F.col("text").alias("t2"))
-    made = d.join(e, "n").select(
-        F.col("n").cast("string").alias("id"), F.col("path").alias("left_path"), F.lit(1).alias("left_start"), F.lit(2).alias("left_end"), F.col("p2").alias("right_path"),
-        F.lit(1).alias("right_start"), F.lit(2).alias("right_end"), (F.col("text") == F.col("t2")).alias("expected"), F.when(F.col("n") % 3 == 0, "type1").alias("kind"),
+    """Labels over all lines of two documents: each with the first of equal text, and
+    each with the one of the next id; expected to be a clone if the texts are equal."""
+    d = documents(spark, sf).select(F.col("id").cast("long").alias("n"), "path", "text", F.col("span.end_line").alias("lines"))
+    first = d.groupBy("text").agg(F.min("n").alias("other"))
+    other = d.select(F.col("n").alias("other"), F.struct("path", "text", "lines").alias("o"))
+    equal = d.join(first, "text").where("n <> other").select("n", "other", "path", "text", "lines", F.lit("type1").alias("kind"))
+    following = d.select("n", (F.col("n") + 1).alias("other"), "path", "text", "lines", F.lit(None).cast("string").alias("kind"))
+    made = equal.unionByName(following).join(other, "other").select(
+        F.concat_ws("-", "n", "other").alias("id"), F.col("path").alias("left_path"), F.lit(1).alias("left_start"), F.col("lines").alias("left_end"), F.col("o.path").alias("right_path"),
+        F.lit(1).alias("right_start"), F.col("o.lines").alias("right_end"), (F.col("text") == F.col("o.text")).alias("expected"), "kind",
     )
     return made.select(*[f.name for f in ORACLE])
 
 
-def _gate_pairs(spark, sf):
-    """Pairs of documents whose ids follow each other and whose first lines agree."""
-    d = documents(spark, sf).select(F.col("id").cast("long").alias("n"), "id", "path", "span", F.substring_index("text", "\n", 1).alias("line"))
-    e = d.select((F.col("n") - 1).alias("n"), F.struct("path", "span", F.col("id").alias("fragment_id")).alias("right"), F.col("line").alias("line2"))
-    return d.join(e, "n").where(F.substring("line", 1, 3) == F.substring("line2", 1, 3)).select(F.col("id"), F.struct("path", "span", F.col("id").alias("fragment_id")).alias("left"), "right")
-
-
 def accuracy_counts(spark, sf):
-    return confusion(detected(_gate_pairs(spark, sf), _oracle(spark, sf)))
+    return confusion(detected(materialize(_exact_pairs(spark, sf), "gate-pairs"), _oracle(spark, sf)))
 
 
 def accuracy_metrics(spark, sf):
-    return metrics(confusion(detected(_gate_pairs(spark, sf), _oracle(spark, sf)))).select("scope", *[F.col(c).cast("long").alias(c) for c in ("precision", "recall", "f1")])
-
-
-BRACED = "fn one(a: u8) -> u8 {\n    let s = \"{ not a brace\"; // {\n    a + 1\n}\nstruct S {\n    x: u8,\n}\nimpl S {\n    fn two(&self) {\n        go(self.x);\n        go(2);\n    }\n}\n"
-INDENTED = "class A:\n    def one(self):\n        x = 1\n\n        return x\n\n    async def two(self):\n        def inner():\n            y = 2\n            return y\n        return inner\n"
-
-
-def _fragments(language, ext, text):
+    return metrics(accuracy_counts(spark, sf)).select("scope", *[F.col(c).cast("long").alias(c) for c in ("precision", "recall", "f1")])
+
+
+# Code: the stored texts have none, so every document gets some, made of its id and text.
+
+#: @N is the document's id, @T some of its text on one line, @B up to eight lines, @C a
+#: brace that every fifth document lacks.
+BRACED = """// @T
+use std::x; /* two { lines
+ of comment */
+fn one@N(a: u8) -> u8 {
+    let s = "{ @T"; // {
+@B    a + 0xFF + 1e-3 + @N
+@C
+struct S@N {
+    x: u8,
+}
+impl S@N {
+    pub fn two(&self) {
+        if self.x >= 3 { go(self.x); }
+@B    }
+    fn three() { x(); }
+}
+function four(p, q) {
+    for (let i = 0; i < 3; i++) {
+        q(`}${i}`, '{', "\\"{");
+    }
+    return p?.x ?? @N;
+}
+"""
+INDENTED = """# @T
+class A@N:
+    def one(self):
+        x = '''three " quotes'''  # @T
+
+@B        return x
+
+    async def two(self):
+        def inner():
+            y = 2.5e+3 ** @N
+            return y
+@B
+        return inner
+def three(): pass
+def four@N(a,
+           b):
+        # @T
+    z = "def no():"
+"""
+QUERY = """-- @T
+SELECT a@N, 'it -- is', "b" FROM t WHERE x >= @N AND y <> 3 -- end
+GROUP BY a;
+update t set b = b || 'x' where c != 1e3; # not a comment
+"""
+BRACED_LINE, INDENTED_LINE = "        go(1);\n", "        run(x)\n"
+
+
+def _made(spark, sf, text: str, line: str):
+    """(id, text): the code once for every document."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("n"), F.translate(F.substring(F.coalesce("text", F.lit("")), 1, 50), "\n\r\\", "   ").alias("t"))
+    name = F.col("n").cast("string")
+    made = F.replace(F.lit(text), F.lit("@B"), F.repeat(F.lit(line), F.pmod("n", F.lit(9)).cast("int")))
+    made = F.replace(made, F.lit("@C"), F.when(F.pmod("n", F.lit(5)) == 0, "").otherwise("}"))
+    return d.select(name.alias("id"), F.replace(F.replace(made, F.lit("@N"), name), F.lit("@T"), F.col("t")).alias("text"))
+
+
+def _fragments(language, ext, text, line):
     def query(spark, sf):
-        """The fixture text, once for every document, with the document's id in it."""
-        d = table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("path"), F.lit(language).alias("language"), F.lit(text).alias("text"))
-        found = fragment_files(d)
+        files = _made(spark, sf, text, line).select(F.concat("id", F.lit(ext)).alias("path"), F.lit(language).alias("language"), "text")
+        found = fragment_files(files, least=3, most=9)
         return found.select("id", "path", *[F.col(f"span.{n}").cast("long").alias(n) for n in ("start_byte", "end_byte", "start_line", "end_line")])
 
     return query
 
 
+def code_tokens(spark, sf):
+    """Renamed tokens of code in four languages: comments, strings, keywords."""
+    parts = [("rust", BRACED, BRACED_LINE), ("typescript", BRACED, BRACED_LINE), ("python", INDENTED, INDENTED_LINE), ("sql", QUERY, "")]
+    files = None
+    for language, text, line in parts:
+        one = _made(spark, sf, text, line).withColumn("language", F.lit(language))
+        files = one if files is None else files.unionByName(one)
+    found = lex(files).select("language", "id", F.explode("tokens").alias("t"))
+    token = tokens.renamed(F.col("t.kind"), F.col("t.raw"), F.col("language"))
+    found = found.select("language", "id", F.col("t.kind").alias("kind"), F.replace(token, F.lit("\0"), F.lit("~")).alias("token"))
+    return found.groupBy("language", "kind", "token").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_docs"))
+
+
 def pair_ids(spark, sf):
     return _exact_pairs(spark, sf).select("id", F.col("left.fragment_id").alias("left_id"), F.col("right.fragment_id").alias("right_id"))
 
@@ -329,8 +399,9 @@ QUERIES = {
     "extension_isolation": extension_isolation,
     "accuracy_counts": accuracy_counts,
     "accuracy_metrics": accuracy_metrics,
-    "brace_fragments": _fragments("rust", ".rs", BRACED),
-    "python_fragments": _fragments("python", ".py", INDENTED),
+    "brace_fragments": _fragments("rust", ".rs", BRACED, BRACED_LINE),
+    "python_fragments": _fragments("python", ".py", INDENTED, INDENTED_LINE),
+    "code_tokens": code_tokens,
     "pair_ids": pair_ids,
     "report_json": report_json,
     "report_family_json": report_family_json,

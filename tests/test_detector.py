@@ -10,19 +10,19 @@ from echoframe.operators.families import families_for_pairs
 from echoframe.plans.accuracy import AccuracyGate
 from echoframe.plans.detector import detect_files, detect_fragments, detect_repository
 from echoframe.schema import FRAGMENT, ORACLE, PAIR
+from test_units import by_character
 
 
-def compute(given, made, extra=""):
-    """A small function over one number."""
+def freight(weight, boxes, extra=""):
+    """A small function in which two names and one more statement can differ."""
     return (
-        f"fn calculate({given}: i64) -> i64 {{\n"
-        f"let baseline = {given} * 31;\n"
-        "let adjusted = baseline + 7;\n"
-        f"let {made} = if adjusted > 100 {{ adjusted / 2 }} else {{ adjusted * 2 }};\n"
-        f"{extra}\n"
-        f"let checked = {made}.saturating_add(baseline);\n"
-        "let bounded = checked.clamp(0, 10000);\n"
-        "bounded + adjusted + baseline\n"
+        f"pub fn freight({weight}: u32, rate: u32) -> u32 {{\n"
+        f"    let mut {boxes} = {weight} / 12;\n"
+        f"    if {weight} % 12 != 0 {{\n        {boxes} += 1;\n    }}\n"
+        f"{extra}"
+        f"    while {boxes} > 400 {{\n        {boxes} -= rate * 3;\n    }}\n"
+        f"    let fee = {boxes} * rate + 250;\n"
+        f"    return fee.max({weight}) - rate / 2;\n"
         "}\n"
     )
 
@@ -36,8 +36,8 @@ def table(spark, rows):
 
 
 FOUR = [
-    fragment("a", compute("value", "result")), fragment("b", compute("value", "result")), fragment("c", compute("input", "output")),
-    fragment("d", compute("input", "output", "let audited = output.is_positive();")),
+    fragment("a", freight("weight", "boxes")), fragment("b", freight("weight", "boxes")), fragment("c", freight("mass", "crates")),
+    fragment("d", freight("mass", "crates", "    log(crates, rate);\n")),
 ]
 
 
@@ -48,9 +48,10 @@ def test_three_kinds(spark):
     assert kinds == ["type1", "type2", "type2", "type3", "type3", "type3"]
     assert pairs["a", "b"].kind == "type1" and pairs["a", "c"].kind == "type2"
     e = pairs["a", "d"].evidence
-    assert (pairs["a", "d"].similarity, e.edit_distance, e.compared_tokens, e.shared_fingerprints, e.fingerprint_jaccard, e.fingerprint_containment) == (887, 9, 80, 25, 892, 1000)
+    n = len(by_character(FOUR[3][3], "rust"))
+    assert e.edit_distance == 7 and e.compared_tokens == n and pairs["a", "d"].similarity == (n - 7) * 1000 // n  # log ( crates , rate ) ;
     s = report.statistics.first()
-    assert (s.tokens, s.fingerprints, s.candidate_pairs, s.input_fragments, s.analyzed_fragments) == (293, 103, 6, 4, 4)
+    assert s.tokens == sum(len(by_character(f[3], "rust")) for f in FOUR) and (s.candidate_pairs, s.input_fragments, s.analyzed_fragments) == (6, 4, 4)
     family = report.families.collect()
     assert len(family) == 1 and len(family[0].members) == 4 and len(family[0].pair_ids) == 6
     backwards = detect_fragments(table(spark, FOUR[::-1]))
@@ -63,14 +64,15 @@ def test_modes_and_lookalikes(spark):
     renamed = detect_fragments(table(spark, FOUR), CloneConfig(mode="renamed"))
     assert sorted(p.kind for p in renamed.pairs.collect()) == ["type1", "type2", "type2"]
 
-    def numbers(base):
-        return "fn table(input: usize) -> usize {\n" + "\n".join(f"let value_{i} = input + {base + i};" for i in range(30)) + "\ninput\n}\n"
+    def rows(first):
+        """Statements that differ in nothing but their numbers."""
+        return "pub fn fill(out: Grid) {\n" + "".join(f"    out.put(row, {first + 7 * i});\n" for i in range(25)) + "}\n"
 
-    assert detect_fragments(table(spark, [fragment("x", numbers(0)), fragment("y", numbers(10000))])).pairs.count() == 0
+    assert detect_fragments(table(spark, [fragment("x", rows(1)), fragment("y", rows(5000))])).pairs.count() == 0
 
 
 def test_overlap_and_checks(spark):
-    text = compute("value", "result")
+    text = freight("weight", "boxes")
     rows = [fragment("a", text, "same.rs"), fragment("b", text, "same.rs", 10)]
     assert detect_fragments(table(spark, rows)).pairs.count() == 0
     assert detect_fragments(table(spark, rows), CloneConfig(compare_overlapping_fragments=True)).pairs.count() == 1
@@ -92,16 +94,20 @@ def files(spark, **texts):
     return spark.createDataFrame([(k.replace("__", ".").replace("_S_", "/"), v) for k, v in texts.items()], "path string, text string")
 
 
+def family_member(family, name):
+    """Functions of one family differ in a name, those of two in a number."""
+    return (
+        f"pub fn shelf_{family}({name}: u64) -> u64 {{\n    let mut room = {family} + 3;\n    for step in list({name}) {{\n        room = room * 5 % 1009;\n"
+        f"        if room == {family} {{\n            break;\n        }}\n    }}\n    room + {name} * {family}\n}}\n"
+    )
+
+
 def test_generated_fragments(spark):
-    rows = []
-    for i in range(600):
-        family, name = i // 2, "value" if i % 2 == 0 else "item"
-        text = (
-            f"fn calculate_{family}({name}: i64) -> i64 {{\nlet baseline = {name} * 31;\nlet adjusted = baseline + {family};\nif adjusted > 100 {{\n"
-            "return adjusted / 2;\n}\nlet fallback = adjusted * adjusted;\nfallback + baseline\n}\n"
-        )
-        rows.append(fragment(f"fragment:{i}", text, f"src/file_{i}.rs", lines=9))
-    assert detect_fragments(table(spark, rows)).pairs.count() == 300
+    rows = [fragment(f"f{i}", family_member(i // 2, "depth" if i % 2 else "width"), f"lib/f{i}.rs") for i in range(600)]
+    report = detect_fragments(table(spark, rows))
+    found = {tuple(sorted((p.left.fragment_id, p.right.fragment_id))) for p in report.pairs.collect()}
+    assert found == {tuple(sorted((f"f{i}", f"f{i + 1}"))) for i in range(0, 600, 2)}  # every planted pair and no other
+    assert {p.kind for p in report.pairs.collect()} == {"type2"}
 
 
 def test_files_with_renamed_functions(spark):
@@ -113,25 +119,28 @@ def test_files_with_renamed_functions(spark):
     assert [p.kind for p in pair] == ["type2"] and report.families.count() == 1 and report.statistics.first().source_files == 2
 
 
-def ts(i):
-    return (
-        f"export function calculate{i}(values: readonly number[]): number {{\nlet total = {i};\nfor (const value of values) {{\nconst scaled = value * 31;\n"
-        f"total += scaled > 100 ? scaled / 2 : scaled;\n}}\nreturn total + {i};\n}}\n"
-    )
+def module(i):
+    """Two parts that all modules share, with a line between them that none does."""
+    head = "import { open } from 'store';\nexport async function load(key: string, tries: number) {\n  const box = await open(key);\n  if (box === null) {\n    return tries;\n  }\n"
+    tail = "  for (let at = 0; at < tries; at++) {\n    box.push(at * 2);\n    box.trim();\n  }\n  box.close();\n  return box.size + tries;\n}\n"
+    return head + f"  const mark{i} = {i};\n" + tail
 
 
 def test_generated_files(spark):
-    rows = [(f"src/file_{i}.{'tsx' if i % 2 else 'ts'}", ts(i // 2)) for i in range(64)]
+    rows = [(f"src/m{i}.{'tsx' if i % 2 else 'ts'}", module(i)) for i in range(64)]
     report = detect_files(spark.createDataFrame(rows, "path string, text string"), CloneConfig(mode="exact"))
-    assert report.pairs.count() > 0 and report.statistics.first().source_files == 64
+    pairs = report.pairs.collect()
+    # Both parts of every module pair with those of the first one of its extension.
+    assert len(pairs) == 2 * 2 * 31 and {p.left.path for p in pairs} == {"src/m0.ts", "src/m1.tsx"}
+    assert report.statistics.first().source_files == 64
 
 
 def test_copies_extensions_and_lines(spark):
     exact = CloneConfig(mode="exact")
-    copies = spark.createDataFrame([(f"f{i:03}.rs", compute("value", "result")) for i in range(130)], "path string, text string")
+    copies = spark.createDataFrame([(f"f{i:03}.rs", freight("weight", "boxes")) for i in range(130)], "path string, text string")
     report = detect_files(copies, exact)
     assert report.pairs.count() == 129 and report.families.count() == 1 and report.statistics.first().suppressed_exact_buckets == 0
-    both = files(spark, a__ts=ts(1), a__tsx=ts(1))
+    both = files(spark, a__ts=module(1), a__tsx=module(1))
     assert detect_files(both, exact).pairs.count() == 0
     assert detect_files(both, exact, RepositoryOptions(cross_extensions=True)).pairs.count() == 1
     one = " ".join(f"call_{i}(value);" for i in range(30))
@@ -185,3 +194,44 @@ def test_json_options():
     for bad in ({"minToken": 3}, {"mode": "near"}, {"minSimilarity": 2000}, {"kGram": 0}, {"kGram": True}, {"minTokens": 1}):
         with pytest.raises(InvalidConfig):
             options_from_json(bad)
+
+
+LEDGER = """class Ledger:
+    def __init__(self, name):
+        self.name = name
+        self.rows = []
+
+    def add(self, day, amount):
+        if amount == 0:
+            return self
+        self.rows.append((day, amount))
+        self.rows.sort()
+        return self
+
+    def total(self, until):
+        return sum(amount for day, amount in self.rows if day <= until)
+"""
+
+
+@pytest.mark.parametrize("mode, found", [("exact", {"same"}), ("renamed", {"same", "names"}), ("nearMiss", {"same", "names", "edited"})])
+def test_labelled_files(spark, mode, found):
+    """Three related pairs of files, one unrelated pair; the gate sees what each mode can."""
+    other = LEDGER
+    for a, b in (("Ledger", "Journal"), ("rows", "lines"), ("amount", "value"), ("until", "limit"), ("day", "when")):
+        other = other.replace(a, b)
+    add = LEDGER[LEDGER.index("    def add") : LEDGER.index("    def total")]
+    edited = "class Other:\n" + add.replace("amount == 0", "amount == 0 or day is None").replace("def add", "def put")
+    texts = {
+        "same/a.py": LEDGER.replace("Ledger", "Book"), "same/b.py": LEDGER.replace("Ledger", "Book"), "names/a.py": LEDGER.replace("5", "6").replace("== 0", "== 17").replace("[]", "[17]"),
+        "names/b.py": other.replace("== 0", "== 17").replace("[]", "[17]"), "edited/a.py": "class One:\n" + add.replace("== 0", "== 23"), "edited/b.py": edited.replace("== 0", "== 23"),
+        "none/a.py": "def walk(tree):\n    for leaf in tree:\n        print(leaf, end='')\n    while tree:\n        tree = tree.parent\n    return [x ** 2 for x in range(9)]\n",
+        "none/b.py": "def area(w, h):\n    if w < 0 or h < 0:\n        raise ValueError('negative')\n    half = w * h / 2\n    return {'half': half, 'whole': half * 2}\n",
+    }
+    report = detect_files(spark.createDataFrame(list(texts.items()), "path string, text string"), CloneConfig(mode=mode))
+    linked = {(p.left.path, p.right.path) for p in report.pairs.collect()}
+    assert found <= {a.split("/")[0] for a, b in linked if a.split("/")[0] == b.split("/")[0]}
+    assert not any("none" in a or "none" in b for a, b in linked)
+    lines = {p: t.count("\n") for p, t in texts.items()}
+    labels = [(n, f"{n}/a.py", 1, lines[f"{n}/a.py"], f"{n}/b.py", 1, lines[f"{n}/b.py"], n in found, n) for n in ("same", "none")]
+    got = AccuracyGate().check(report.pairs, spark.createDataFrame(labels, ORACLE)).where("scope = 'overall'").first()
+    assert (got.tp, got.fp, got.fn, got.tn) == (1, 0, 0, 1)

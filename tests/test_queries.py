@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__
 
 NAMES = [
-    "language_from_path", "lex_token_kinds", "token_positions", "winnow_fingerprints", "verified_pairs", "suppressed_pairs", "clone_statistics", "accuracy_metrics", "brace_fragments",
+    "language_from_path", "lex_token_kinds", "token_positions", "winnow_fingerprints", "verified_pairs", "suppressed_pairs", "clone_statistics", "accuracy_metrics", "brace_fragments", "python_fragments", "code_tokens", "page_block_pairs", "token_dictionary",
 ]
 
 

@@ -14,7 +14,7 @@ from echoframe.functions.languages import LANGUAGES, is_keyword, language_from_p
 from echoframe.functions.lexing import lex
 from echoframe.operators import blocks
 from echoframe.operators.fingerprints import rolling, winnowed
-from echoframe.operators.fragments import ranges, without_noise
+from echoframe.operators.fragments import braced_functions, indented_functions, ranges, without_noise
 from echoframe.operators.ordering import numbered
 from echoframe.operators.suppress import suppress_contained
 from echoframe.operators.verify import bounded_distance
@@ -204,6 +204,60 @@ def test_fragment_ranges():
     assert ranges("rust", "fn a() {\n1\n2\n3\n4\n}\n", 3, 4) == [(0, 3)]
 
 
+def test_fragment_ranges_against_their_definition():
+    rng = random.Random(9)
+    for _ in range(400):
+        lines = [rng.choice(["", "  ", " " * rng.randrange(7) + rng.choice(["def f():", "async def g():", "x = 1", "# y"])]) for _ in range(rng.randrange(1, 25))] + ["end"]
+        least, most = rng.randrange(1, 4), rng.randrange(1, 12)
+        filled = {i: len(x) - len(x.lstrip()) for i, x in enumerate(lines) if x.strip()}
+        want = []
+        for i in filled:
+            if lines[i].lstrip().startswith(("def ", "async def ")):
+                stop = min((k for k in filled if k > i and filled[k] <= filled[i]), default=len(lines))
+                inside = [k for k in filled if i < k < stop]
+                last = next((k for k in inside if k - i + 1 >= most), max(inside, default=i))
+                want += [(i, last)] * (last - i + 1 >= least)
+        assert indented_functions(lines, least, most) == want
+        lines = [rng.choice(["{", "}", "f() {", "if (x) {", "g({ x", "} }", "fn y", "h(1) { k() {", "z"]) for _ in range(rng.randrange(1, 30))]
+        before = lambda i: sum(x.count("{") - x.count("}") for x in lines[:i])
+        want, free = [], 0
+        for i, x in enumerate(lines):
+            if i >= free and before(i) <= 1 and before(i + 1) > before(i) and not x.startswith("if") and ("(" in x or "fn " in x):
+                last = next((j for j in range(i, len(lines)) if before(j + 1) <= before(i) or j - i + 1 >= most), None)
+                free = len(lines) if last is None else last + 1
+                want += [(i, last)] * (last is not None and last - i + 1 >= least)
+        assert braced_functions(lines, least, most) == want
+
+
+def test_tables_are_removed_when_settled(spark):
+    from echoframe.plans.scratch import materialize, settled
+
+    kept = materialize(spark.range(3), "kept")
+    inner = []
+
+    def made():
+        inner.append(materialize(spark.range(5), "inner"))
+        return inner[0].union(kept)
+
+    out = settled(spark, made, "outer")
+    assert out.count() == 8 and kept.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(inner[0].inputFiles()[0]).count()
+
+
+def test_large_dictionaries_are_joined(spark, monkeypatch):
+    from echoframe.operators import tokens
+    from echoframe.operators.tokens import dictionary, encoded, exploded
+
+    rows = [(i, "python", f"def f{i}(x):\n    return 'a{i % 3}' + x * {i}") for i in range(30)] + [(99, "text", "")]
+    df = lex(spark.createDataFrame(rows, "rank long, language string, text string"))
+    words = dictionary(exploded(df, "rank"))
+    key = lambda t: sorted((r.rank, r.strict, r.renamed) for r in t.collect() if r.strict)
+    small = key(encoded(df, words))
+    monkeypatch.setattr(tokens, "HELD_WORDS", 0)
+    assert key(encoded(df, words)) == small and len(small) == 30
+
+
 def test_encoders(spark):
     rows = [pair("clone:v1:pair:b", (0, 9), (3, 8), paths=('a"\n', "C:\\x y%.rs")), pair("clone:v1:pair:a", (0, 9), (3, 8), similarity=876, kind="type3")]
     df = spark.createDataFrame(rows, PAIR)
@@ -214,7 +268,7 @@ def test_encoders(spark):
     assert list(first) == ["id", "kind", "similarityPermille", "left", "right", "evidence"] and first["left"]["path"] == 'a"\n' and first["right"]["span"]["endByte"] == 8
     assert set(json_schema()["properties"]["pairs"]["items"]["properties"]) == set(first)
     sarif = {r.id: json.loads(r.json) for r in sarif_results(df).collect()}
-    assert sarif["clone:v1:pair:a"]["message"]["text"].startswith("Type3 clone with 87.6% similarity") and sarif["clone:v1:pair:a"]["ruleIndex"] == 2
+    assert sarif["clone:v1:pair:a"]["message"]["text"].endswith(": 87.6 % alike, kind 3") and sarif["clone:v1:pair:a"]["ruleIndex"] == 2
     assert sarif["clone:v1:pair:b"]["relatedLocations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "file:///C:/x%20y%25.rs"
     paths = spark.createDataFrame([("/a b",), ("é",), ("x/y:z",)], "p string").select(uri("p")).collect()
     assert [r[0] for r in paths] == ["file:///a%20b", "%C3%A9", "x/y:z"]
