@@ -141,9 +141,58 @@ _FAMILIES = [
 
 
 def _recursive(parts, last, query):
+    """The same for chains with steps that use themselves, which have ``walk`` in their names."""
     return chain(parts, last, query).replace("WITH ", "WITH RECURSIVE ", 1).replace("walk AS MATERIALIZED", "walk AS")
 
 
+#: Digests are two running 64-bit values over bytes, in 128 bits so that products can be
+#: cut back.  Their starts and multipliers are the digest's fixed values.
+_CUT = "18446744073709551616::UHUGEINT"
+
+
+def _digest(kind: str, parts: str) -> list[tuple[str, str]]:
+    """``{kind}_id`` (key, id) for the table ``parts`` (key, list of texts)."""
+    a = f"(xor(a, x) * 1099511628211::UHUGEINT) % {_CUT}"
+    turned = f"(a * 131072) % {_CUT} + a // 140737488355328::UHUGEINT"
+    b = f"(xor(b, (x + {turned}) % {_CUT}) * 11400714785074694791::UHUGEINT) % {_CUT}"
+    byte = "('0x' || substr(h, 2 * i + 1, 2))::INTEGER::UHUGEINT"
+    return [
+        (f"{kind}_hex", f"SELECT key, hex('{kind}') || array_to_string(list_transform(parts, lambda p: hex(p) || '00'), '') AS h FROM {parts}"),
+        (f"{kind}_walk", f"""SELECT key, h, 0 AS i, 14695981039346656037::UHUGEINT AS a, 11400714819323198485::UHUGEINT AS b FROM {kind}_hex
+            UNION ALL SELECT key, h, i + 1, a, {b} FROM (SELECT key, h, i, x, {a} AS a, b FROM (SELECT *, {byte} AS x FROM {kind}_walk WHERE 2 * i < length(h)))"""),
+        (f"{kind}_id", f"SELECT key, 'clone:v1:{kind}:' || {PRINT.format('a')} || {PRINT.format('b')} AS id FROM {kind}_walk WHERE 2 * i = length(h)"),
+    ]
+
+
+def _place(side: str) -> str:
+    spans = ", ".join(f"'{name}': {side}_{column}" for name, column in (("startByte", "start_byte"), ("endByte", "end_byte"), ("startLine", "start_line"), ("endLine", "end_line")))
+    return f"{{'fragmentId': {side}_id, 'path': {side}_path, 'span': {{{spans}}}}}"
+
+
+def _sarif_place(side: str) -> str:
+    region = f"{{'startLine': {side}_start_line, 'endLine': {side}_end_line, 'byteOffset': {side}_start_byte, 'byteLength': {side}_end_byte - {side}_start_byte}}"
+    return f"{{'artifactLocation': {{'uri': {side}_path}}, 'region': {region}}}"
+
+
+_PAIR_EVIDENCE = """'strictEqual': true, 'renamedEqual': true, 'sharedFingerprints': shared, 'fingerprintJaccardPermille': jaccard,
+  'fingerprintContainmentPermille': containment, 'editDistance': edit_distance, 'comparedTokens': compared_tokens"""
+_TOLD = [
+    *_WHOLE[:-1],
+    ("named", """SELECT c.*, a.path AS left_path, 0::BIGINT AS left_start_byte, a.bytes AS left_end_byte, 1::BIGINT AS left_start_line, a.lines AS left_end_line, b.path AS right_path,
+        0::BIGINT AS right_start_byte, b.bytes AS right_end_byte, 1::BIGINT AS right_start_line, b.lines AS right_end_line FROM clones c JOIN spans a ON a.id = left_id JOIN spans b ON b.id = right_id"""),
+    ("pair_parts", "SELECT (l, r) AS key, [left_id, right_id, left_path, right_path] AS parts FROM named"),
+    *_digest("pair", "pair_parts"),
+    ("told", "SELECT n.*, p.id FROM named n JOIN pair_id p ON p.key = (n.l, n.r)"),
+]
+_TOLD_FAMILIES = [
+    *_TOLD,
+    *_FAMILIES[len(DOCS) :],
+    ("family_parts", """SELECT key, parts || ids AS parts, members, ids FROM (SELECT c AS key, list(member_id ORDER BY s.path) AS parts,
+        list({'fragmentId': member_id, 'path': s.path, 'span': {'startByte': 0::BIGINT, 'endByte': s.bytes, 'startLine': 1::BIGINT, 'endLine': s.lines}} ORDER BY s.path) AS members FROM comp JOIN spans s ON s.id = member_id GROUP BY c)
+        JOIN (SELECT c AS key, list(told.id ORDER BY told.id) AS ids FROM told JOIN comp ON member_id = left_id GROUP BY c) USING (key)"""),
+    *_digest("family", "family_parts"),
+]
+
 _GATE = [
     *DOCS,
     ("own", "SELECT id::BIGINT AS n, id, path, text, min(id::BIGINT) OVER (PARTITION BY text) AS f FROM texts"),
@@ -277,4 +326,12 @@ FROM (SELECT scope, CASE WHEN tp + fp = 0 THEN 1000 ELSE tp * 1000 // (tp + fp)
   (SELECT count(*) FROM buckets WHERE n > 128) AS suppressed_buckets, 0::BIGINT AS suppressed_exact_buckets"""),
     "bigcloneeval_rows": chain(_FLAT, "frag", """SELECT 'selected' AS left_category, string_split(left_path, '/')[3] AS left_file, left_start_line AS left_start, left_end_line AS left_end,
   'selected' AS right_category, string_split(right_path, '/')[3] AS right_file, right_start_line AS right_start, right_end_line AS right_end FROM frag"""),
+    "pair_ids": _recursive(_TOLD, "told", "SELECT id, left_id, right_id FROM told"),
+    "report_json": _recursive(_TOLD, "told", f"""SELECT id, to_json({{'id': id, 'kind': kind, 'similarityPermille': similarity, 'left': {_place("left")}, 'right': {_place("right")},
+  'evidence': {{{_PAIR_EVIDENCE}}}}})::VARCHAR AS json FROM told"""),
+    "report_family_json": _recursive(_TOLD_FAMILIES, "family_id", "SELECT f.id, to_json({'id': f.id, 'members': members, 'pairIds': ids})::VARCHAR AS json FROM family_parts JOIN family_id f USING (key)"),
+    "sarif_results": _recursive(_TOLD, "told", f"""SELECT id, to_json({{'ruleId': 'CLONE.TYPE1', 'ruleIndex': 0, 'level': 'warning', 'message': {{'text': 'These lines are repeated elsewhere: 100.0 % alike, kind 1'}},
+  'locations': [{{'physicalLocation': {_sarif_place("left")}}}], 'relatedLocations': [{{'id': 1, 'message': {{'text': 'the same lines again'}}, 'physicalLocation': {_sarif_place("right")}}}],
+  'partialFingerprints': {{'clonePairId/v1': id}}, 'properties': {{'kind': kind, 'similarityPermille': similarity, {_PAIR_EVIDENCE}}}}})::VARCHAR AS json FROM told"""),
+    "stable_ids": _recursive([("parts", "SELECT doc_id AS key, [doc_id::VARCHAR, source] AS parts FROM documents"), *_digest("pair", "parts")], "pair_id", "SELECT key AS doc_id, id FROM pair_id"),
 }
