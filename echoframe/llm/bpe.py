@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 _SPACED = re.compile(r" \s")
 _LONG = 64  # bytes; longer pieces are not remembered
+_TAIL = 3  # bytes by which the tokens that may end a prefix are looked up
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -53,7 +54,7 @@ class PrefixTable:
         self.bytes += more
         data, last, bpe = bytes(self.bytes), self.last, self.bpe
         for end in range(start + 1, len(data) + 1):
-            for n in bpe.lengths:
+            for n in bpe.sizes[data[max(0, end - _TAIL) : end]]:
                 if n > end:
                     continue
                 token = bpe.ranks.get(data[end - n : end])
@@ -82,13 +83,33 @@ class PrefixTable:
         return out[::-1]
 
 
+class _Sizes(dict):
+    """From the last bytes of a prefix to the sizes of tokens that end so, longest
+    first; at most about a million are remembered."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        found: dict[bytes, set[int]] = {}
+        for token in ranks:
+            for n in range(1, min(_TAIL, len(token)) + 1):
+                if n == _TAIL or n == len(token):
+                    found.setdefault(token[-n:], set()).add(len(token))
+        self.found = found
+
+    def __missing__(self, tail: bytes) -> tuple[int, ...]:
+        own = set().union(*(self.found.get(tail[-n:], ()) for n in range(1, len(tail) + 1)))
+        sizes = tuple(sorted(own, reverse=True))
+        if len(self) < 1 << 20:
+            self[tail] = sizes
+        return sizes
+
+
 class ByteBPE:
     """Encoder and decoder for one vocabulary.  What it remembers is bounded."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 400_000):
         self.ranks, self.vocab = ranks, {v: k for k, v in ranks.items()}
-        self.lengths = sorted({len(k) for k in ranks}, reverse=True)
-        self.short = [n for n in self.lengths if n <= _LONG]
+        self.sizes = _Sizes(ranks)
         self.split = regex.compile(pattern)
         self.remember = remember
         self.pairs: dict[int, bool] = {}
@@ -100,16 +121,17 @@ class ByteBPE:
 
     def merge(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first; for the short strings of two tokens."""
-        parts = [data[i : i + 1] for i in range(len(data))]
+        parts, ranks, none = [data[i : i + 1] for i in range(len(data))], self.ranks, float("inf")
         while len(parts) > 1:
-            best = min(
-                ((self.ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in self.ranks),
-                default=None,
-            )
-            if best is None:
+            best, at = none, 0
+            for i, both in enumerate(map(bytes.__add__, parts, parts[1:])):
+                rank = ranks.get(both, none)
+                if rank < best:
+                    best, at = rank, i
+            if best == none:
                 break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        return [self.ranks[p] for p in parts]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [ranks[p] for p in parts]
 
     def whole(self, token: int) -> bool:
         """Whether the token's bytes are encoded as this one token."""
@@ -133,12 +155,12 @@ class ByteBPE:
         n = len(data)
         if n > _LONG:
             return PrefixTable(self, data).tokens()
-        ends, ranks, short = self.ends, self.ranks, self.short
+        ends, ranks, sizes = self.ends, self.ranks, self.sizes
         start = n
         while start and data[:start] not in ends:
             start -= 1
         for end in range(start + 1, n + 1):
-            for size in short:
+            for size in sizes[data[max(0, end - _TAIL) : end]]:
                 if size > end:
                     continue
                 token = ranks.get(data[end - size : end])
