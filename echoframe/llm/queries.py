@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..plans.scratch import table
 from .bpe import encode_and_decode
 from .html_template import extract_main_text
+from .infilling import INFILLING_SQL, infilling_digests
 from .jaccard import near_duplicates
 from .neighbours import nearest
 from .packing import pack_balanced, pack_best_fit
@@ -54,6 +55,10 @@ def op10_jump_hash_shards(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op13_fill_in_middle(spark, sf_dir):
+    return infilling_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_forest_neighbours": op2_forest_neighbours,
@@ -65,8 +70,10 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_jump_hash_shards": op10_jump_hash_shards,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_quality_rules": JUDGE_SQL,
+    "op13_fill_in_middle": INFILLING_SQL,
 }

@@ -3,18 +3,20 @@
 import os
 
 import duckdb
+import pytest
 
 import __spark_entry__
 
 
-def test_rules_equal_their_sql(spark, sf):
+@pytest.mark.parametrize("name", ["op8_quality_rules", "op13_fill_in_middle"])
+def test_equal_their_sql(spark, sf, name):
     con = duckdb.connect()
     for name in os.listdir(sf):
         con.execute(f"create view {name.split('.')[0]} as select * from '{sf}/{name}'")
-    df = __spark_entry__.queries()["op8_quality_rules"](spark, sf)
+    df = __spark_entry__.queries()[name](spark, sf)
     columns = sorted(df.columns)
     got = sorted(tuple(r[c] for c in columns) for r in df.collect())
-    q = con.execute(__spark_entry__.oracle_sql()["op8_quality_rules"])
+    q = con.execute(__spark_entry__.oracle_sql()[name])
     names = [d[0] for d in q.description]
     assert sorted(names) == columns
     assert got == sorted(tuple(r[names.index(c)] for c in columns) for r in q.fetchall())
