@@ -10,12 +10,14 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
 _OPEN = threading.local()  # lists of what was written by calls that are still running
+_WHERE: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()  # tables that were written, by the DataFrames that read them
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +41,21 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     for written in getattr(_OPEN, "calls", []):
         written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WHERE[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` returned and that nothing will read again;
+    other DataFrames are left alone."""
+    for df in tables:
+        path = _WHERE.pop(df, None)
+        if path is not None:
+            for calls in getattr(_OPEN, "calls", []):
+                if path in calls:
+                    calls.remove(path)
+            remove(df.sparkSession, path)
 
 
 def settled(spark: SparkSession, made: Callable[[], DataFrame], name: str) -> DataFrame:
@@ -55,7 +71,8 @@ def settled(spark: SparkSession, made: Callable[[], DataFrame], name: str) -> Da
     out = materialize(out, name)
     for path in written:
         for calls in _OPEN.calls:
-            calls.remove(path)
+            if path in calls:
+                calls.remove(path)
         remove(spark, path)
     return out
 
