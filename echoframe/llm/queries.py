@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..plans.scratch import table
 from .bpe import encode_and_decode
+from .centroids import centroid_digests, clustering_sql
 from .html_template import extract_main_text
 from .infilling import INFILLING_SQL, infilling_digests
 from .jaccard import near_duplicates
@@ -55,6 +56,10 @@ def op10_jump_hash_shards(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_exponion_clusters(spark, sf_dir):
+    return centroid_digests(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dimensions=64, scale=64)
+
+
 def op13_fill_in_middle(spark, sf_dir):
     return infilling_digests(table(spark, sf_dir, "documents"))
 
@@ -70,10 +75,12 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_jump_hash_shards": op10_jump_hash_shards,
+    "op11_exponion_clusters": op11_exponion_clusters,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_quality_rules": JUDGE_SQL,
+    "op11_exponion_clusters": clustering_sql(k=16, rounds=3, dimensions=64, scale=64),
     "op13_fill_in_middle": INFILLING_SQL,
 }
