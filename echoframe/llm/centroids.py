@@ -223,7 +223,7 @@ def clustering_sql(k: int = 16, rounds: int = 3, dimensions: int = 64, scale: in
     """The same in SQL, each round against every centroid."""
     assign = """, a{r} as (
     select vec_id, v, arg_min(c, (d, c)) as c, min(d) as d from (
-        select k.id, k.vec_id, k.v, c.c, list_sum(list_transform(list_zip(k.v, c.v), z -> (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from kept k, c{r} c
+        select k.id, k.vec_id, k.v, c.c, list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from kept k, c{r} c
     ) group by id, vec_id, v
 )"""
     move = """, c{n} as (
@@ -237,8 +237,8 @@ def clustering_sql(k: int = 16, rounds: int = 3, dimensions: int = 64, scale: in
     steps = "".join(assign.format(r=r) + (move.format(r=r, n=r + 1) if r < rounds else "") for r in range(rounds + 1))
     return f"""
 with kept as (
-    select row_number() over () as id, vec_id, list_transform(embedding, x -> floor({scale} * x::double)::bigint) as v from embeddings
-    where len(embedding) = {dimensions} and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    select row_number() over () as id, vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v from embeddings
+    where len(embedding) = {dimensions} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), c0 as (
     select row_number() over (order by sha256('1:' || vec_id), v) - 1 as c, v from kept qualify row_number() over (order by sha256('1:' || vec_id), v) <= {k}
 ){steps}
