@@ -12,6 +12,7 @@ from .neighbours import nearest
 from .packing import pack_balanced, pack_best_fit
 from .quality import classify
 from .rules import JUDGE_SQL, judge
+from .secrets import secret_digests
 from .sharding import assign_shards
 from .suffix_tree import train_and_score
 
@@ -60,6 +61,10 @@ def op11_exponion_clusters(spark, sf_dir):
     return centroid_digests(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dimensions=64, scale=64)
 
 
+def op12_secret_network(spark, sf_dir):
+    return secret_digests(table(spark, sf_dir, "documents"), recall=0.95)
+
+
 def op13_fill_in_middle(spark, sf_dir):
     return infilling_digests(table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_jump_hash_shards": op10_jump_hash_shards,
     "op11_exponion_clusters": op11_exponion_clusters,
+    "op12_secret_network": op12_secret_network,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
