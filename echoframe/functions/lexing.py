@@ -16,6 +16,8 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,12 +89,6 @@ def _nested_lexemes(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _nested_rust(t) if t is not None else None)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def running(lengths: pd.Series) -> pd.Series:
-    """Running sums of each array."""
-    return lengths.map(lambda x: np.cumsum(np.asarray(x, np.int64)))
-
-
 def lexemes(df: DataFrame, text: str = "text", language: str = "language") -> DataFrame:
     """``df`` with ``lexemes``: the whole text in pieces, white space and comments
     among them."""
@@ -103,57 +99,127 @@ def lexemes(df: DataFrame, text: str = "text", language: str = "language") -> Da
     return df.where(~F.coalesce(nests, F.lit(False))).withColumn("lexemes", native).unionByName(odd)
 
 
-def _coded(lexeme: Column) -> Column:
-    """A lexeme beside the code point that it begins with."""
-    return F.struct(F.ascii(lexeme).alias("c"), lexeme.alias("raw"))
+def _marks(language: Column) -> Column:
+    """Which comments a language has, as bits: 1 slashed, 2 hashed, 4 dashed."""
+    return F.when(language.isin(*SLASHED), 1).when(language.isin("python", "bash"), 2).when(language == "sql", 4).otherwise(0).cast("int")
+
+
+def _starts(lists: pa.Array) -> np.ndarray:
+    """Where the values of each list begin, and one more bound."""
+    offsets = np.asarray(lists.offsets, np.int64)
+    return offsets - offsets[0]
+
+
+def _tokens_among(pieces: pa.Array, starts: np.ndarray, marks: pa.Array) -> np.ndarray:
+    """False for lexemes that are white space or, by their row's marks, comments."""
+    if len(pieces) == 0:
+        return np.zeros(0, bool)
+    width = np.int64 if pa.types.is_large_string(pieces.type) else np.int32
+    at = np.frombuffer(pieces.buffers()[1], width, len(pieces) + 1, pieces.offset * np.dtype(width).itemsize).astype(np.int64)
+    raw = np.frombuffer(pieces.buffers()[2], np.uint8)
+    first = raw[at[:-1]]  # no lexeme is empty
+    second = np.where(np.diff(at) > 1, raw[np.minimum(at[:-1] + 1, len(raw) - 1)], 0)
+    bits = np.repeat(np.asarray(marks.fill_null(0), np.int64), np.diff(starts))
+    space = (first == 32) | ((first >= 9) & (first <= 13) & (first != 11))
+    slashed = (first == 47) & ((second == 47) | (second == 42)) & (bits & 1 > 0)
+    return ~(space | slashed | ((first == 35) & (bits & 2 > 0)) | ((first == 45) & (second == 45) & (bits & 4 > 0)))
+
+
+def _lists(starts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), values)
+
+
+def _arrays(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, T.ArrayType(kind)) for name, kind in kinds.items()])
+
 
+_PLACES = [T.StructField("raw", T.StringType())] + [T.StructField(f"{side}_byte", T.LongType()) for side in ("start", "end")] + [T.StructField(f"{side}_line", T.IntegerType()) for side in ("start", "end")]
 
-def _is_token(t: Column) -> Column:
-    """False for white space and for what is a comment in the row's language."""
-    c, raw = t["c"], t["raw"]
-    space = (c == 32) | ((c >= 9) & (c <= 13) & (c != 11))
-    slashed = (c == 47) & F.col("_slashed") & (raw.startswith("//") | raw.startswith("/*"))
-    return ~(space | slashed | ((c == 35) & F.col("_hashed")) | ((c == 45) & F.col("_dashed") & raw.startswith("--")))
 
+@F.arrow_udf(T.ArrayType(T.StructType(_PLACES)))
+def _placed(lexemes: pa.Array, marks: pa.Array) -> pa.Array:
+    """The tokens among lexemes, with their places: running sums of the lexemes' bytes
+    and line ends, less those before their text."""
+    starts, pieces = _starts(lexemes), lexemes.flatten()
+    kept = _tokens_among(pieces, starts, marks)
+    row = np.repeat(np.arange(len(lexemes)), np.diff(starts))[kept]
 
-def _kind(t: Column) -> Column:
-    """I identifier, N number, S string, X syntax."""
-    c = t["c"]
+    def before_and_after(sizes):
+        total = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))])
+        return total[:-1][kept] - total[starts[row]], total[1:][kept] - total[starts[row]]
+
+    bytes_at = before_and_after(pc.binary_length(pieces))
+    lines_at = [x.astype(np.int32) + 1 for x in before_and_after(pc.count_substring(pieces, "\n"))]
+    values = [pieces.filter(pa.array(kept)).cast(pa.string()), *map(pa.array, bytes_at), *map(pa.array, lines_at)]
+    own = np.concatenate([[0], np.cumsum(kept)])[starts]
+    return _lists(own, pa.StructArray.from_arrays(values, [f.name for f in _PLACES]))
+
+
+@F.arrow_udf(_arrays(words=T.StringType(), first=T.IntegerType(), codes=T.IntegerType()))
+def _own_dictionary(lexemes: pa.Array, marks: pa.Array) -> pa.Array:
+    """For each text its distinct tokens in any order, the first place of each among the
+    text's tokens, and the tokens as places in the array of distinct ones."""
+    starts, pieces = _starts(lexemes), lexemes.flatten()
+    kept = _tokens_among(pieces, starts, marks)
+    row = np.repeat(np.arange(len(lexemes)), np.diff(starts))[kept]
+    starts = np.concatenate([[0], np.cumsum(kept)])[starts]
+    coded = pieces.filter(pa.array(kept)).dictionary_encode()
+    kinds = max(1, len(coded.dictionary))
+    # One sort finds the distinct tokens of all texts of the batch.
+    found, first, codes = np.unique(row * kinds + np.asarray(coded.indices, np.int64), return_index=True, return_inverse=True)
+    own = np.searchsorted(found, np.arange(len(lexemes) + 1) * kinds)
+    parts = [
+        _lists(own, coded.dictionary.take(pa.array(found % kinds)).cast(pa.string())),
+        _lists(own, pa.array((first - starts[found // kinds]).astype(np.int32))),
+        _lists(starts, pa.array((codes.ravel() - own[row]).astype(np.int32))),
+    ]
+    return pa.StructArray.from_arrays(parts, ["words", "first", "codes"])
+
+
+def kind_of(raw: Column) -> Column:
+    """The kind of a token, which follows from its text: I identifier, N number, S
+    string, X syntax."""
+    c = F.ascii(raw)
     letter = ((c >= 97) & (c <= 122)) | ((c >= 65) & (c <= 90)) | (c == 95) | (c == 36)
     return (
         F.when(letter, "I")
         .when((c >= 48) & (c <= 57), "N")
         .when((c == 39) | (c == 34) | (c == 96), "S")
-        .when((c > 127) & t["raw"].rlike(f"^{LETTER}"), "I")
+        .when((c > 127) & raw.rlike(f"^{LETTER}"), "I")
         .otherwise("X")
     )
 
 
+def own_dictionaries(df: DataFrame, text: str = "text", language: str = "language") -> DataFrame:
+    """``df`` without the text, with ``n_tokens``, ``words`` (its distinct tokens),
+    ``first`` (where each comes first) and ``codes`` (the tokens as places in ``words``).
+    A null text has none."""
+    own = lexemes(df, text, language).withColumn("_own", _own_dictionary(F.coalesce("lexemes", F.array().cast("array<string>")), _marks(F.col(language))))
+    return own.select(*[c for c in df.columns if c != text], F.size("_own.codes").alias("n_tokens"), "_own.*")
+
+
+def placed_tokens(df: DataFrame, text: str = "text", language: str = "language") -> DataFrame:
+    """``df`` with ``tokens``, an array of (raw, start_byte, end_byte, start_line,
+    end_line); lines count from 1 and spans are half open in bytes.  A null text has none."""
+    split = lexemes(df, text, language)
+    return split.withColumn("tokens", _placed(F.coalesce("lexemes", F.array().cast("array<string>")), _marks(F.col(language)))).drop("lexemes")
+
+
 def lex(df: DataFrame, text: str = "text", language: str = "language", positions: bool = False) -> DataFrame:
     """``df`` with ``tokens``, an array of (kind, raw) or, with ``positions``, of
     (kind, raw, start_byte, end_byte, start_line, end_line); lines count from 1
     and token spans are half open in bytes.  A null text gives a null array."""
-    name = F.col(language)
-    split = lexemes(df, text, language).withColumns({"_slashed": name.isin(*SLASHED), "_hashed": name.isin("python", "bash"), "_dashed": name == "sql"})
-    helpers = ["lexemes", "_slashed", "_hashed", "_dashed", "_ends", "_lines"]
-    if not positions:
-        kept = F.filter(F.transform("lexemes", _coded), _is_token)
-        return split.withColumn("tokens", F.transform(kept, lambda t: F.struct(_kind(t).alias("kind"), t["raw"].alias("raw")))).drop(*helpers)
-    measured = split.withColumn("_ends", running(F.transform("lexemes", F.octet_length))).withColumn(
-        "_lines", running(F.transform("lexemes", lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))))
-    )
-
-    def placed(x, i):
-        first = i == 0
-        return F.struct(
-            F.ascii(x).alias("c"),
-            x.alias("raw"),
-            F.when(first, F.lit(0)).otherwise(F.get("_ends", i - 1)).cast("long").alias("start_byte"),
-            F.get("_ends", i).alias("end_byte"),
-            (F.when(first, F.lit(0)).otherwise(F.get("_lines", i - 1)) + 1).cast("int").alias("start_line"),
-            (F.get("_lines", i) + 1).cast("int").alias("end_line"),
-        )
-
-    kept = F.filter(F.transform("lexemes", placed), _is_token)
-    names = ("raw", "start_byte", "end_byte", "start_line", "end_line")
-    return measured.withColumn("tokens", F.transform(kept, lambda t: F.struct(_kind(t).alias("kind"), *[t[n].alias(n) for n in names]))).drop(*helpers)
+    if positions:
+        names = [f.name for f in _PLACES]
+        kinds = F.transform("tokens", lambda t: F.struct(kind_of(t["raw"]).alias("kind"), *[t[n].alias(n) for n in names]))
+        return placed_tokens(df, text, language).withColumn("tokens", F.when(F.col(text).isNotNull(), kinds))
+    split = lexemes(df, text, language).withColumn("_bits", _marks(F.col(language)))
+
+    def is_token(t: Column) -> Column:
+        c, raw, bits = t["c"], t["raw"], F.col("_bits")
+        space = (c == 32) | ((c >= 9) & (c <= 13) & (c != 11))
+        slashed = (c == 47) & (bits == 1) & (raw.startswith("//") | raw.startswith("/*"))
+        return ~(space | slashed | ((c == 35) & (bits == 2)) | ((c == 45) & (bits == 4) & raw.startswith("--")))
+
+    kept = F.filter(F.transform("lexemes", lambda x: F.struct(F.ascii(x).alias("c"), x.alias("raw"))), is_token)
+    return split.withColumn("tokens", F.transform(kept, lambda t: F.struct(kind_of(t["raw"]).alias("kind"), t["raw"].alias("raw")))).drop("lexemes", "_bits")

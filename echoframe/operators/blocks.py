@@ -1,7 +1,11 @@
 """Exact token blocks anywhere in files.
 
-Every window of a fixed number of tokens is keyed by 128 bits of its token texts;
-its representative is the first window, by file and position, with the key.
+Every window of a fixed number of tokens is filed under its *minimizer*, the smallest
+hash of a few tokens in a row inside it.  Neighbouring windows mostly share theirs, so
+a file hands on one row per run of such windows, and equal windows have equal ones:
+where a minimizer occurs once, no window of its run can occur twice.  Only windows of
+the other runs are keyed, by 128 bits of their token texts; a key's representative is
+the first window, by file and position.
 Windows that have an earlier one are hits, and runs of hits that advance together
 are regions (gaps and islands).  Regions shrink to whole lines where they cover
 any.  The texts of both sides are compared before a region is reported, so the
@@ -11,57 +15,117 @@ keys decide nothing alone.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ids import stable_id
 from ..functions.languages import extension
-from ..functions.lexing import lex
+from ..functions.lexing import placed_tokens
 from ..plans.scratch import materialize
+from .fingerprints import rolling
 from .ordering import numbered, place_of, row_of, spot
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-def window_keys(tokens, width: int):
-    """Two 64-bit keys of every ``width`` tokens in a row, as arrays."""
-
-    @F.pandas_udf("a array<long>, b array<long>")
-    def run(rows: pd.Series) -> pd.DataFrame:
-        out = []
-        for row in rows:
-            x = np.asarray(row, np.int64).astype(np.uint64)
-            n = len(x) - width + 1
-            keys = []
-            for base in _BASES:
-                h = np.zeros(max(n, 0), np.uint64)
-                with np.errstate(over="ignore"):
-                    for j in range(width if n > 0 else 0):
-                        h = (h ^ x[j : j + n]) * base
-                        h ^= h >> np.uint64(31)
-                keys.append(h.astype(np.int64))
-            out.append(tuple(keys))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return run(tokens)
+#: Tokens of a minimizer, if a window has so many.
+MINIMIZER = 8
+_RUNS = T.ArrayType(T.StructType([T.StructField("m", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())]))
+_WINDOWS = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+
+
+def minimizer_runs(tokens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, windows) of the runs of windows with one minimizer: the
+    leftmost smallest hash of ``MINIMIZER`` tokens in a row inside of each.  A window's
+    choice depends on nothing but its tokens."""
+    k = min(MINIMIZER, width)
+    if len(tokens) < width:
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+    h = rolling(tokens, k)
+    h ^= h >> np.uint64(29)
+    h *= _BASES[0]
+    h ^= h >> np.uint64(32)
+    view = np.lib.stride_tricks.sliding_window_view(h, width - k + 1)
+    at = np.concatenate([view[lo : lo + 65536].argmin(axis=1) + np.arange(lo, min(lo + 65536, len(view))) for lo in range(0, len(view), 65536)])
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return h[at[first]].view(np.int64), first.astype(np.int32), np.diff(np.append(first, len(at))).astype(np.int32)
+
+
+def window_keys(tokens: np.ndarray, width: int) -> list[np.ndarray]:
+    """Two 64-bit keys of every ``width`` tokens in a row."""
+    x = tokens.astype(np.int64).view(np.uint64)
+    n = max(0, len(x) - width + 1)
+    keys = []
+    for base in _BASES:
+        h = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(width if n else 0):
+                h = (h ^ x[j : j + n]) * base
+                h ^= h >> np.uint64(31)
+        keys.append(h.view(np.int64))
+    return keys
+
+
+def _rows(lists: pa.Array):
+    """The rows of an array of arrays of numbers."""
+    offsets, values = np.asarray(lists.offsets, np.int64), np.asarray(lists.values)
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def _listed(rows: list[list[np.ndarray]], names: list[str]) -> pa.Array:
+    """Per row, equally long arrays of each field, as an array of arrays of structs."""
+    offsets = np.cumsum([0, *[len(r[0]) for r in rows]]).astype(np.int32)
+    fields = [pa.array(np.concatenate(c)) for c in zip(*rows)]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, names))
 
 
 def block_sources(files: DataFrame, cross_extensions: bool = False) -> DataFrame:
-    """Files (id, path, language, text) lexed with positions and numbered by path:
+    """Files (id, path, language, text) numbered by path and lexed with positions:
     ``src``, ``domain`` (what is matched with what: the extension, or everything)."""
-    lexed = lex(files.select("id", "path", "language", F.coalesce("text", F.lit("")).alias("text")), positions=True).drop("text")
-    lexed = materialize(lexed, "block-tokens")
-    src = numbered(lexed.select("path", "id"), ["path", "id"], "src")
+    texts = files.select("id", "path", "language", F.coalesce("text", F.lit("")).alias("text"))
     domain = F.lit("") if cross_extensions else extension(F.col("path"))
-    return materialize(lexed.join(src, ["path", "id"]).withColumn("domain", domain), "block-sources")
+    lexed = placed_tokens(numbered(texts, ["path", "id"], "src")).drop("text")
+    return materialize(lexed.withColumn("domain", domain), "block-sources")
+
+
+def _hashed(sources: DataFrame, *more: str) -> DataFrame:
+    return sources.select("domain", "src", *more, F.transform(F.col("tokens.raw"), lambda x: F.xxhash64(x)).alias("hashes"))
+
+
+def repeated_runs(sources: DataFrame, width: int) -> DataFrame:
+    """(src, start, n): the runs of windows whose minimizer occurs more than once in
+    their domain."""
+
+    @F.arrow_udf(_RUNS)
+    def runs_of(rows: pa.Array) -> pa.Array:
+        return _listed([list(minimizer_runs(x, width)) for x in _rows(rows)], ["m", "start", "n"])
+
+    runs = _hashed(sources.where(F.size("tokens") >= width)).select("domain", "src", F.explode(runs_of("hashes")).alias("r")).select("domain", "src", "r.*")
+    runs = materialize(runs, "minimizers")
+    again = materialize(runs.groupBy("domain", "m").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "repeated-minimizers")
+    return runs.join(again, ["domain", "m"], "left_semi").select("src", "start", "n")
 
 
 def windows(sources: DataFrame, width: int) -> DataFrame:
-    """(domain, src, pos, a, b), one row per window."""
-    keyed = sources.where(F.size("tokens") >= width).select("domain", "src", window_keys(F.transform("tokens", lambda t: F.xxhash64(t["raw"])), width).alias("k"))
-    return keyed.select("domain", "src", F.posexplode(F.arrays_zip(F.col("k.a").alias("a"), F.col("k.b").alias("b"))).alias("pos", "w")).select("domain", "src", "pos", "w.a", "w.b")
+    """(domain, src, pos, a, b), one row per window of a run whose minimizer repeats."""
+    spans = repeated_runs(sources, width).groupBy("src").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
+
+    @F.arrow_udf(_WINDOWS)
+    def keyed(hashes: pa.Array, starts: pa.Array, counts: pa.Array) -> pa.Array:
+        out = []
+        for x, start, n in zip(_rows(hashes), _rows(starts), _rows(counts)):
+            # Runs that follow one another are keyed as one.
+            order = np.argsort(start)
+            start, n = start[order].astype(np.int64), n[order].astype(np.int64)
+            fresh = np.flatnonzero(np.concatenate([[True], start[1:] != (start + n)[:-1]]))
+            ends = np.append((start + n)[fresh[1:] - 1], start[-1] + n[-1])
+            parts = [(np.arange(a, b, dtype=np.int32), *window_keys(x[a : b + width - 1], width)) for a, b in zip(start[fresh], ends)]
+            out.append([np.concatenate(c) for c in zip(*parts)])
+        return _listed(out, ["pos", "a", "b"])
+
+    found = _hashed(sources).join(spans, "src").select("domain", "src", F.explode(keyed("hashes", "starts", "counts")).alias("w"))
+    return found.select("domain", "src", "w.*")
 
 
 def window_hits(found: DataFrame) -> DataFrame:
@@ -130,16 +194,19 @@ def _span(tokens: str, start: str):
 
 def block_pairs(found: DataFrame, sources: DataFrame, width: int, min_lines: int) -> DataFrame:
     """Clone pairs of the regions, with at least ``min_lines`` lines on both sides."""
-    left = sources.select(F.col("src").alias("left_src"), F.col("tokens").alias("l_tokens"), F.col("path").alias("l_path"), F.col("id").alias("l_id"))
-    right = sources.select(F.col("src").alias("right_src"), F.col("tokens").alias("r_tokens"), F.col("path").alias("r_path"), F.col("id").alias("r_id"))
+    # Each stretch of tokens that some region has is cut out once, however many regions
+    # share it, with a token on either side; only stretches meet the regions.
+    found = materialize(found, "regions")
+    ends = [found.select(F.col(f"{s}_src").alias("src"), F.col(f"{s}_start").alias("start"), "length") for s in ("left", "right")]
+    base = F.greatest(F.col("start") - 1, F.lit(0))
+    cut = F.slice("tokens", base + 1, F.col("start") - base + F.col("length") + 1)
+    stretches = ends[0].unionByName(ends[1]).distinct().join(sources.select("src", "path", "id", "tokens"), "src")
+    stretches = materialize(stretches.select("src", "start", "length", base.alias("base"), cut.alias("tokens"), "path", "id"), "stretches")
     both = found
-    for s, table in (("left", left), ("right", right)):
-        # Only the region's own tokens and one on either side travel on.
-        start, t = F.col(f"{s}_start"), f"{s[0]}_tokens"
-        base = F.greatest(start - 1, F.lit(0)).alias(f"{s}_base")
-        near = both.join(table, f"{s}_src").select("*", base)
-        kept = F.slice(F.col(t), F.col(f"{s}_base") + 1, start - F.col(f"{s}_base") + F.col("length") + 1)
-        both = near.withColumns({t: kept, f"{s}_start": start - F.col(f"{s}_base")})
+    for s in ("left", "right"):
+        own = {"src": f"{s}_src", "start": f"{s}_start", "base": f"{s}_base", "tokens": f"{s[0]}_tokens", "path": f"{s[0]}_path", "id": f"{s[0]}_id"}
+        both = both.join(stretches.withColumnsRenamed(own), [f"{s}_src", f"{s}_start", "length"])
+    both = both.withColumns({f"{s}_start": F.col(f"{s}_start") - F.col(f"{s}_base") for s in ("left", "right")})
     side = lambda t, s: F.transform(F.slice(F.col(t), F.col(s) + 1, F.col("length")), lambda x: x["raw"])
     equal = both.where(side("l_tokens", "left_start") == side("r_tokens", "right_start"))
     spans = snapped(equal).withColumn("l_span", _span("l_tokens", "left_start")).withColumn("r_span", _span("r_tokens", "right_start"))

@@ -1,18 +1,22 @@
-"""Renaming and dictionary encoding of token streams."""
+"""Renaming and dictionary encoding of token streams.
+
+Every fragment has a dictionary of its own: its distinct tokens, each with the place
+where it comes first, and the fragment as numbers into that.  Only distinct tokens take
+part in building the common dictionary and in getting numbers back from it, so no
+occurrence of a token is ever shuffled, and there is one plan for every size."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.languages import is_keyword
-from ..plans.scratch import materialize
+from ..functions.lexing import kind_of
 from .ordering import numbered, spot
 
-#: Tokens of a dictionary that is sent to all workers, sixteen bytes each.
-HELD_WORDS = 2_000_000
 IDENTIFIER, STRING = "\0identifier", "\0string"
 
 
@@ -28,49 +32,54 @@ def exploded(lexed: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "pos", F.col("t.kind").alias("kind"), F.col("t.raw").alias("raw"), renamed(F.col("t.kind"), F.col("t.raw"), F.col("language")).alias("renamed"))
 
 
-def dictionary(tokens: DataFrame, rank: str = "rank") -> DataFrame:
-    """(token, token_id): ids from 0 by first appearance over rows in the order of
-    ``rank`` and ``pos``, a token before the placeholder it is renamed to."""
-    # One grouped minimum over all tokens; a placeholder's first place is the first
-    # of the tokens renamed to it, so it follows from the distinct ones.
-    seen = tokens.groupBy("raw", "renamed").agg(F.min(spot(F.col(rank), F.col("pos"))).alias("at"))
-    both = seen.select(
-        F.inline(F.array(F.struct(F.col("raw").alias("token"), (F.col("at") * 2).alias("at")), F.struct(F.col("renamed").alias("token"), (F.col("at") * 2 + 1).alias("at"))))
-    )
-    first = both.groupBy("token").agg(F.min("at").alias("at"))
+def _own_words(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per distinct token of a fragment: the keys, ``language``, ``i``, ``first``, ``raw``."""
+    words = rows.select(*keys, "language", F.posexplode(F.arrays_zip("words", "first")).alias("i", "w"))
+    return words.select(*keys, "language", "i", F.col("w.first").alias("first"), F.col("w.words").alias("raw"))
+
+
+def dictionary(rows: DataFrame, rank: str = "rank") -> DataFrame:
+    """(token, token_id) of all tokens of rows of ``own_dictionaries``: ids from 0 by
+    first appearance over rows in the order of ``rank`` and place, a token before the
+    placeholder it is renamed to."""
+    # A placeholder's first place is the first of the tokens renamed to it, so it
+    # follows from the distinct ones.
+    seen = _own_words(rows, rank).groupBy("raw", "language").agg(F.min(spot(F.col(rank), F.col("first"))).alias("at"))
+    own = F.struct(F.col("raw").alias("token"), (F.col("at") * 2).alias("at"))
+    other = F.struct(renamed(kind_of(F.col("raw")), F.col("raw"), F.col("language")).alias("token"), (F.col("at") * 2 + 1).alias("at"))
+    first = seen.select(F.inline(F.array(own, other))).groupBy("token").agg(F.min("at").alias("at"))
     return numbered(first, ["at"], "token_id").select("token", "token_id")
 
 
-def encoded(lexed: DataFrame, words: DataFrame, rank: str = "rank") -> DataFrame:
-    """(rank, strict, renamed): id arrays of every row of ``lexed`` (rank, language,
-    tokens).  A dictionary of at most ``HELD_WORDS`` tokens goes to the workers as two
-    arrays of numbers, and no token is shuffled; a larger one is joined."""
-    held = {r.token: r.token_id for r in words.where(F.col("token").isin(IDENTIFIER, STRING)).collect()}
-
-    def alias(name, own):
-        found = F.when(name == IDENTIFIER, F.lit(held.get(IDENTIFIER))).when(name == STRING, F.lit(held.get(STRING)))
-        return found.otherwise(own).cast("long")
-
-    sized = words.agg(F.count("*").alias("n"), F.countDistinct(F.xxhash64("token")).alias("kinds")).first()
-    if sized.n <= HELD_WORDS and sized.kinds == sized.n:
-        table = words.select(F.xxhash64("token").alias("h"), "token_id").toArrow()
-        hashes, numbers = table.column(0).to_numpy(), table.column(1).to_numpy()
-        order = np.argsort(hashes)
-        shared = lexed.sparkSession.sparkContext.broadcast((hashes[order], numbers[order]))
-
-        @F.pandas_udf("array<long>")
-        def numbered_tokens(rows: pd.Series) -> pd.Series:
-            at, ids = shared.value
-            sizes = rows.map(len).to_numpy(np.int64)
-            flat = ids[np.searchsorted(at, np.concatenate(rows.to_list()))] if sizes.sum() else np.empty(0, np.int64)
-            return pd.Series(np.split(flat, np.cumsum(sizes)[:-1]), index=rows.index)
-
-        ids = lexed.select(rank, "language", "tokens", numbered_tokens(F.transform("tokens", lambda t: F.xxhash64(t["raw"]))).alias("strict"))
-        return ids.select(
-            rank, "strict", F.zip_with("tokens", "strict", lambda t, own: alias(renamed(t["kind"], t["raw"], F.col("language")), own)).alias("renamed")
-        )
-    # Only the raw token needs a join: of the renamed one there are two other values.
-    ids = exploded(lexed, rank).join(words.select(F.col("token").alias("raw"), "token_id"), "raw")
-    rows = ids.select(rank, F.struct("pos", "token_id", alias(F.col("renamed"), F.col("token_id")).alias("renamed_id")).alias("t"))
-    streams = rows.groupBy(rank).agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    return streams.select(rank, F.col("ts.token_id").alias("strict"), F.col("ts.renamed_id").alias("renamed"))
+_STREAMS = T.StructType([T.StructField(name, T.ArrayType(T.LongType())) for name in ("strict", "renamed")])
+
+
+def _starts(lists: pa.Array) -> np.ndarray:
+    offsets = np.asarray(lists.offsets, np.int64)
+    return offsets - offsets[0]
+
+
+@F.arrow_udf(_STREAMS)
+def _looked_up(codes: pa.Array, words: pa.Array) -> pa.Array:
+    """Codes as the numbers that a fragment's words have, in the order of their codes."""
+    starts, own, values = _starts(codes), _starts(words), words.flatten()
+    at = np.asarray(codes.flatten(), np.int64) + np.repeat(own[:-1], np.diff(starts))
+    offsets = pa.array(starts.astype(np.int32))
+    parts = [pa.ListArray.from_arrays(offsets, pa.array(np.asarray(values.field(name), np.int64)[at])) for name in ("token_id", "renamed_id")]
+    return pa.StructArray.from_arrays(parts, ["strict", "renamed"])
+
+
+def encoded(rows: DataFrame, words: DataFrame, rank: str = "rank") -> DataFrame:
+    """(rank, strict, renamed): id arrays of all rows of ``own_dictionaries`` that have
+    tokens.  The distinct tokens of fragments meet the dictionary in one join, whose
+    common tokens Spark splits, and are gathered again by fragment; a fragment's codes
+    travel with its first distinct token."""
+    held = {r.token: r.token_id for r in words.where(F.col("token").isin(IDENTIFIER, STRING)).collect()}  # two rows at most
+    own = rows.select(rank, "language", "codes", F.posexplode("words").alias("i", "raw"))
+    own = own.withColumn("codes", F.when(F.col("i") == 0, F.col("codes")))
+    found = own.join(words.select(F.col("token").alias("raw"), "token_id", kind_of(F.col("token")).alias("kind")), "raw")
+    name = renamed(F.col("kind"), F.col("raw"), F.col("language"))
+    other = F.when(name == IDENTIFIER, F.lit(held.get(IDENTIFIER))).when(name == STRING, F.lit(held.get(STRING)))
+    ids = found.select(rank, "codes", F.struct("i", "token_id", F.coalesce(other.cast("long"), F.col("token_id")).alias("renamed_id")).alias("w"))
+    whole = ids.groupBy(rank).agg(F.first("codes", ignorenulls=True).alias("codes"), F.sort_array(F.collect_list("w")).alias("w"))
+    return whole.select(rank, _looked_up(F.col("codes"), F.col("w")).alias("t")).select(rank, "t.strict", "t.renamed")

@@ -11,7 +11,7 @@ from ..config import CloneConfig, RepositoryOptions
 from ..errors import CapacityExceeded, DuplicateFragment, InvalidFragment, RepositoryError
 from ..functions.ids import stable_id
 from ..functions.languages import language_from_path
-from ..functions.lexing import lex
+from ..functions.lexing import own_dictionaries
 from ..operators import blocks, fingerprints, index, tokens
 from ..operators.families import families_for_pairs
 from ..operators.fragments import fragment_files
@@ -73,27 +73,25 @@ def validate_fragments(fragments: DataFrame, config: CloneConfig) -> int:
 class Prepared:
     """Tables up to the fingerprints, each written once."""
 
-    lexed: DataFrame  # rank, id, path, language, span, tokens
+    lexed: DataFrame  # rank, id, path, language, span, n_tokens, words, first, codes
     words: DataFrame  # token, token_id
     streams: DataFrame  # rank, strict, renamed; of fragments that are large enough
     fps: DataFrame  # rank, fp
 
 
 def lexed_fragments(fragments: DataFrame, config: CloneConfig) -> DataFrame:
-    """Ranked by (path, span, id), with token arrays."""
-    lexed = materialize(lex(fragments).drop("text"), "lexed")
-    if (lexed.agg(F.max(F.size("tokens"))).first()[0] or 0) > config.max_tokens_per_fragment:
+    """Ranked by (path, span, id), as codes into each fragment's own dictionary."""
+    ranked = numbered(fragments, ["path", "span", "id"], "rank")
+    lexed = materialize(own_dictionaries(ranked), "lexed")
+    if (lexed.agg(F.max("n_tokens")).first()[0] or 0) > config.max_tokens_per_fragment:
         raise CapacityExceeded("tokens per fragment", config.max_tokens_per_fragment)
-    rank = numbered(lexed.select("path", "span", "id"), ["path", "span", "id"], "rank").select("id", "rank")
-    return materialize(lexed.join(rank, "id"), "ranked")
+    return lexed
 
 
 def prepare(fragments: DataFrame, config: CloneConfig) -> Prepared:
     lexed = lexed_fragments(fragments, config)
-    rows = tokens.exploded(lexed, "rank")
-    words = materialize(tokens.dictionary(rows), "dictionary")
-    large = lexed.where(F.size("tokens") >= config.min_tokens)
-    streams = materialize(tokens.encoded(large, words), "streams")
+    words = materialize(tokens.dictionary(lexed), "dictionary")
+    streams = materialize(tokens.encoded(lexed.where(F.col("n_tokens") >= config.min_tokens), words), "streams")
     fps = materialize(fingerprints.fingerprint_rows(streams, config.stream, config.k_gram, config.winnowing_window), "fingerprints")
     return Prepared(lexed, words, streams, fps)
 

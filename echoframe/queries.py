@@ -83,7 +83,7 @@ def _lexed(frags):
 
 
 def token_dictionary(spark, sf):
-    words = tokens.dictionary(tokens.exploded(_lexed(documents(spark, sf)), "rank"))
+    words = tokens.dictionary(_lexed(documents(spark, sf)))
     return words.select(F.replace("token", F.lit("\0"), F.lit("~")).alias("token"), "token_id")
 
 

@@ -245,17 +245,25 @@ def test_tables_are_removed_when_settled(spark):
         spark.read.parquet(inner[0].inputFiles()[0]).count()
 
 
-def test_large_dictionaries_are_joined(spark, monkeypatch):
-    from echoframe.operators import tokens
-    from echoframe.operators.tokens import dictionary, encoded, exploded
-
-    rows = [(i, "python", f"def f{i}(x):\n    return 'a{i % 3}' + x * {i}") for i in range(30)] + [(99, "text", "")]
-    df = lex(spark.createDataFrame(rows, "rank long, language string, text string"))
-    words = dictionary(exploded(df, "rank"))
-    key = lambda t: sorted((r.rank, r.strict, r.renamed) for r in t.collect() if r.strict)
-    small = key(encoded(df, words))
-    monkeypatch.setattr(tokens, "HELD_WORDS", 0)
-    assert key(encoded(df, words)) == small and len(small) == 30
+def test_dictionary_and_streams(spark):
+    """Ids by first appearance, a token before its placeholder, and streams of them."""
+    from echoframe.functions.lexing import own_dictionaries
+    from echoframe.operators.tokens import IDENTIFIER, STRING, dictionary, encoded
+
+    rows = [(i, "python" if i % 2 else "rust", f"def f{i}(x): # {i}\n    return 'a{i % 3}' + x * {i} // 2 -- 3") for i in range(30)] + [(99, "text", ""), (98, "sql", None), (97, "text", "def é fn \x0b")]
+    df = own_dictionaries(spark.createDataFrame(rows, "rank long, language string, text string").repartition(3))
+    assert df.columns == ["rank", "language", "n_tokens", "words", "first", "codes"]
+    keywords = {"python": {"def", "return"}, "rust": {"fn", "return"}, "text": {"return"}}
+    number, strict, loose = {}, {}, {}
+    for rank, language, text in sorted(rows):
+        for kind, raw, *_ in by_character(text or "", language):
+            name = STRING if kind == "S" else IDENTIFIER if kind == "I" and raw not in keywords[language] else raw
+            for token, stream in ((raw, strict), (name, loose)):
+                stream.setdefault(rank, []).append(number.setdefault(token, len(number)))
+    words = dictionary(df)
+    assert {r.token: r.token_id for r in words.collect()} == number
+    assert {r.rank: (r.strict, r.renamed) for r in encoded(df, words).collect()} == {k: (strict[k], loose[k]) for k in strict}
+    assert {r.rank: r.n_tokens for r in df.collect()} == {r[0]: len(strict.get(r[0], [])) for r in rows}
 
 
 def test_encoders(spark):
