@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize, settled
+from ..plans.scratch import forget, materialize, settled
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -62,7 +62,9 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     )
     seen = _fingerprint(cur)
     for _ in range(max_rounds):
-        cur = settled(edges.sparkSession, lambda before=cur: _small_star(_large_star(before)), "cc-round")
+        before = cur
+        cur = settled(edges.sparkSession, lambda: _small_star(_large_star(before)), "cc-round")
+        forget(before)
         now = _fingerprint(cur)
         if now == seen:
             break
