@@ -282,7 +282,8 @@ def encoder(path: str, pattern: str) -> ByteBPE:
 
 def encode_column(df: DataFrame, text: str, out: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``df`` with an array of token ids in column ``out`` (which is replaced if
-    it exists); a null text has no tokens."""
+    it exists); a null text has no tokens.  Repeated rows each get theirs, an empty
+    table stays empty, and Spark bounds what a batch of texts holds."""
     path, pattern = (path or default_vocabulary()[0]), (pattern or default_vocabulary()[1])
 
     @F.pandas_udf("array<int>")
@@ -290,7 +291,7 @@ def encode_column(df: DataFrame, text: str, out: str, path: str | None = None, p
         bpe = encoder(path, pattern)
         return texts.map(lambda t: bpe.encode(t or ""))
 
-    return df.withColumn(out, ids(F.coalesce(F.col(text), F.lit(""))))
+    return df.withColumn(out, ids(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
 
 
 def encode_and_decode(
@@ -320,6 +321,6 @@ def encode_and_decode(
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(
+    return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

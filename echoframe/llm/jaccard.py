@@ -393,10 +393,15 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options)
     """One row of each class of near-duplicates, columns as before: that of the
     smallest id, null ids last, and of rows with that id any one.  Rows are told
     apart by a number that is written with them, so an id may occur more than
-    once.  Texts without n-grams are their own class and stay."""
-    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "ngram-rows")
-    docs, classes = _classed(rows, key, text, number="_row", **options)
+    once, and repeated rows are copies of which one stays.  Texts without n-grams, null
+    ones among them, are their own class and stay.  Columns are carried under names of
+    their places, so theirs may be any; an empty table gives an empty one."""
+    lower = [c.lower() for c in df.columns]
+    own = lambda c: f"c{df.columns.index(c) if c in df.columns else lower.index(c.lower())}"
+    carried = [f"c{i}" for i in range(len(df.columns))]
+    rows = materialize(df.toDF(*carried).withColumn("number", F.monotonically_increasing_id()), "ngram-rows")
+    docs, classes = _classed(rows, own(key), own(text), number="number", **options)
     first = classes.groupBy("component").agg(F.min("of").alias("first"))
-    stays = classes.join(first, "component").select("set_key", F.col("first._row").alias("_stays"))
-    gone = docs.select("set_key", "_row").join(stays, "set_key").where("_row <> _stays").select("_row")
-    return rows.join(materialize(gone, "ngram-gone"), "_row", "left_anti").select(*df.columns)
+    stays = classes.join(first, "component").select("set_key", F.col("first.number").alias("stays"))
+    gone = docs.select("set_key", "number").join(stays, "set_key").where("number <> stays").select("number")
+    return rows.join(materialize(gone, "ngram-gone"), "number", "left_anti").select(*carried).toDF(*df.columns)

@@ -108,7 +108,7 @@ def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = ~F.exists(v, lambda x: x != 0)
     return (
-        df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+        df.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
         .where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size("v") > 0))
         .where(~bad & ~zero)
     )

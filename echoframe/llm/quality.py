@@ -142,7 +142,7 @@ def fit(
     keys about that many are taken, chosen by a hash of the key.  Without usable
     rows, or with one class only, there is no model and the result is None."""
     known = (
-        labels.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(label).cast("double").alias("v"))
+        labels.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{label}`").cast("double").alias("v"))
         .where(F.col("k").isNotNull() & F.col("v").isNotNull() & (remainder(F.col("k"), 5) != 0))
         .groupBy("k")
         .agg((F.avg("v") >= 0.5).cast("double").alias("y"))

@@ -199,8 +199,11 @@ def ablations(measured: DataFrame, policies: list[Policy]) -> DataFrame:
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", policy: Policy = STRICT) -> DataFrame:
     """One row per document: its key, the base measurements, ``base_failed``, the
-    ledger's ``failed`` bits and ``kept``, the verdict of ``policy``."""
-    out = ledger(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    ledger's ``failed`` bits and ``kept``, the verdict of ``policy``.
+
+    A null text has no words, as an empty one, and fails; null and repeated keys are
+    rows like any others; an empty table gives an empty one; other columns are ignored."""
+    out = ledger(df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~passes(BASE)).alias("base_failed"), (passes(BASE) & passes(policy)).alias("kept"), F.col("failed").alias("failed_rules"),
