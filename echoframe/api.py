@@ -8,16 +8,17 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 
 from .config import CloneConfig, RepositoryOptions, options_from_json
-from .operators.families import families_for_pairs
+from .operators.families import Families, families_for_pairs, family_tables
 from .plans.accuracy import AccuracyGate
 from .plans.detector import CloneReport, detect_files, detect_fragments
 from .plans.detector import detect_repository as _detect_repository
-from .plans.encode import SCHEMA_ID, json_schema, to_bigcloneeval, to_json, to_sarif
+from .plans.encode import SCHEMA_ID, json_schema, to_bigcloneeval, to_json, to_sarif, write_bigcloneeval, write_json, write_sarif, write_text
 from .sources.repository import fragments_from_json
 
 __all__ = [
-    "AccuracyGate", "CloneConfig", "CloneReport", "Report", "RepositoryOptions", "SCHEMA_ID", "SemanticCandidateProvider", "detect_files",
-    "detect_fragments", "detect_json_fragments", "detect_repository", "families_for_pairs", "json_schema", "to_bigcloneeval", "to_json", "to_sarif",
+    "AccuracyGate", "CloneConfig", "CloneReport", "Families", "Report", "RepositoryOptions", "SCHEMA_ID", "SemanticCandidateProvider", "detect_files",
+    "detect_fragments", "detect_json_fragments", "detect_repository", "families_for_pairs", "family_tables", "json_schema", "to_bigcloneeval", "to_json", "to_sarif",
+    "write_bigcloneeval", "write_json", "write_sarif", "write_text",
 ]
 
 
@@ -40,7 +41,7 @@ class Report:
 
     @property
     def family_count(self) -> int:
-        return self.report.families.count()
+        return self.report.family_tables.sizes.count()
 
     def to_json_string(self) -> str:
         return to_json(self.report)

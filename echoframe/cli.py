@@ -21,6 +21,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--format", action="append", default=[], metavar="EXTENSIONS", help="extensions to read, separated by commas")
     p.add_argument("--cross-extensions", action="store_true")
     p.add_argument("--output-format", choices=["text", "json", "sarif", "bigcloneeval"], default="text")
+    p.add_argument("--output", metavar="FILE", help="where to write the report instead of the screen; a place that all workers see")
     args = p.parse_args(argv)
     if args.summary and args.output_format != "text":
         p.error("--summary needs --output-format text")
@@ -43,12 +44,16 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     began = time.time()
     try:
         report = detect_repository(spark, args.root, config, options)
-        made = {"json": encode.to_json, "sarif": encode.to_sarif, "bigcloneeval": encode.to_bigcloneeval}.get(args.output_format)
-        if made:
-            text = made(report)
-            sys.stdout.write(text if text.endswith("\n") or not text else text + "\n")
+        name = args.output_format
+        took = (time.time() - began) * 1000
+        if args.output:
+            more = (args.summary, took) if name == "text" else ()
+            getattr(encode, f"write_{name}")(report, args.output, *more)
+        elif name == "text":
+            sys.stdout.write(encode.to_text(report, args.summary, took))
         else:
-            sys.stdout.write(encode.to_text(report, args.summary, (time.time() - began) * 1000))
+            text = getattr(encode, f"to_{name}")(report)
+            sys.stdout.write(text if text.endswith("\n") or not text else text + "\n")
     except CloneError as error:
         print(f"error: {error}", file=sys.stderr)
         return 1

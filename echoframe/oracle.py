@@ -187,10 +187,10 @@ _TOLD = [
 _TOLD_FAMILIES = [
     *_TOLD,
     *_FAMILIES[len(DOCS) :],
-    ("family_parts", """SELECT key, parts || ids AS parts, members, ids FROM (SELECT c AS key, list(member_id ORDER BY s.path) AS parts,
+    ("family_parts", """SELECT key, members, ids, n, a, b, m, c, d FROM (SELECT c AS key, count(*) AS n, sum(('0x' || md5(member_id)[1:15])::BIGINT) AS a, sum(('0x' || md5(member_id)[17:31])::BIGINT) AS b,
         list({'fragmentId': member_id, 'path': s.path, 'span': {'startByte': 0::BIGINT, 'endByte': s.bytes, 'startLine': 1::BIGINT, 'endLine': s.lines}} ORDER BY s.path) AS members FROM comp JOIN spans s ON s.id = member_id GROUP BY c)
-        JOIN (SELECT c AS key, list(told.id ORDER BY told.id) AS ids FROM told JOIN comp ON member_id = left_id GROUP BY c) USING (key)"""),
-    *_digest("family", "family_parts"),
+        JOIN (SELECT c AS key, count(*) AS m, sum(('0x' || md5(told.id)[1:15])::BIGINT) AS c, sum(('0x' || md5(told.id)[17:31])::BIGINT) AS d, list(told.id ORDER BY told.id) AS ids FROM told JOIN comp ON member_id = left_id GROUP BY c) USING (key)"""),
+    ("family_id", "SELECT key, 'clone:v1:family:' || md5(concat_ws(':', n, a, b, m, c, d)) AS id FROM family_parts"),
 ]
 
 _GATE = [

@@ -13,7 +13,7 @@ from ..functions.ids import stable_id
 from ..functions.languages import language_from_path
 from ..functions.lexing import own_dictionaries
 from ..operators import blocks, fingerprints, index, tokens
-from ..operators.families import families_for_pairs
+from ..operators.families import Families, family_tables
 from ..operators.fragments import fragment_files
 from ..operators.ordering import numbered
 from ..operators.suppress import suppress_contained
@@ -31,9 +31,14 @@ class CloneReport:
     """Pairs, families and one row of statistics."""
 
     pairs: DataFrame
-    families: DataFrame
+    family_tables: Families
     statistics: DataFrame
 
+    @property
+    def families(self) -> DataFrame:
+        """One row per family with its members and pairs as arrays."""
+        return self.family_tables.arrays()
+
 
 def normalized(fragments: DataFrame) -> DataFrame:
     """Fragments with ``/`` for ``\\`` in paths, and what may be left out filled in:
@@ -148,7 +153,7 @@ def _report(pairs: DataFrame, stats: dict) -> CloneReport:
     pairs = materialize(suppress_contained(pairs), "pairs")
     stats["verified_pairs"] = pairs.count()
     row = spark.createDataFrame([tuple(int(stats.get(k, 0)) for k in STATISTICS)], ", ".join(f"{k} long" for k in STATISTICS))
-    return CloneReport(pairs.orderBy("left", "right", "kind"), families_for_pairs(pairs), row)
+    return CloneReport(pairs.orderBy("left", "right", "kind"), family_tables(pairs), row)
 
 
 def detect_fragments(fragments: DataFrame, config: CloneConfig | None = None) -> CloneReport:

@@ -1,11 +1,13 @@
 """Report encoders: versioned JSON, SARIF 2.1.0, BigCloneEval rows and text.
 
-Each result is encoded by a column expression and comes as rows; one document is
-put together from them only when a caller asks for it."""
+Each result is encoded by a column expression and comes as rows.  A document is the
+rows' texts in order between a head and a tail, written by the tasks; the forms that
+return a string read that file again and are for small reports."""
 
 from __future__ import annotations
 
 import json
+import uuid
 from urllib.parse import quote
 
 import pandas as pd
@@ -14,7 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidOutput
+from ..operators.families import Families, placed
+from ..operators.ordering import numbered
+from ..sources.document import file_system, write_document
 from .detector import STATISTICS, CloneReport
+from .scratch import shared_dir
 
 SCHEMA_ID = "clone-report/v1"
 CATEGORIES = ("default", "selected", "sample")
@@ -55,15 +61,55 @@ def json_families(families: DataFrame) -> DataFrame:
     return families.select("id", F.to_json(body).alias("json"))
 
 
-def _rows(df: DataFrame) -> str:
-    return ",".join(r.json for r in df.orderBy("id").toLocalIterator())
+def _separated(rows: DataFrame, order: str) -> DataFrame:
+    """Rows of ``json`` as ``text`` with a comma before each but the first in ``order``."""
+    first = numbered(rows, [order], "_n")
+    return first.select(order, F.concat(F.when(F.col("_n") > 0, ",").otherwise(""), "json").alias("text"))
+
+
+def family_pieces(families: Families) -> DataFrame:
+    """(id, part, place, text): families in pieces, of which none grows with its family;
+    in this order they are the families with commas between them."""
+    opened = F.concat(F.lit('{"id":'), F.to_json(F.struct("id")).substr(F.lit(7), F.length("id") + 2), F.lit(',"members":['))
+    heads = _separated(families.sizes.select("id", opened.alias("json")), "id")
+    comma = F.when(F.col("place") > 0, ",").otherwise("")
+    members = placed(families.members, "member").select("id", "place", F.concat(comma, F.to_json(_location(F.col("member")))).alias("text"))
+    ids = placed(families.pairs, "pair_id").select("id", "place", F.concat(comma, F.lit('"'), "pair_id", F.lit('"')).alias("text"))
+    fixed = lambda part, text: families.sizes.select("id", F.lit(part).alias("part"), F.lit(0).cast("long").alias("place"), F.lit(text).alias("text"))
+    at = lambda df, part: df.select("id", F.lit(part).alias("part"), "place", "text")
+    return (
+        at(heads.withColumn("place", F.lit(0).cast("long")), 0)
+        .unionByName(at(members, 1))
+        .unionByName(fixed(2, '],"pairIds":['))
+        .unionByName(at(ids, 3))
+        .unionByName(fixed(4, "]}"))
+    )
 
 
-def to_json(report: CloneReport) -> str:
-    """One JSON document: pairs and families by id, then statistics."""
+def write_json(report: CloneReport, path: str) -> None:
+    """The JSON document as a file: pairs and families by id, then statistics."""
     statistics = report.statistics.select(F.to_json(F.struct(*[F.col(s).alias(_camel(s)) for s in STATISTICS])).alias("json")).first().json
-    pairs, families = _rows(json_pairs(report.pairs)), _rows(json_families(report.families))
-    return f'{{"schema":"{SCHEMA_ID}","version":1,"pairs":[{pairs}],"families":[{families}],"statistics":{statistics}}}'
+    nothing = [F.lit(0).alias("part"), F.lit(0).cast("long").alias("place")]
+    pairs = _separated(json_pairs(report.pairs), "id").select(F.lit(0).alias("section"), "id", *nothing, "text")
+    between = report.statistics.select(F.lit(1).alias("section"), F.lit("").alias("id"), *nothing, F.lit('],"families":[').alias("text"))
+    families = family_pieces(report.family_tables).select(F.lit(2).alias("section"), "id", "part", "place", "text")
+    head, tail = f'{{"schema":"{SCHEMA_ID}","version":1,"pairs":[', f'],"statistics":{statistics}}}'
+    write_document(pairs.unionByName(between).unionByName(families), ["section", "id", "part", "place"], path, head, tail)
+
+
+def _text_of(write, report: CloneReport, *more) -> str:
+    """What ``write`` writes, as a string."""
+    path = f"{shared_dir(report.pairs.sparkSession)}/document-{uuid.uuid4().hex}"
+    write(report, path, *more)
+    fs, at = file_system(path)
+    with fs.open_input_stream(at) as f:
+        text = f.read().decode()
+    fs.delete_file(at)
+    return text
+
+
+def to_json(report: CloneReport) -> str:
+    return _text_of(write_json, report)
 
 
 @F.pandas_udf(T.StringType())
@@ -111,12 +157,17 @@ def sarif_results(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", F.to_json(body).alias("json"))
 
 
-def to_sarif(report: CloneReport) -> str:
+def write_sarif(report: CloneReport, path: str) -> None:
+    """The SARIF log as a file, results by pair id."""
     names = [("SameTokens", "Equal token for token"), ("OtherNames", "Equal but for names and strings"), ("FewEdits", "Equal but for a few tokens")]
     rules = [{"id": f"CLONE.TYPE{i}", "name": n, "shortDescription": {"text": t}} for i, (n, t) in enumerate(names, 1)]
     driver = json.dumps({"driver": {"name": "echoframe", "semanticVersion": "0.1.0", "rules": rules}}, separators=(",", ":"))
     head = '{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":'
-    return f'{head}{driver},"results":[{_rows(sarif_results(report.pairs))}]}}]}}'
+    write_document(_separated(sarif_results(report.pairs), "id"), ["id"], path, f'{head}{driver},"results":[', "]}]}")
+
+
+def to_sarif(report: CloneReport) -> str:
+    return _text_of(write_sarif, report)
 
 
 def bigcloneeval_rows(pairs: DataFrame) -> DataFrame:
@@ -141,28 +192,35 @@ def bigcloneeval_rows(pairs: DataFrame) -> DataFrame:
     return pairs.select(*columns)
 
 
-def to_bigcloneeval(report: CloneReport) -> str:
+def write_bigcloneeval(report: CloneReport, path: str) -> None:
+    """The rows as a file of lines, by pair id."""
     rows = bigcloneeval_rows(report.pairs)
-    return "".join(",".join(str(v) for v in r[1:]) + "\n" for r in rows.orderBy("id").toLocalIterator())
+    line = F.concat(F.concat_ws(",", *[F.col(c).cast("string") for c in rows.columns[1:]]), F.lit("\n"))
+    write_document(rows.select("id", line.alias("text")), ["id"], path)
 
 
-def to_text(report: CloneReport, summary: bool = False, elapsed_ms: float = 0.0) -> str:
-    """A line per pair, then a line of counts."""
+def to_bigcloneeval(report: CloneReport) -> str:
+    return _text_of(write_bigcloneeval, report)
+
+
+def write_text(report: CloneReport, path: str, summary: bool = False, elapsed_ms: float = 0.0) -> None:
+    """A line per pair, then a line of counts.  The words of the lines are fixed values."""
     pairs = report.pairs
-    out = []
-    if not summary:
-        place = lambda s: F.format_string("%s:%d-%d", F.col(f"{s}.path"), F.col(f"{s}.span.start_line"), F.col(f"{s}.span.end_line"))
-        line = F.concat(place("left"), F.lit(" ~ "), place("right"), F.lit(" type="), F.initcap("kind"), F.lit(" similarity="),
-                        F.format_string("%d.%d%%", F.expr("similarity div 10"), F.expr("similarity % 10")))
-        out = [r[0] for r in pairs.select(line).toLocalIterator()]
+    place = lambda s: F.format_string("%s:%d-%d", F.col(f"{s}.path"), F.col(f"{s}.span.start_line"), F.col(f"{s}.span.end_line"))
+    line = F.concat(place("left"), F.lit(" ~ "), place("right"), F.lit(" type="), F.initcap("kind"), F.lit(" similarity="),
+                    F.format_string("%d.%d%%", F.expr("similarity div 10"), F.expr("similarity % 10")), F.lit("\n"))
     s = report.statistics.first()
     kinds = {r.kind: r["count"] for r in pairs.groupBy("kind").count().collect()}
     counts = " ".join(f"{k}={kinds.get(k, 0)}" for k in ("type1", "type2", "type3"))
-    out.append(
+    last = (
         f"files={s.source_files} fragments={s.analyzed_fragments} candidates={s.candidate_pairs} pairs={sum(kinds.values())} "
-        f"families={report.families.count()} {counts} elapsed_ms={elapsed_ms:.3f}"
+        f"families={report.family_tables.sizes.count()} {counts} elapsed_ms={elapsed_ms:.3f}\n"
     )
-    return "\n".join(out) + "\n"
+    write_document(pairs.where(F.lit(not summary)).select("left", "right", "kind", line.alias("text")), ["left", "right", "kind"], path, tail=last)
+
+
+def to_text(report: CloneReport, summary: bool = False, elapsed_ms: float = 0.0) -> str:
+    return _text_of(write_text, report, summary, elapsed_ms)
 
 
 def json_schema() -> dict:

@@ -13,7 +13,7 @@ from .functions.ids import stable_id
 from .functions.languages import extension, language_from_path
 from .functions.lexing import lex
 from .operators import blocks, fingerprints, index, tokens
-from .operators.families import families_for_pairs
+from .operators.families import families_for_pairs, family_tables
 from .operators.fragments import fragment_files
 from .operators.suppress import suppress_contained
 from .operators.verify import verified
@@ -197,13 +197,13 @@ def suppressed_pairs(spark, sf):
 
 
 def family_sizes(spark, sf):
-    f = families_for_pairs(_exact_pairs(spark, sf))
-    return f.select(F.element_at("members", 1)["fragment_id"].alias("first_id"), F.size("members").cast("long").alias("n_members"), F.size("pair_ids").cast("long").alias("n_pairs"))
+    return family_tables(_exact_pairs(spark, sf)).sizes.select(F.col("first.fragment_id").alias("first_id"), "n_members", "n_pairs")
 
 
 def families(spark, sf):
-    f = families_for_pairs(_exact_pairs(spark, sf))
-    return f.select(F.element_at("members", 1)["fragment_id"].alias("first_id"), F.explode("members.fragment_id").alias("member_id"))
+    f = family_tables(_exact_pairs(spark, sf))
+    first = f.sizes.select("id", F.col("first.fragment_id").alias("first_id"))
+    return f.members.join(first, "id").select("first_id", F.col("member.fragment_id").alias("member_id"))
 
 
 def clone_statistics(spark, sf):
