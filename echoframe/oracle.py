@@ -214,7 +214,7 @@ def _quote(text: str) -> str:
 def _code(text: str, line: str) -> str:
     made = f"replace(replace({_quote(text)}, '@B', repeat({_quote(line)}, n % 9)), '@C', CASE WHEN n % 5 = 0 THEN '' ELSE '}}' END)"
     return f"""SELECT n, replace(replace({made}, '@N', n::VARCHAR), '@T', t) AS text
-  FROM (SELECT doc_id AS n, translate(substring(coalesce(text, ''), 1, 50), chr(10) || chr(13) || chr(92), '   ') AS t FROM documents)"""
+  FROM (SELECT doc_id AS n, translate(coalesce(text, ''), chr(10) || chr(13) || chr(92), '   ') AS t FROM documents)"""
 
 
 def _code_lines(text: str, line: str, ext: str, clean: str) -> str:
@@ -248,7 +248,7 @@ found AS (SELECT d.n, d.i AS a, coalesce(min(f.i) FILTER (f.i - d.i >= 8), max(f
 _SLASHES = r"//[^\n]*\n?|/\*(?:[^*]|\*+[^*/])*(?:\*+/|\z)"
 _TRIPLES = "|".join(rf"{q}{{3}}(?:[^{q}\\]|\\.|{q}{{1,2}}[^{q}\\])*{q}{{3}}" for q in ("'", '"'))
 _CODE = [
-    ("rust", BRACED, BRACED_LINE, _SLASHES, "", "^//|^/[*]", "fn let mut impl trait pub crate super where".split()),
+    ("rust", BRACED, BRACED_LINE, r"/\* out /\* in \*/ again \*/|" + _SLASHES, "", "^//|^/[*]", "fn let mut impl trait pub crate super where".split()),
     ("typescript", BRACED, BRACED_LINE, _SLASHES, "", "^//|^/[*]", []),
     ("python", INDENTED, INDENTED_LINE, r"#[^\n]*\n?", _TRIPLES, "^#", "def lambda elif except with as pass raise in is".split()),
     ("sql", QUERY, "", r"--[^\n]*\n?", "", "^--", []),
@@ -319,6 +319,8 @@ UNION ALL SELECT 'kept', count(*), coalesce(sum(length), 0)::BIGINT FROM every W
 FROM (SELECT scope, CASE WHEN tp + fp = 0 THEN 1000 ELSE tp * 1000 // (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1000 ELSE tp * 1000 // (tp + fn) END AS recall FROM counted)"""),
     "brace_fragments": _BRACES,
     "python_fragments": _INDENTS,
+    "whole_file_fragments": chain(DOCS, "texts", """SELECT path || '#fragment:0' AS id, path, 0::BIGINT AS start_byte, strlen(text)::BIGINT AS end_byte, 1::BIGINT AS start_line,
+  (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS end_line FROM texts WHERE contains(text, chr(10))"""),
     "code_tokens": _code_tokens(),
     "near_miss_statistics": chain(_near("documents"), "near", """SELECT 0::BIGINT AS source_files, 0::BIGINT AS source_tokens, (SELECT count(*) FROM texts) AS input_fragments, (SELECT count(*) FROM streams) AS analyzed_fragments,
   (SELECT count(*) FROM texts) - (SELECT count(*) FROM streams) AS skipped_small_fragments, (SELECT sum(len(strict))::BIGINT FROM streams) AS tokens, (SELECT count(*) FROM fps) AS fingerprints,

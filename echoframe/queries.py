@@ -258,11 +258,12 @@ def accuracy_metrics(spark, sf):
 
 # Code: the stored texts have none, so every document gets some, made of its id and text.
 
-#: @N is the document's id, @T some of its text on one line, @B up to eight lines, @C a
+#: @N is the document's id, @T its whole text on one line, @B up to eight lines, @C a
 #: brace that every fifth document lacks.
 BRACED = """// @T
 use std::x; /* two { lines
  of comment */
+/* out /* in */ again */
 fn one@N(a: u8) -> u8 {
     let s = "{ @T"; // {
 @B    a + 0xFF + 1e-3 + @N
@@ -312,7 +313,7 @@ BRACED_LINE, INDENTED_LINE = "        go(1);\n", "        run(x)\n"
 
 def _made(spark, sf, text: str, line: str):
     """(id, text): the code once for every document."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("n"), F.translate(F.substring(F.coalesce("text", F.lit("")), 1, 50), "\n\r\\", "   ").alias("t"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("n"), F.translate(F.coalesce("text", F.lit("")), "\n\r\\", "   ").alias("t"))
     name = F.col("n").cast("string")
     made = F.replace(F.lit(text), F.lit("@B"), F.repeat(F.lit(line), F.pmod("n", F.lit(9)).cast("int")))
     made = F.replace(made, F.lit("@C"), F.when(F.pmod("n", F.lit(5)) == 0, "").otherwise("}"))
@@ -328,6 +329,12 @@ def _fragments(language, ext, text, line):
     return query
 
 
+def whole_file_fragments(spark, sf):
+    """Files without functions: each document of more than one line is one fragment."""
+    found = fragment_files(documents(spark, sf).select("path", "language", "text"), least=3, most=9)
+    return found.select("id", "path", *[F.col(f"span.{n}").cast("long").alias(n) for n in ("start_byte", "end_byte", "start_line", "end_line")])
+
+
 def code_tokens(spark, sf):
     """Renamed tokens of code in four languages: comments, strings, keywords."""
     parts = [("rust", BRACED, BRACED_LINE), ("typescript", BRACED, BRACED_LINE), ("python", INDENTED, INDENTED_LINE), ("sql", QUERY, "")]
@@ -401,6 +408,7 @@ QUERIES = {
     "accuracy_metrics": accuracy_metrics,
     "brace_fragments": _fragments("rust", ".rs", BRACED, BRACED_LINE),
     "python_fragments": _fragments("python", ".py", INDENTED, INDENTED_LINE),
+    "whole_file_fragments": whole_file_fragments,
     "code_tokens": code_tokens,
     "pair_ids": pair_ids,
     "report_json": report_json,

@@ -9,7 +9,7 @@ import __spark_entry__
 
 NAMES = [
     "language_from_path", "lex_token_kinds", "token_positions", "winnow_fingerprints", "verified_pairs", "suppressed_pairs", "clone_statistics", "accuracy_metrics", "brace_fragments", "python_fragments", "code_tokens", "page_block_pairs", "token_dictionary",
-    "report_json", "report_family_json", "sarif_results", "stable_ids",
+    "whole_file_fragments", "report_json", "report_family_json", "sarif_results", "stable_ids",
 ]
 
 
