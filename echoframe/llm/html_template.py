@@ -60,6 +60,7 @@ _MARKUP = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_TARGET = re.compile(r"(?:^|\s)href\s*=", re.I)
 _DIGITS = re.compile(r"\d+")
 
 # Elements of HTML by what they mean here.
@@ -71,6 +72,10 @@ _INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp",
     "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
+_IN_HEAD = {"meta", "link", "base"}
+#: Elements of these kinds can stand around a whole page, as a form does, or be left
+#: open before it; an aside with so many unlinked characters of its own is such a one.
+_AROUND, LEAST_AROUND = {"form", "nav", "menu", "header"}, 150
 _ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 
 ROOT = 0
@@ -90,7 +95,7 @@ class Place:
     around: tuple[int, ...]  # from the root to itself
     name: str
     main: bool  # is or is in a main element
-    aside: bool
+    asides: tuple[int, ...]  # what is aside by kind or role, of those around and itself
     opens: int = 0  # its tokens
     closes: int = 0
 
@@ -99,7 +104,7 @@ class Place:
 class Block:
     text: str
     path: int
-    plain: int  # its weight: characters outside of links
+    plain: int  # characters outside of links
     heading: bool
     at: int  # among the page's tokens
     token: int
@@ -110,13 +115,45 @@ class Page:
     tags: list[tuple[int, int, int]] = field(default_factory=list)  # token, place, position
     blocks: list[Block] = field(default_factory=list)
     places: dict[int, Place] = field(default_factory=dict)
+    whole: set[int] = field(default_factory=set)  # asides that hold the page's main text
+
+    def aside(self, path: int) -> bool:
+        asides = self.places[path].asides
+        return bool(asides) and not self.whole.issuperset(asides)
+
+    def settle(self) -> None:
+        """Find asides that the main text is in: around the only main elements there are,
+        or of a kind that can stand around all and with more unlinked text of their own
+        than there is outside of any aside."""
+        while True:
+            outer = {p: next((a for a in x.asides if a not in self.whole), None) for p, x in self.places.items()}
+            if not any(outer.values()) or any(x.main and outer[p] is None for p, x in self.places.items()):
+                return
+            around = {outer[p] for p, x in self.places.items() if x.main and self.places[outer[p]].name not in ("nav", "menu", "footer")}
+            if not around:
+                # Own text: not in an aside further inside.
+                own, outside = defaultdict(int), 0
+                for b in self.blocks:
+                    left = [a for a in self.places[b.path].asides if a not in self.whole]
+                    if not left:
+                        outside += b.plain
+                    elif len(left) == 1:
+                        own[left[0]] += b.plain
+                inner = {outer[p] for p, x in self.places.items() if len([a for a in x.asides if a not in self.whole]) > 1}
+                around = {
+                    p for p, n in own.items()
+                    if self.places[p].name in _AROUND and n > outside and (n >= LEAST_AROUND or (self.places[p].name == "form" and p in inner))
+                }
+            if not around:
+                return
+            self.whole |= around
 
 
 class Reader:
     """Reads pages; what it remembers of places is bounded."""
 
     def __init__(self):
-        self.root = Place(ROOT, (ROOT,), "", False, False)
+        self.root = Place(ROOT, (ROOT,), "", False, ())
         self.inner: dict[tuple, Place] = {}
 
     def enter(self, outer: Place, name: str, attributes: str) -> Place:
@@ -130,8 +167,8 @@ class Reader:
         path = xxhash.xxh3_64_intdigest(label.encode(), outer.path & 0x7FFFFFFFFFFFFFFF) >> 2 or 1
         part = name in _MAIN or role == "main"
         own = name == "header" and outer.main  # an article's own header is kept
-        aside = outer.aside or (name in _ASIDE and not own) or role in _ASIDE_ROLES
-        made = Place(path, (*outer.around, path), name if not part else "main", outer.main or part, aside, path << 1, path << 1 | 1)
+        asides = (*outer.asides, path) if (name in _ASIDE and not own) or role in _ASIDE_ROLES else outer.asides
+        made = Place(path, (*outer.around, path), name if not part else "main", outer.main or part, asides, path << 1, path << 1 | 1)
         if len(self.inner) >= _REMEMBER:
             self.inner.clear()
         self.inner[key] = made
@@ -139,6 +176,7 @@ class Reader:
 
     def read(self, html: str) -> Page:
         page, stack, at, links, heading, count = Page(), [self.root], 0, 0, 0, 0
+        last, link_in, link_deep = "", "", 0  # the last block that was opened, and those around the open link
         places = page.places
         places[ROOT] = self.root
         pieces: list[str] = []
@@ -149,9 +187,11 @@ class Reader:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
+                if stack[-1].name == "head":
+                    stack.pop()  # text ends it
                 place = stack[-1]
                 token = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), place.path) | 1 << 63
-                page.blocks.append(Block(text, place.path, plain * (PREFERRED if place.main else 1), heading > 0, count, token))
+                page.blocks.append(Block(text, place.path, plain, heading > 0, count, token))
                 count += 1
             plain = 0
 
@@ -173,10 +213,18 @@ class Reader:
                 continue
             name, closing = name.lower(), m.group(2)
             if name == "a":
-                links = 0 if closing else 1
+                # An anchor without a target is no link, and one that is left open ends with its block.
+                links = 0 if closing or not _TARGET.search(m.group(4)) else 1
+                link_in, link_deep = last, len(stack)
             if name in _INLINE:
                 continue
             end()
+            if closing and name == link_in:
+                links = 0
+            if not closing:
+                last = name
+                if stack[-1].name == "head" and name not in _IN_HEAD:
+                    stack.pop()
             if name in _HEADINGS:
                 heading = 0 if closing else 1
             if name not in _CONTEXT:
@@ -187,10 +235,15 @@ class Reader:
                         page.tags.append((stack[i].closes, stack[i].path, count))
                         count += 1
                         del stack[i:]
+                        if len(stack) < link_deep:
+                            links = 0
                         break
             else:
-                if name == "body" and stack[-1].name == "head":
-                    stack.pop()
+                if name in _MAIN:
+                    # A menu that was left open ends where the main text begins.
+                    open_menu = next((i for i, x in enumerate(stack) if x.name in ("nav", "menu")), None)
+                    if open_menu is not None:
+                        del stack[open_menu:]
                 place = self.enter(stack[-1], name, m.group(4))
                 stack.append(place)
                 places[place.path] = place
@@ -199,6 +252,7 @@ class Reader:
         if at < len(html):
             hold(html[at:])
         end()
+        page.settle()
         return page
 
 
@@ -207,11 +261,12 @@ def weights(page: Page) -> dict[int, tuple[float, float, float]]:
     inner elements, and how much of that is headings."""
     held, own, heads = defaultdict(float), defaultdict(float), defaultdict(float)
     for b in page.blocks:
-        if not page.places[b.path].aside:
-            own[b.path] += b.plain
-            heads[b.path] += b.plain * b.heading
+        if not page.aside(b.path):
+            weight = b.plain * (PREFERRED if page.places[b.path].main else 1)
+            own[b.path] += weight
+            heads[b.path] += weight * b.heading
             for p in page.places[b.path].around:
-                held[p] += b.plain
+                held[p] += weight
     return {p: (held[p], own[p], heads[p]) for p in page.places}
 
 
@@ -247,11 +302,11 @@ def main_elements(page: Page, weight: dict[int, tuple[float, float, float]]) ->
     places = page.places
     inside = defaultdict(list)
     for p in weight:
-        if p != ROOT and not places[p].aside:
+        if p != ROOT and not page.aside(p):
             inside[next((a for a in reversed(places[p].around[:-1]) if a in weight), ROOT)].append(p)
-    here = defaultdict(int)  # weight on this page outside of inner elements
+    here = defaultdict(int)  # characters on this page outside of inner elements
     for b in page.blocks:
-        if not places[b.path].aside:
+        if not page.aside(b.path):
             here[next((a for a in reversed(places[b.path].around) if a in weight), ROOT)] += b.plain
     now = ROOT
     while inside[now]:
@@ -278,7 +333,7 @@ def main_text(page: Page, templates: list[Template | None]) -> str:
     else:
         weight = weights(page)
     main = set(main_elements(page, weight))
-    inside = {p for p, place in page.places.items() if not place.aside and not main.isdisjoint(place.around)}
+    inside = {p for p, place in page.places.items() if not page.aside(p) and not main.isdisjoint(place.around)}
     return " ".join(b.text for b in page.blocks if b.path in inside)
 
 
@@ -292,7 +347,7 @@ def count_page(page: Page, salt: int) -> list[tuple]:
     for b in page.blocks:
         row = times.setdefault(b.token, [1, b.token, b.path, 0, 0, 0, b.at])
         row[3] += 1
-        if not (page.places[b.path].aside or page.places[b.path].main):  # what articles share is their own
+        if not (page.aside(b.path) or page.places[b.path].main):  # what articles share is their own
             row[4] += b.plain
             row[5] += b.plain * b.heading
     out = [(k, t, p, xxhash.xxh3_64_intdigest(n.to_bytes(8, "big"), salt), n, plain, heads, salt, at, None) for k, t, p, n, plain, heads, at in times.values()]

@@ -116,7 +116,7 @@ def test_classes_against_their_definition(spark):
         held, own, on = Counter(), Counter(), Counter(p for r in read for p in r.places)
         for r in read:
             for b in r.blocks:
-                if b.token not in said and not r.places[b.path].aside:
+                if b.token not in said and not r.aside(b.path):
                     around = [p for p in r.places[b.path].around if p in elements]
                     own[around[-1]] += b.plain
                     held.update({p: b.plain for p in around})
@@ -152,6 +152,46 @@ def test_names_do_not_drop_the_article(around):
     assert alone(f"<html><body>{rest.format(around.format(BODY))}</body></html>") == TEXT
 
 
+LONG = "".join(f"<p>This is sentence number {i} of a text that is long enough.</p>" for i in range(6))
+SAID = " ".join(f"This is sentence number {i} of a text that is long enough." for i in range(6))
+SIDE = "<aside><p>Somebody else wrote something here once.</p></aside><footer>End of it</footer>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<html><body><form id=f action=/><nav><a href=/>Home</a></nav><div>{LONG}</div>{SIDE}</form></body></html>",
+        f"<html><body><form><header>Site</header><main>{LONG}</main>{SIDE}</form></body></html>",
+        f"<html><body><form><div><article>{LONG}</article></div></form>{SIDE}</body></html>",
+        f"<html><head><title>t</title><meta name=x><div>{LONG}</div>{SIDE}</html>",
+        f"<head><link rel=x><main>{LONG}</main>{SIDE}",
+        f"<title>t</title><p>{SAID}</p>{SIDE}",
+        f"<body><nav><a href=/>Home</a><main>{LONG}</main>{SIDE}</body>",
+        f"<body><nav><ul><li><a href=/>Home</a></ul><article>{LONG}</article>{SIDE}</body>",
+        f"<body><nav><a href=/>Home</a></nav><a name=top><div>{LONG}</div>{SIDE}</body>",
+        f"<body><div><p><a href=/>Home</p>{LONG}</div>{SIDE}</body>".replace("Home", ""),
+        f"<body><div>{LONG}</div>{SIDE}<form><label>Search for something</label></form></body>",
+    ],
+)
+def test_no_article_is_lost(html):
+    assert alone(html) == SAID
+
+
+def test_pages_without_main_text_stay_empty():
+    assert alone(f"<body><nav><a href=/>Home</a></nav><form><label>Search</label></form>{SIDE}</body>") == ""
+    assert alone(f"<body><div><p>Text</p></div><aside><article><p>{SAID}</p></article></aside></body>") in ("Text", SAID)
+
+
+def test_a_form_around_every_page_of_a_host(spark):
+    rng = random.Random(12)
+    want, pages = [], []
+    for i in range(20):
+        blocks, markup = prose(rng, 30)
+        want.append(" ".join(blocks))
+        pages.append(page(rng, f"<div class='content'>{markup}</div>", i).replace("<body>", "<body><form id=all>").replace("</body>", "</form></body>"))
+    assert texts(spark, pages) == want
+
+
 def test_short_article_beside_long_comments():
     comments = f"<div id='comments'><p>{'so much to say ' * 40}</p></div>"
     assert alone(f"<body><div class='sidebar'><article>{BODY}</article></div>{comments}</body>") == TEXT
