@@ -186,6 +186,9 @@ def test_suppression_is_the_greedy_one(spark):
     for i in range(120):
         a, b = rng.randrange(20), rng.randrange(20)
         rows.append(pair(f"{i:03}", (a, a + rng.randrange(1, 15)), (b, b + rng.randrange(1, 15)), rng.randrange(20, 24), rng.choice([900, 1000]), paths=rng.choice([("p", "q"), ("p", "r")])))
+    rows += [pair(f"w{i:03}", (100, 164), (7, 9), 20 + i % 2, 900 + 50 * (i % 3), paths=("p", "q")) for i in range(9)]  # equal spans
+    rows += [pair(f"x{i}", (1000 + i, 2024 - i), (64, 128 + i % 2), paths=("p", "r")) for i in range(12)]  # nested, on borders of cells
+    rows += [pair("y", (5, 5), (5, 5), paths=("p", "s")), pair("z", (5, 6), (4, 5), paths=("p", "s"))]
     kept = []
     size = lambda r: sum(s[1][1] - s[1][0] for s in (r[3], r[4]))
     for r in sorted(rows, key=lambda r: (-size(r), -r[5][6], -r[2], r[0])):
