@@ -198,6 +198,36 @@ def test_suppression_is_the_greedy_one(spark):
     assert sorted(r.id for r in got.collect()) == sorted(r[0] for r in kept)
 
 
+def test_gate_against_all_labels_and_pairs(spark):
+    from echoframe.plans.accuracy import detected
+    from echoframe.schema import ORACLE
+
+    rng = random.Random(13)
+
+    def span(longest):
+        a = rng.randrange(1, 60)
+        return a, a + rng.randrange(longest)
+
+    pairs = [("i", "type1", 1000, (rng.choice("pq"), (0, 9, *span(40)), "x"), (rng.choice("pq"), (0, 9, *span(40)), "y"), (True, True, 1, 1, 1, 0, 30)) for _ in range(150)]
+    labels = []
+    for i in range(250):
+        (a, b), (c, d) = span(30), span(30)
+        labels.append((str(i), rng.choice("pqr"), a, b if i % 9 else a - 1, rng.choice("pq"), c, d, True, None))
+    labels.append(("none", "p", None, 3, "q", 1, 2, True, None))
+
+    def covers(place, path, start, end, coverage):
+        shared = max(0, min(place[1][3], end) - max(place[1][2], start) + 1)
+        return place[0] == path and start <= end and shared * 1000 >= (end - start + 1) * coverage
+
+    for coverage in (700, 1000, 300, 1, 0):
+        want = {}
+        for x in labels:
+            sides = (x[1:4], x[4:7])
+            want[x[0]] = x[2] is not None and any(covers(p[3 + k], *sides[0], coverage) and covers(p[4 - k], *sides[1], coverage) for p in pairs for k in (0, 1))
+        got = detected(spark.createDataFrame(pairs, PAIR), spark.createDataFrame(labels, ORACLE), coverage)
+        assert {r.id: r.detected for r in got.collect()} == want and 3 < sum(want.values()) < 250
+
+
 def test_fragment_ranges():
     two = "fn a(x: u8) {\n    x();\n}\n\npub fn b() {\n    if (x) {\n        y();\n    }\n}\n"
     assert ranges("rust", two, 3, 100) == [(0, 2), (4, 8)]
