@@ -23,7 +23,8 @@ __all__ = [
 
 
 class SemanticCandidateProvider(Protocol):
-    """An extension that proposes candidates by meaning; detectors do not call it."""
+    """An extension that proposes candidates by meaning: ``detect_fragments(..., provider=...)``
+    joins them into verification beside those that share fingerprints."""
 
     def candidates(self, fragments: DataFrame, limit: int) -> DataFrame:
         """(fragment_id, candidate_id), at most ``limit`` per fragment."""

@@ -33,6 +33,8 @@ class CloneReport:
     pairs: DataFrame
     family_tables: Families
     statistics: DataFrame
+    #: How many candidates a provider added to those with shared fingerprints.
+    semantic_candidates: int = 0
 
     @property
     def families(self) -> DataFrame:
@@ -109,6 +111,21 @@ def candidate_pairs(fps: DataFrame, config: CloneConfig) -> DataFrame:
     return materialize(index.candidates(kept, pairs, config.min_shared_fingerprints, config.candidate_similarity), "candidates")
 
 
+def proposed_pairs(provider, fragments: DataFrame, p: Prepared, found: DataFrame, limit: int) -> DataFrame:
+    """Candidates that ``provider`` proposes beyond ``found``, in the form of those, with
+    nothing shared.  Ids that are no analyzed fragment's are left out, a fragment is not
+    its own candidate, and a pair counts once in either order; more than ``limit``
+    candidates of one fragment are an error."""
+    rows = materialize(provider.candidates(fragments, limit).select(F.col("fragment_id").alias("a"), F.col("candidate_id").alias("b")).distinct(), "proposed")
+    if (rows.groupBy("a").count().agg(F.max("count")).first()[0] or 0) > limit:
+        raise CapacityExceeded("semantic candidates per fragment", limit)
+    rank = p.lexed.join(p.streams.select("rank"), "rank", "left_semi").select("id", "rank")
+    ranks = rows.join(rank.select(F.col("id").alias("a"), F.col("rank").alias("x")), "a").join(rank.select(F.col("id").alias("b"), F.col("rank").alias("y")), "b")
+    fresh = ranks.where("x <> y").select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("r")).distinct().join(found, ["l", "r"], "left_anti")
+    none = [F.lit(0).cast(found.schema[c].dataType).alias(c) for c in ("shared", "jaccard", "containment")]
+    return materialize(fresh.select("l", "r", *none), "proposed-pairs")
+
+
 def _overlap(rows: DataFrame) -> DataFrame:
     a, b = F.col("left.span"), F.col("right.span")
     meet = (F.col("left.path") == F.col("right.path")) & (a["start_byte"] < b["end_byte"]) & (b["start_byte"] < a["end_byte"])
@@ -136,7 +153,7 @@ def fragment_pairs(p: Prepared, found: DataFrame, config: CloneConfig) -> DataFr
     )
 
 
-def _fragment_stage(fragments: DataFrame, config: CloneConfig) -> tuple[DataFrame, dict]:
+def _fragment_stage(fragments: DataFrame, config: CloneConfig, provider=None, limit: int = 0) -> tuple[DataFrame, dict]:
     n = validate_fragments(fragments, config)
     p = prepare(fragments, config)
     found = candidate_pairs(p.fps, config)
@@ -145,6 +162,10 @@ def _fragment_stage(fragments: DataFrame, config: CloneConfig) -> tuple[DataFram
         "input_fragments": n, "analyzed_fragments": sizes.n, "skipped_small_fragments": n - sizes.n, "tokens": sizes.t, "fingerprints": p.fps.count(),
         "candidate_pairs": found.count(), "suppressed_buckets": index.buckets(p.fps).where(F.col("n") > config.max_bucket_size).count(),
     }
+    if provider is not None:
+        more = proposed_pairs(provider, fragments, p, found, limit)
+        stats["semantic_candidates"] = more.count()
+        found = found.unionByName(more)
     return fragment_pairs(p, found, config), stats
 
 
@@ -153,13 +174,15 @@ def _report(pairs: DataFrame, stats: dict) -> CloneReport:
     pairs = materialize(suppress_contained(pairs), "pairs")
     stats["verified_pairs"] = pairs.count()
     row = spark.createDataFrame([tuple(int(stats.get(k, 0)) for k in STATISTICS)], ", ".join(f"{k} long" for k in STATISTICS))
-    return CloneReport(pairs.orderBy("left", "right", "kind"), family_tables(pairs), row)
+    return CloneReport(pairs.orderBy("left", "right", "kind"), family_tables(pairs), row, stats.get("semantic_candidates", 0))
 
 
-def detect_fragments(fragments: DataFrame, config: CloneConfig | None = None) -> CloneReport:
-    """Clones among given fragments (id, path, text; language and span optional)."""
+def detect_fragments(fragments: DataFrame, config: CloneConfig | None = None, provider=None, provider_limit: int = 64) -> CloneReport:
+    """Clones among given fragments (id, path, text; language and span optional).  A
+    ``provider`` of semantic candidates may propose pairs that share no fingerprints;
+    they are verified like all others and counted on their own."""
     config = (config or CloneConfig()).validate()
-    return _report(*_fragment_stage(normalized(fragments), config))
+    return _report(*_fragment_stage(normalized(fragments), config, provider, provider_limit))
 
 
 def detect_files(files: DataFrame, config: CloneConfig | None = None, options: RepositoryOptions | None = None) -> CloneReport:

@@ -69,3 +69,25 @@ def test_a_large_family_has_small_rows(spark):
     again = family_tables(pairs.union(pairs).select("id", F.col("right").alias("left"), F.col("left").alias("right")))
     assert again.sizes.first().id == size[0].id
     assert family_tables(pairs.where("id <> '000007'")).sizes.first().id != size[0].id
+
+
+def test_semantic_candidates_are_verified(spark):
+    """A pair too far apart in fingerprints is found only if a provider proposes it."""
+    from echoframe.config import CloneConfig
+    from echoframe.plans.detector import detect_fragments
+
+    # Every third statement differs, so few k-grams are shared, but edits are few enough.
+    body = lambda mark: "".join(f"    step({i});\n" if i % 2 else f"    step({i} {mark} 1);\n" for i in range(30))
+    rows = [(n, f"{n}.rs", f"fn run() {{\n{body(mark)}}}\n") for n, mark in (("a", "+"), ("b", "-"))] + [("c", "c.rs", "fn other() {}\n")]
+    df = spark.createDataFrame(rows, "id string, path string, text string")
+
+    class Pairs:
+        def candidates(self, fragments, limit):
+            return spark.createDataFrame([("b", "a"), ("a", "b"), ("a", "a"), ("a", "c"), ("a", "unknown")], "fragment_id string, candidate_id string")
+
+    config = CloneConfig(candidate_similarity=790)
+    assert detect_fragments(df, config).pairs.count() == 0
+    report = detect_fragments(df, config, provider=Pairs())
+    (p,) = report.pairs.collect()
+    assert (p.left.fragment_id, p.right.fragment_id, p.kind, p.evidence.shared_fingerprints) == ("a", "b", "type3", 0)
+    assert report.semantic_candidates == 1 and report.statistics.first().candidate_pairs == 0
