@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import forget, materialize, settled
 from .components import connected_components
 from .ordering import numbered
 
@@ -53,7 +53,7 @@ def family_tables(pairs: DataFrame) -> Families:
     whole, so two spans of one fragment are two nodes.  A pair that occurs more than
     once counts once; an empty table gives empty ones."""
     pairs = materialize(pairs.select("id", "left", "right"), "family-pairs")
-    node = materialize(connected_components(pairs, "left", "right"), "family-nodes")
+    node = settled(pairs.sparkSession, lambda: connected_components(pairs, "left", "right"), "family-nodes")
     held = pairs.join(node.select(F.col("node").alias("left"), "component"), "left").select("component", F.col("id").alias("pair_id")).distinct()
     held = materialize(held, "family-pair-ids")
     members = node.groupBy("component").agg(*_summed(F.col("node.fragment_id"), "members"))
@@ -62,6 +62,7 @@ def family_tables(pairs: DataFrame) -> Families:
     digest = F.md5(F.concat_ws(":", F.col("n_members").cast("string"), *parts[:2], F.col("n_pairs").cast("string"), *parts[2:]).cast("binary"))
     sizes = both.select("component", F.concat(F.lit("clone:v1:family:"), digest).alias("id"), "n_members", "n_pairs")
     sizes = materialize(sizes, "family-sizes")
+    forget(pairs)
     named = sizes.select("component", "id")
     return Families(
         sizes.select("id", "n_members", "n_pairs", F.col("component").alias("first")),

@@ -18,7 +18,7 @@ from ..operators.fragments import fragment_files
 from ..operators.ordering import numbered
 from ..operators.suppress import suppress_contained
 from ..operators.verify import verified
-from .scratch import materialize
+from .scratch import forget, materialize, settled
 
 STATISTICS = (
     "source_files", "source_tokens", "input_fragments", "analyzed_fragments", "skipped_small_fragments", "tokens",
@@ -169,9 +169,17 @@ def _fragment_stage(fragments: DataFrame, config: CloneConfig, provider=None, li
     return fragment_pairs(p, found, config), stats
 
 
-def _report(pairs: DataFrame, stats: dict) -> CloneReport:
-    spark = pairs.sparkSession
-    pairs = materialize(suppress_contained(pairs), "pairs")
+def _report(spark: SparkSession, stage) -> CloneReport:
+    """The report on what ``stage`` returns, pairs and counts.  Of the tables that are
+    written for it only those stay that the report reads."""
+    stats: dict = {}
+
+    def made() -> DataFrame:
+        pairs, counts = stage()
+        stats.update(counts)
+        return suppress_contained(pairs)
+
+    pairs = settled(spark, made, "pairs")
     stats["verified_pairs"] = pairs.count()
     row = spark.createDataFrame([tuple(int(stats.get(k, 0)) for k in STATISTICS)], ", ".join(f"{k} long" for k in STATISTICS))
     return CloneReport(pairs.orderBy("left", "right", "kind"), family_tables(pairs), row, stats.get("semantic_candidates", 0))
@@ -182,14 +190,10 @@ def detect_fragments(fragments: DataFrame, config: CloneConfig | None = None, pr
     ``provider`` of semantic candidates may propose pairs that share no fingerprints;
     they are verified like all others and counted on their own."""
     config = (config or CloneConfig()).validate()
-    return _report(*_fragment_stage(normalized(fragments), config, provider, provider_limit))
+    return _report(fragments.sparkSession, lambda: _fragment_stage(normalized(fragments), config, provider, provider_limit))
 
 
-def detect_files(files: DataFrame, config: CloneConfig | None = None, options: RepositoryOptions | None = None) -> CloneReport:
-    """Clones among whole files (path, text): their fragments, unless the mode is
-    exact, and exact blocks anywhere in them."""
-    config, options = (config or CloneConfig()).validate(), (options or RepositoryOptions()).validate()
-    files = files.select(F.col("path").alias("id"), "path", language_from_path(F.col("path")).alias("language"), "text")
+def _file_stage(files: DataFrame, config: CloneConfig, options: RepositoryOptions) -> tuple[DataFrame, dict]:
     sources = blocks.block_sources(files, options.cross_extensions)
     size = sources.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("t"), F.max(F.size("tokens")).alias("m")).first()
     if (size.m or 0) > config.max_tokens_per_fragment:
@@ -206,7 +210,15 @@ def detect_files(files: DataFrame, config: CloneConfig | None = None, options: R
         more, stats = _fragment_stage(materialize(whole, "fragments"), config)
         pairs = pairs.unionByName(more)
     stats |= {"source_files": size.n, "source_tokens": size.t, "exact_block_candidates": n_hits, "candidate_pairs": stats.get("candidate_pairs", 0) + n_hits}
-    return _report(pairs, stats)
+    return pairs, stats
+
+
+def detect_files(files: DataFrame, config: CloneConfig | None = None, options: RepositoryOptions | None = None) -> CloneReport:
+    """Clones among whole files (path, text): their fragments, unless the mode is
+    exact, and exact blocks anywhere in them."""
+    config, options = (config or CloneConfig()).validate(), (options or RepositoryOptions()).validate()
+    files = files.select(F.col("path").alias("id"), "path", language_from_path(F.col("path")).alias("language"), "text")
+    return _report(files.sparkSession, lambda: _file_stage(files, config, options))
 
 
 def detect_repository(spark: SparkSession, root: str, config: CloneConfig | None = None, options: RepositoryOptions | None = None) -> CloneReport:
@@ -218,4 +230,6 @@ def detect_repository(spark: SparkSession, root: str, config: CloneConfig | None
     bad = files.where(~F.is_valid_utf8(F.col("content"))).agg(F.min("path")).first()[0]
     if bad is not None:
         raise RepositoryError(f"{bad} holds bytes that are not UTF-8")
-    return detect_files(files.select("path", F.col("content").cast("string").alias("text")), config, options)
+    report = detect_files(files.select("path", F.col("content").cast("string").alias("text")), config, options)
+    forget(files)
+    return report

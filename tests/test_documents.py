@@ -87,7 +87,12 @@ def test_semantic_candidates_are_verified(spark):
 
     config = CloneConfig(candidate_similarity=790)
     assert detect_fragments(df, config).pairs.count() == 0
+    shared = spark.conf.get("spark.checkpoint.dir")
+    there = set(os.listdir(shared)) if os.path.isdir(shared) else set()
     report = detect_fragments(df, config, provider=Pairs())
+    # Nothing stays in the shared folder but what the report reads.
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared)) - there}
+    assert left == {"pairs", "family-nodes", "family-pair-ids", "family-sizes"}
     (p,) = report.pairs.collect()
     assert (p.left.fragment_id, p.right.fragment_id, p.kind, p.evidence.shared_fingerprints) == ("a", "b", "type3", 0)
     assert report.semantic_candidates == 1 and report.statistics.first().candidate_pairs == 0
