@@ -45,13 +45,15 @@ def text_slices(texts: pa.Array, most: int = _BATCH_BYTES):
         at = end
 
 
+#: Words whose hashes a worker remembers, some 20 MB.
+MOST_HASHES = 100_000
 _HASHES: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes; a bounded number is remembered in each worker."""
     known, h = _HASHES, xxhash.xxh3_64_intdigest
-    if len(known) > 500_000:
+    if len(known) > MOST_HASHES:
         known.clear()
     found = list(map(known.get, words))
     for i in [i for i, x in enumerate(found) if x is None]:
