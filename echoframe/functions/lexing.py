@@ -104,7 +104,7 @@ def _marks(language: Column) -> Column:
     return F.when(language.isin(*SLASHED), 1).when(language.isin("python", "bash"), 2).when(language == "sql", 4).otherwise(0).cast("int")
 
 
-def _starts(lists: pa.Array) -> np.ndarray:
+def list_starts(lists: pa.Array) -> np.ndarray:
     """Where the values of each list begin, and one more bound."""
     offsets = np.asarray(lists.offsets, np.int64)
     return offsets - offsets[0]
@@ -140,7 +140,7 @@ _PLACES = [T.StructField("raw", T.StringType())] + [T.StructField(f"{side}_byte"
 def _placed(lexemes: pa.Array, marks: pa.Array) -> pa.Array:
     """The tokens among lexemes, with their places: running sums of the lexemes' bytes
     and line ends, less those before their text."""
-    starts, pieces = _starts(lexemes), lexemes.flatten()
+    starts, pieces = list_starts(lexemes), lexemes.flatten()
     kept = _tokens_among(pieces, starts, marks)
     row = np.repeat(np.arange(len(lexemes)), np.diff(starts))[kept]
 
@@ -159,7 +159,7 @@ def _placed(lexemes: pa.Array, marks: pa.Array) -> pa.Array:
 def _own_dictionary(lexemes: pa.Array, marks: pa.Array) -> pa.Array:
     """For each text its distinct tokens in any order, the first place of each among the
     text's tokens, and the tokens as places in the array of distinct ones."""
-    starts, pieces = _starts(lexemes), lexemes.flatten()
+    starts, pieces = list_starts(lexemes), lexemes.flatten()
     kept = _tokens_among(pieces, starts, marks)
     row = np.repeat(np.arange(len(lexemes)), np.diff(starts))[kept]
     starts = np.concatenate([[0], np.cumsum(kept)])[starts]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.languages import is_keyword
-from ..functions.lexing import kind_of
+from ..functions.lexing import kind_of, list_starts
 from .ordering import numbered, spot
 
 IDENTIFIER, STRING = "\0identifier", "\0string"
@@ -54,15 +54,10 @@ def dictionary(rows: DataFrame, rank: str = "rank") -> DataFrame:
 _STREAMS = T.StructType([T.StructField(name, T.ArrayType(T.LongType())) for name in ("strict", "renamed")])
 
 
-def _starts(lists: pa.Array) -> np.ndarray:
-    offsets = np.asarray(lists.offsets, np.int64)
-    return offsets - offsets[0]
-
-
 @F.arrow_udf(_STREAMS)
 def _looked_up(codes: pa.Array, words: pa.Array) -> pa.Array:
     """Codes as the numbers that a fragment's words have, in the order of their codes."""
-    starts, own, values = _starts(codes), _starts(words), words.flatten()
+    starts, own, values = list_starts(codes), list_starts(words), words.flatten()
     at = np.asarray(codes.flatten(), np.int64) + np.repeat(own[:-1], np.diff(starts))
     offsets = pa.array(starts.astype(np.int32))
     parts = [pa.ListArray.from_arrays(offsets, pa.array(np.asarray(values.field(name), np.int64)[at])) for name in ("token_id", "renamed_id")]

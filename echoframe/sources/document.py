@@ -12,7 +12,6 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,12 +43,7 @@ class _Writer(DataSourceArrowWriter):
         path = f"{folder}/{number:08d}-{uuid.uuid4().hex}"
         with fs.open_output_stream(path) as out:
             for batch in iterator:
-                # The values of a text column lie one after another in its buffer.
-                texts = batch.column(0).cast(pa.large_string())
-                texts = pa.concat_arrays([texts]) if texts.offset == 0 else pa.array(texts.to_pylist(), pa.large_string())
-                if len(texts) and texts.buffers()[2] is not None:
-                    ends = pa.Array.from_buffers(pa.int64(), len(texts) + 1, [None, texts.buffers()[1]])
-                    out.write(texts.buffers()[2].slice(ends[0].as_py(), ends[len(texts)].as_py() - ends[0].as_py()))
+                out.write("".join(batch.column(0).to_pylist()).encode())
         return _Part(number, path)
 
     def commit(self, messages):
