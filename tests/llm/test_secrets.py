@@ -128,3 +128,19 @@ def test_too_little_to_learn_from_long_texts_and_empty_table(spark):
     got = {r.doc_id: r for r in S.secret_digests(df, "k.x", "a text").collect()}
     assert got[1].spans == shown(rules(long)) and got[2].spans == "" and got[1].n_net == 0
     assert S.secret_digests(df.limit(0), "k.x", "a text").count() == 0
+
+
+def test_every_window_is_learned_from(spark, monkeypatch):
+    assert S.threshold_for(np.array([0.2, 0.9, 0.8]), 0.75, np.array([1, 1, 2])) == 0.8
+    z, y, times = np.array([-1.0, 0.5, 2.0]), np.array([0.0, 1.0, 1.0]), np.array([5, 2, 3])
+    assert np.allclose(S.logistic_fit(z, y, times=times.astype(float)), S.logistic_fit(np.repeat(z, times), np.repeat(y, times)))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(300))], "doc_id long, text string").repartition(3)
+    for name, n in (("MAX_EXAMPLES", 30), ("PACK", 100), ("HELD", 50)):
+        monkeypatch.setattr(S, name, n)
+    seen = {(S.windows(t, a, min(b, a + S.PIECE))[0].tobytes()) for t in corpus(300) for a, b, _ in S.candidates(t)}
+    sizes = []
+    calibrated = S.calibrated
+    monkeypatch.setattr(S, "calibrated", lambda packs, *a: sizes.append(packs.selectExpr("sum(length(y) + doubted)").first()[0]) or calibrated(packs, *a))
+    model = S.fit_secrets(df)
+    assert sizes == [len(seen)] and len(seen) > 10 * S.MAX_EXAMPLES
+    assert model.measured["recall"] >= 0.95 and model.measured["recall_alone"] >= 0.95
