@@ -60,3 +60,20 @@ def test_shared_stretch_is_cut_once(spark):
     assert len(pairs) == 59 and {p.left.path for p in pairs} == {"f000.rs"}
     assert {(p.left.span.start_line, p.left.span.end_line, p.right.span.start_line, p.right.span.end_line) for p in pairs} == {(2, 13, 2, 13)}
     assert blocks.block_pairs(found.limit(0), sources, 24, 3).count() == 0
+
+
+def test_regions_of_too_few_lines_are_not_cut(spark, monkeypatch):
+    flat = " ".join(f"w{i}" for i in range(30))
+    body = "\n".join(f"call_{i}(value);" for i in range(12))
+    texts = {f"flat{i}.txt": f"{i} {flat} {i}" for i in range(20)} | {f"long{i}.txt": f"start_{i}();\n{body}\nend_{i}();\n" for i in range(2)}
+    # One side on a line, the other on many: that is none either.
+    texts |= {"z0.txt": " ".join(f"v{i}" for i in range(40)), "z1.txt": "\n".join(f"v{i}" for i in range(40))}
+    sources, written = sources_of(spark, texts), {}
+    kept = blocks.materialize
+    monkeypatch.setattr(blocks, "materialize", lambda df, name, *more: written.setdefault(name, kept(df, name, *more)))
+    found = blocks.regions(blocks.window_hits(blocks.windows(sources, 24)), 24)
+    pairs = blocks.block_pairs(found, sources, 24, 3).collect()
+    assert [(p.left.path, p.right.path, p.left.span.start_line, p.right.span.end_line) for p in pairs] == [("long0.txt", "long1.txt", 2, 13)]
+    assert written["regions"].count() == 21 and written["stretches"].count() == 2
+    written.clear()
+    assert blocks.block_pairs(found, sources, 24, 1).count() == 21
